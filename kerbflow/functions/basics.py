@@ -12,10 +12,14 @@ def dbl(value: float) -> Column:
     return F.lit(float(value))
 
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "\\'") + "'"
+
+
 def lookup(key: Column, table: Mapping[str, float], default: float) -> Column:
     """Value of a small fixed table, with a default for unknown or null keys."""
-    pairs = [F.lit(item) for entry in table.items() for item in entry]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), dbl(default))
+    pairs = ", ".join(f"{quoted(name)}, {value!r}D" for name, value in table.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({pairs})"), key), dbl(default))
 
 
 def ladder(cases: Iterable[tuple[Column, object]], otherwise: object = None) -> Column:
@@ -52,20 +56,19 @@ def hex_number(text: Column, start: int, digits: int = 8) -> Column:
     return F.conv(F.substring(text, start, digits), 16, 10).cast("bigint")
 
 
-def digest_mod(text: Column, modulus: int) -> Column:
-    """SHA-256 of ``text`` read as one 256-bit number, modulo a small number."""
-    digest = F.sha2(text, 256)
-    total = None
-    for part in range(8):
-        scale = pow(2 ** 32, 7 - part, modulus)
-        term = F.pmod(hex_number(digest, 1 + 8 * part), F.lit(modulus)) * F.lit(scale)
-        total = term if total is None else total + term
-    return F.pmod(total, F.lit(modulus)).cast("int")
+def digest_mod(text: str, modulus: int) -> Column:
+    """SHA-256 of a SQL text expression read as one 256-bit number, modulo a small number."""
+    terms = [
+        f"pmod(CAST(conv(substr(sha2({text}, 256), {1 + 8 * part}, 8), 16, 10) AS BIGINT), {modulus})"
+        f" * {pow(2 ** 32, 7 - part, modulus)}"
+        for part in range(8)
+    ]
+    return F.expr(f"CAST(pmod({' + '.join(terms)}, {modulus}) AS INT)")
 
 
-def split_of(zone_id: Column, seed: int, train_pct: int = 70) -> Column:
-    """Stable train/test label of an id."""
-    bucket = digest_mod(F.concat(F.lit(f"{seed}:"), zone_id), 100)
+def split_of(zone_id: str, seed: int, train_pct: int = 70) -> Column:
+    """Stable train/test label of an id column."""
+    bucket = digest_mod(f"concat('{seed}:', {zone_id})", 100)
     return F.when(bucket < train_pct, F.lit("train")).otherwise(F.lit("test"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kerbflow.functions import vocabulary as V
-from kerbflow.functions.basics import clean_key, ladder, lookup, not_missing
+from kerbflow.functions.basics import clean_key, ladder, lookup, not_missing, quoted
 
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -47,24 +47,15 @@ def pincode(location: Column) -> Column:
     return F.coalesce(marked, bare)
 
 
-def _bare(token: Column) -> Column:
-    plain = F.regexp_replace(F.trim(token), r'^"+|"+$', "")
-    return F.upper(F.regexp_replace(plain, r"^'+|'+$", ""))
-
-
-def label_list(value: Column, is_array: bool = False) -> Column:
+def label_list(column: str, is_array: bool = False) -> Column:
     """Upper-case labels of one event, from an array, a JSON list or a loose comma list."""
-    if is_array:
-        items = value
-    else:
-        text = F.trim(value)
-        loose = F.split(F.regexp_replace(text, r"^\[+|\]+$", ""), ",")
-        items = F.when(
-            text.isNotNull() & ~F.upper(text).isin("", "[]", *V.MISSING_WORDS),
-            F.coalesce(F.from_json(text, T.ArrayType(T.StringType())), loose),
-        )
-    cleaned = F.filter(F.transform(items, _bare), lambda token: token.isNotNull() & (token != ""))
-    return F.coalesce(cleaned, F.array().cast("array<string>"))
+    missing = ", ".join(quoted(word) for word in ["", "[]", *V.MISSING_WORDS])
+    loose = f"split(regexp_replace(trim({column}), '^[\\\\[]+|[\\\\]]+$', ''), ',')"
+    items = column if is_array else (
+        f"CASE WHEN upper(trim({column})) NOT IN ({missing})"
+        f" THEN coalesce(from_json(trim({column}), 'array<string>'), {loose}) END")
+    bare = "upper(trim(BOTH '\\'' FROM trim(BOTH '\"' FROM trim(item))))"
+    return F.expr(f"coalesce(filter(transform({items}, item -> {bare}), item -> item <> ''), array())")
 
 
 def first_label(value: Column) -> Column:
@@ -74,10 +65,10 @@ def first_label(value: Column) -> Column:
     return F.coalesce(F.get(kept, F.lit(0)), F.lit("UNKNOWN"))
 
 
-def any_of(labels: Column, wanted: list[str]) -> Column:
+def any_of(labels: str, wanted: list[str]) -> Column:
     """1 when at least one wanted label is present, else 0."""
-    hit = F.arrays_overlap(labels, F.array(*[F.lit(word) for word in wanted]))
-    return F.coalesce(hit, F.lit(False)).cast("int")
+    words = ", ".join(quoted(word) for word in wanted)
+    return F.expr(f"CAST(coalesce(arrays_overlap({labels}, array({words})), false) AS INT)")
 
 
 def trusted_vehicle(updated: Column, original: Column) -> Column:

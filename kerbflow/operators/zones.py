@@ -30,7 +30,7 @@ def prepare(df: DataFrame, offset_minutes: int = 330) -> DataFrame:
     is_array = isinstance(df.schema["violation_type"].dataType, T.ArrayType)
     columns = {
         "time_bucket": bucket,
-        "labels": E.label_list(F.col("violation_type"), is_array),
+        "labels": E.label_list("violation_type", is_array),
         "weight": E.obstruction(E.trusted_vehicle(F.col("updated_vehicle_type"), F.col("vehicle_type"))),
         "named": E.named_junction(F.col("junction_name")),
         "station": E.station_name(F.col("police_station")),
@@ -51,18 +51,16 @@ def condense(prepared: DataFrame, keys: list[str]) -> DataFrame:
 def _aggregate_condensed(condensed: DataFrame, keys: list[str]) -> DataFrame:
     group = [*keys, "time_bucket"]
     flags = {
-        "main": E.any_of(F.col("labels"), [V.MAIN_ROAD_LABEL]),
-        "double": E.any_of(F.col("labels"), [V.DOUBLE_PARK_LABEL]),
-        "junction": E.any_of(F.col("labels"), V.JUNCTION_LABELS),
-        "access": E.any_of(F.col("labels"), V.ACCESS_LABELS),
+        "main": E.any_of("labels", [V.MAIN_ROAD_LABEL]),
+        "double": E.any_of("labels", [V.DOUBLE_PARK_LABEL]),
+        "junction": E.any_of("labels", V.JUNCTION_LABELS),
+        "access": E.any_of("labels", V.ACCESS_LABELS),
     }
     with_rollup = condensed.withColumn(
         "time_bucket", F.explode(F.array(F.col("time_bucket"), F.lit(V.ALL_DAY))))
-    facet = F.explode(F.concat(
-        F.array(F.struct(F.lit("total").alias("kind"), F.lit("").alias("value"))),
-        F.array(F.struct(F.lit("station").alias("kind"), F.col("station").alias("value"))),
-        F.transform("labels", lambda label: F.struct(F.lit("label").alias("kind"), label.alias("value"))),
-    )).alias("facet")
+    facet = F.expr("""explode(concat(
+        array(named_struct('kind', 'total', 'value', ''), named_struct('kind', 'station', 'value', station)),
+        transform(labels, item -> named_struct('kind', 'label', 'value', item))))""").alias("facet")
     long = with_rollup.select(*group, "n", "w", "named", *[flag.alias(name) for name, flag in flags.items()], facet)
     counted = (
         long.where("facet.value IS NOT NULL")

@@ -15,12 +15,20 @@ ORACLES: dict[str, str] = {}
 
 
 def _rounded(df: DataFrame, columns: dict[str, int]) -> DataFrame:
-    return df.withColumns({name: F.round(F.col(name), digits) + F.lit(0.0) for name, digits in columns.items()})
+    """Round half up with the same arithmetic as the twin, so equal doubles stay equal."""
+    return df.withColumns({
+        name: F.floor(F.col(name).cast("double") * F.lit(10.0 ** digits) + F.lit(0.5)).cast("double") / F.lit(10.0 ** digits)
+        for name, digits in columns.items()})
+
+
+def _rounded_sql(name: str, digits: int) -> str:
+    scale = f"CAST({10.0 ** digits!r} AS DOUBLE)"
+    return f"floor(CAST({name} AS DOUBLE) * {scale} + CAST(0.5 AS DOUBLE)) / {scale} AS {name}"
 
 
 def query(name: str, sql: str | None = None, floats: Iterable[str] | dict[str, int] = ()) -> Callable[[Query], Query]:
     """Register a query. ``floats`` are rounded the same way on both sides before comparing."""
-    columns = floats if isinstance(floats, dict) else {column: 6 for column in floats}
+    columns = floats if isinstance(floats, dict) else dict.fromkeys(floats, 6)
 
     def add(function: Query) -> Query:
         if name in QUERIES:
@@ -34,7 +42,7 @@ def query(name: str, sql: str | None = None, floats: Iterable[str] | dict[str, i
         if sql is not None:
             final = sql
             if columns:
-                parts = ", ".join(f"round({c}, {n}) + CAST(0 AS DOUBLE) AS {c}" for c, n in columns.items())
+                parts = ", ".join(_rounded_sql(name, digits) for name, digits in columns.items())
                 final = f"SELECT * REPLACE ({parts}) FROM ({sql}) q"
             ORACLES[name] = compose(final)
         return function

@@ -1,4 +1,4 @@
 """Imports every query module so that the catalog is complete."""
 
-from kerbflow.plans import zone_queries  # noqa: F401
+from kerbflow.plans import risk_queries, serving_queries, zone_queries  # noqa: F401
 from kerbflow.plans.catalog import ORACLES, QUERIES  # noqa: F401

@@ -22,6 +22,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **extra
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -6,15 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbflow.functions import vocabulary as V
-from kerbflow.functions.basics import dbl, digest_mod, hex_number
+from kerbflow.functions.basics import digest_mod
 
-_VEHICLES = ["CAR", "SCOOTER", "MOTOR CYCLE", "BUS", "LGV", "MAXI-CAB", "TRACTOR"]
-_LABELS = {
-    "error": '["DOUBLE PARKING"]',
-    "purchase": '["PARKING IN A MAIN ROAD","WRONG PARKING"]',
-    "signup": '["PARKING NEAR ROAD CROSSING"]',
-    "click": '["WRONG PARKING","PARKING ON FOOTPATH"]',
-}
+_EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+
+_PROJECTION = [
+    "CAST(event_id AS STRING) AS id",
+    "12.8D + CAST(user_id % 15 AS DOUBLE) * 0.0075D + CAST(event_id % 7 AS DOUBLE) * 0.0004D AS latitude",
+    "77.44D + (CAST(user_id - user_id % 15 AS DOUBLE) / 15D) * 0.0105D + CAST(event_id % 5 AS DOUBLE) * 0.0004D AS longitude",
+    "concat('Stop ', user_id % 40, ', Bengaluru. Pin-56', 1000 + user_id % 60, ' (India)') AS location",
+    "concat('V', user_id) AS vehicle_number",
+    "get(array('CAR', 'SCOOTER', 'MOTOR CYCLE', 'BUS', 'LGV', 'MAXI-CAB', 'TRACTOR'), CAST(event_id % 7 AS INT)) AS vehicle_type",
+    "CASE event_id % 11 WHEN 0 THEN 'CAR' WHEN 1 THEN 'NULL' END AS updated_vehicle_type",
+    """CASE event_type WHEN 'error' THEN '["DOUBLE PARKING"]'
+         WHEN 'purchase' THEN '["PARKING IN A MAIN ROAD","WRONG PARKING"]'
+         WHEN 'signup' THEN '["PARKING NEAR ROAD CROSSING"]'
+         WHEN 'click' THEN '["WRONG PARKING","PARKING ON FOOTPATH"]' ELSE '["NO PARKING"]' END AS violation_type""",
+    "ts AS created_datetime",
+    "timestampadd(MINUTE, event_id * 37 % 2000 - 20, ts) AS modified_datetime",
+    "CASE WHEN event_id % 6 <> 5 THEN timestampadd(MINUTE, event_id * 53 % 9000 - 5, ts) END AS validation_timestamp",
+    "concat('Station ', user_id % 12) AS police_station",
+    "CASE WHEN user_id % 12 <> 5 THEN concat('C', user_id % 12) END AS center_code",
+    "concat('D', event_id % 23) AS device_id",
+    """CASE WHEN user_id % 3 = 0 THEN 'No Junction'
+         WHEN user_id % 17 <> 0 THEN concat('Junction ', user_id % 9) END AS junction_name""",
+    "get(array('approved', 'approved', 'rejected', 'created1', 'pending', NULL), CAST(event_id % 6 AS INT)) AS validation_status",
+    "CAST(get_json_object(props, '$.k') AS BIGINT) AS signal",
+]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,40 +41,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def violations(spark: SparkSession, folder: str) -> DataFrame:
     """Row-wise projection of ``events``; no shuffle, columns pruned to the ones used later."""
-    event, user = F.col("event_id"), F.col("user_id")
-    lane = F.pmod(user, F.lit(15))
-    number = event.cast("string")
-    labels = F.lit('["NO PARKING"]')
-    for kind, text in _LABELS.items():
-        labels = F.when(F.col("event_type") == kind, text).otherwise(labels)
-    updated = F.when(F.pmod(event, F.lit(11)) == 0, "CAR").when(F.pmod(event, F.lit(11)) == 1, "NULL")
-    status = F.get(F.array(*[F.lit(s) for s in ("approved", "approved", "rejected", "created1", "pending", None)]),
-                   F.pmod(event, F.lit(6)).cast("int"))
-    junction = (F.when(F.pmod(user, F.lit(3)) == 0, "No Junction")
-                .when(F.pmod(user, F.lit(17)) != 0, F.concat(F.lit("Junction "), F.pmod(user, F.lit(9)).cast("string"))))
-    vehicle = F.get(F.array(*[F.lit(v) for v in _VEHICLES]), F.pmod(event, F.lit(7)).cast("int"))
-    station = F.pmod(user, F.lit(12))
-    ts = F.col("ts")
-    return table(spark, folder, "events").select(
-        number.alias("id"),
-        (dbl(12.80) + lane.cast("double") * dbl(0.0075) + F.pmod(event, F.lit(7)).cast("double") * dbl(0.0004)).alias("latitude"),
-        (dbl(77.44) + ((user - lane) / dbl(15.0)) * dbl(0.0105) + F.pmod(event, F.lit(5)).cast("double") * dbl(0.0004)).alias("longitude"),
-        F.concat(F.lit("Stop "), F.pmod(user, F.lit(40)).cast("string"), F.lit(", Bengaluru. Pin-56"),
-                 (F.pmod(user, F.lit(60)) + 1000).cast("string"), F.lit(" (India)")).alias("location"),
-        F.concat(F.lit("V"), user.cast("string")).alias("vehicle_number"),
-        vehicle.alias("vehicle_type"),
-        updated.alias("updated_vehicle_type"),
-        labels.alias("violation_type"),
-        ts.alias("created_datetime"),
-        F.timestamp_add("MINUTE", F.pmod(event * 37, F.lit(2000)) - 20, ts).alias("modified_datetime"),
-        F.when(status.isNotNull(), F.timestamp_add("MINUTE", F.pmod(event * 53, F.lit(9000)) - 5, ts)).alias("validation_timestamp"),
-        F.concat(F.lit("Station "), station.cast("string")).alias("police_station"),
-        F.when(station != 5, F.concat(F.lit("C"), station.cast("string"))).alias("center_code"),
-        F.concat(F.lit("D"), F.pmod(event, F.lit(23)).cast("string")).alias("device_id"),
-        junction.alias("junction_name"),
-        status.alias("validation_status"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("signal"),
-    )
+    return spark.read.schema(_EVENTS).parquet(f"{folder}/events.parquet").selectExpr(*_PROJECTION)
 
 
 def travel_ratios(placed: DataFrame) -> DataFrame:
@@ -65,30 +50,28 @@ def travel_ratios(placed: DataFrame) -> DataFrame:
     ``placed`` has ``zone_id`` and ``signal``; about 60 % of the zones get a ratio.
     """
     per_zone = placed.groupBy("zone_id").agg(F.sum("signal").alias("total"), F.count("signal").alias("n"))
-    measured = per_zone.where(digest_mod(F.concat(F.lit("measure:"), F.col("zone_id")), 100) < 60)
-    value = dbl(1.0) + F.col("total").cast("double") / F.col("n").cast("double") / dbl(50.0)
-    return measured.where("n > 0").select("zone_id", value.alias("travel_time_ratio"))
+    measured = per_zone.where(digest_mod("concat('measure:', zone_id)", 100) < 60).where("n > 0")
+    return measured.selectExpr("zone_id", "1D + CAST(total AS DOUBLE) / CAST(n AS DOUBLE) / 50D AS travel_time_ratio")
+
+
+def _hex(text: str, start: int) -> str:
+    return f"CAST(conv(substr(md5({text}), {start}, 8), 16, 10) AS BIGINT)"
 
 
 def leg_records(ratios: DataFrame) -> DataFrame:
     """Nested observation of each measured zone: four legs, points of interest, context."""
-    def leg(direction: str):
-        digest = F.md5(F.concat(F.col("zone_id"), F.lit(f":{direction}")))
-        base = (F.pmod(hex_number(digest, 1), F.lit(61)) + 60).cast("double")
-        eta = base * (dbl(1.0) + F.pmod(hex_number(digest, 9), F.lit(120)).cast("double") / dbl(100.0))
-        length = F.when(F.pmod(hex_number(digest, 17), F.lit(3)) != 0,
-                        (F.pmod(hex_number(digest, 17), F.lit(900)) + 200).cast("double"))
-        return F.struct(F.lit(direction).alias("direction"), base.alias("baseline_s"), eta.alias("eta_s"),
-                        length.alias("distance_m"))
-
-    digest = F.md5(F.concat(F.lit("poi:"), F.col("zone_id")))
-    pois = F.transform(F.sequence(F.lit(1), F.pmod(hex_number(digest, 1), F.lit(7)).cast("int") + 1),
-                       lambda i: F.struct(F.concat(F.lit("poi "), i.cast("string")).alias("name")))
-    return ratios.select(
-        "zone_id", "travel_time_ratio",
-        F.array(*[leg(name) for name, _, _ in V.LEG_OFFSETS]).alias("raw_legs"),
-        pois.alias("pois"),
-        (F.pmod(hex_number(digest, 9), F.lit(4)) == 0).cast("int").alias("is_exploration"),
-        F.concat(F.lit("Road "), F.pmod(hex_number(digest, 17), F.lit(50)).cast("string"),
-                 F.when(F.pmod(hex_number(digest, 17), F.lit(5)) == 0, " Main Road").otherwise(" Cross")).alias("road_name"),
+    legs = []
+    for name, _, _ in V.LEG_OFFSETS:
+        text = f"concat(zone_id, ':{name}')"
+        base = f"CAST(60 + {_hex(text, 1)} % 61 AS DOUBLE)"
+        legs.append(
+            f"named_struct('direction', '{name}', 'baseline_s', {base},"
+            f" 'eta_s', {base} * (1D + CAST({_hex(text, 9)} % 120 AS DOUBLE) / 100D),"
+            f" 'distance_m', CASE WHEN {_hex(text, 17)} % 3 <> 0 THEN CAST(200 + {_hex(text, 17)} % 900 AS DOUBLE) END)")
+    poi = "concat('poi:', zone_id)"
+    return ratios.selectExpr(
+        "zone_id", "travel_time_ratio", f"array({', '.join(legs)}) AS raw_legs",
+        f"transform(sequence(1, 1 + CAST({_hex(poi, 1)} % 7 AS INT)), i -> named_struct('name', concat('poi ', i))) AS pois",
+        f"CASE WHEN {_hex(poi, 9)} % 4 = 0 THEN 1 ELSE 0 END AS is_exploration",
+        f"concat('Road ', {_hex(poi, 17)} % 50, CASE WHEN {_hex(poi, 17)} % 5 = 0 THEN ' Main Road' ELSE ' Cross' END) AS road_name",
     )
