@@ -34,7 +34,8 @@ def ladder(cases: Iterable[tuple[Column, object]], otherwise: object = None) ->
 
 
 def bounded(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(dbl(low), F.least(dbl(high), value))
+    """Clamp; null stays null (greatest and least alone would skip it)."""
+    return F.when(value.isNotNull(), F.greatest(dbl(low), F.least(dbl(high), value)))
 
 
 def ratio(numerator: Column, denominator: Column, empty: float | None = 0.0) -> Column:
@@ -86,3 +87,9 @@ def degradation(value: Column) -> Column:
 def moving_label(score: Column) -> Column:
     """Impact band; an upper bound belongs to the lower band."""
     return ladder([(score <= 25, "MINIMAL"), (score <= 50, "MODERATE"), (score <= 75, "SEVERE")], "CRITICAL")
+
+
+def half_up(value: Column, digits: int) -> Column:
+    """Round half up by plain arithmetic, so that every engine gives the same double."""
+    scale = dbl(10.0 ** digits)
+    return F.floor(value * scale + dbl(0.5)).cast("double") / scale

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kerbflow.functions.basics import dbl, ladder, valid_ratio
+from kerbflow.functions.basics import dbl, half_up, ladder, valid_ratio
 
 
 def risk_tier(score: Column) -> Column:
@@ -76,8 +76,8 @@ def heavy_share_from_label(label: Column) -> Column:
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Number as text with a fixed count of decimals."""
-    return F.format_string(f"%.{digits}f", F.round(value, digits))
+    """Number as text with a fixed count of decimals; null stays null."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", half_up(value, digits)))
 
 
 def zone_story(zone_id: Column, road: Column, station: Column, score: Column, band: Column, hour: int,

@@ -91,3 +91,148 @@ def observe(legs: DataFrame) -> DataFrame:
         F.median(usable).alias("congestion_ratio"), F.count(usable).alias("n_legs"),
         F.median("speed_kmph").alias("free_flow_speed_kmph"), F.max("approx").alias("free_flow_speed_approx"),
         F.median(F.when(F.col("baseline_s") > 0, F.col("baseline_s"))).alias("free_flow_s"))
+
+
+def honest_weights(weights: dict[str, float] = V.IMPACT_WEIGHTS) -> dict[str, float]:
+    """Weights of the four road components, rescaled to one; equal when they sum to zero."""
+    raw = {name: float(weights.get(name, 0.0)) for name in V.ROAD_COMPONENTS}
+    total = sum(raw.values())
+    return {name: value / total if total > 0 else 1 / len(raw) for name, value in raw.items()}
+
+
+def points(scored: DataFrame, observed: DataFrame, bucket: str = V.ALL_DAY, seed: int = V.SPLIT_SEED,
+           weights: dict[str, float] = V.IMPACT_WEIGHTS) -> DataFrame:
+    """Zones with both a score and a valid measured ratio, with split and the non-circular score."""
+    from kerbflow.functions.basics import half_up, split_of
+    from kerbflow.operators.scoring import weighted_sum
+    from kerbflow.operators.serving import at_bucket
+
+    measured = observed.where(valid_ratio(F.col("congestion_ratio"))).select("zone_id", "congestion_ratio", "is_exploration")
+    met = at_bucket(scored, bucket).join(measured, "zone_id")
+    return met.select(
+        "zone_id", half_up(F.col("congestion_impact"), 4).alias("impact"), F.col("total_records").alias("count"),
+        half_up(weighted_sum(honest_weights(weights)), 6).alias("honest"), half_up(F.col("congestion_ratio"), 4).alias("measured_ratio"),
+        "is_exploration", split_of("zone_id", seed).alias("split"), *V.ROAD_COMPONENTS)
+
+
+def metric_pairs(rows: DataFrame) -> DataFrame:
+    """Long table (metric, zone_id, x, y) of every correlation in the validation report."""
+    test, explore = F.col("split") == "test", F.col("is_exploration") == 1
+    choices = [(F.lit(True), "impact_all", "impact"), (test, "impact_test", "impact"), (explore, "impact_exploration", "impact"),
+               (test, "count_test", "count"), (test, "honest_test", "honest")]
+    items = F.array(*[F.when(where, F.struct(F.lit(name).alias("metric"), F.col(column).cast("double").alias("x")))
+                      for where, name, column in choices])
+    long = rows.select("zone_id", F.col("measured_ratio").alias("y"), F.explode(F.array_compact(items)).alias("item"))
+    return long.select("item.metric", "zone_id", "item.x", "y")
+
+
+def report(rows: DataFrame, n_boot: int = 2000) -> DataFrame:
+    """One row per metric with interval, plus whether the honest score beats the raw count and how strongly."""
+    from kerbflow.operators.stats import bootstrap, strength
+
+    stored_rows = bootstrap(metric_pairs(rows), "metric", "zone_id", n_boot)
+    wide = stored_rows.agg(
+        F.max(F.when(F.col("metric") == "honest_test", F.col("rho"))).alias("honest_rho"),
+        F.max(F.when(F.col("metric") == "honest_test", F.col("lo"))).alias("honest_lo"),
+        F.max(F.when(F.col("metric") == "honest_test", F.col("n"))).alias("n_proof"),
+        F.max(F.when(F.col("metric") == "count_test", F.col("rho"))).alias("count_rho"))
+    verdict = wide.select(F.struct(
+        F.when(F.col("honest_rho") > F.col("count_rho"), 1).otherwise(0).alias("baseline_beaten"),
+        strength(F.col("n_proof"), F.col("honest_rho"), F.col("honest_lo"), F.col("count_rho")).alias("strength"))).scalar()
+    return stored_rows.withColumns({"baseline_beaten": verdict.getField("baseline_beaten"), "strength": verdict.getField("strength")})
+
+
+def candidate_weights(candidate: str, seed: int) -> dict[str, Column]:
+    """Weights of one search candidate: four corners, the current weights, then uniform simplex draws.
+
+    A draw is the spacing of three sorted 32-bit numbers taken from one hash, so it is exact.
+    """
+    text = f"md5(concat('{seed}:', {candidate}))"
+    u = [F.expr(f"CAST(conv(substr({text}, {1 + 8 * i}, 8), 16, 10) AS BIGINT)") for i in range(3)]
+    low, high = F.least(*u), F.greatest(*u)
+    middle = u[0] + u[1] + u[2] - low - high
+    gaps = [low, middle - low, high - middle, F.lit(2 ** 32) - high]
+    current = honest_weights()
+    who = F.expr(candidate)
+    return {
+        name: F.when(who == i, dbl(1.0)).when(who < 4, dbl(0.0)).when(who == 4, dbl(current[name]))
+        .otherwise(gaps[i].cast("double") / dbl(float(2 ** 32)))
+        for i, name in enumerate(V.ROAD_COMPONENTS)
+    }
+
+
+def search_weights(rows: DataFrame, n_samples: int = 20000, seed: int = V.SEARCH_SEED) -> DataFrame:
+    """Rank correlation with the measured ratio of every candidate weighting of the train zones.
+
+    Predictions are counted per (candidate, prediction) with the sum of the label ranks, which is all
+    the correlation needs; candidates are spread over range slices.
+    """
+    from kerbflow.functions.basics import half_up
+    from kerbflow.operators.ranking import average_rank
+    from kerbflow.session import materialise
+
+    train = rows.where(F.col("split") == "train").select("zone_id", "measured_ratio", *V.ROAD_COMPONENTS)
+    train = materialise(train, "train-rows")
+    ranks = average_rank(train.groupBy("measured_ratio").agg(F.count("*").alias("n")), "measured_ratio", (), "n", "ry")
+    spread = train.join(ranks.select("measured_ratio", "ry"), "measured_ratio").withColumn(
+        "candidate", F.explode(F.sequence(F.lit(0), F.lit(4 + n_samples))))
+    value = None
+    for name, weight in candidate_weights("candidate", seed).items():
+        term = weight * F.col(name)
+        value = term if value is None else value + term
+    counted = spread.select("candidate", half_up(value, 9).alias("pred"), "ry").groupBy("candidate", "pred").agg(
+        F.count("*").alias("n"), F.sum("ry").alias("label_ranks"))
+    ranked = average_rank(counted, "pred", ["candidate"], "n", "rx")
+    size = train.agg(F.count("*")).scalar()
+    label_spread = ranks.agg(F.sum(F.col("n") * F.col("ry") * F.col("ry"))).scalar()
+    middle = (size + 1) / F.lit(2.0)
+    dx = F.col("rx") - middle
+    sums = ranked.groupBy("candidate").agg(
+        F.sum(dx * (F.col("label_ranks") - F.col("n") * middle)).alias("xy"), F.sum(F.col("n") * dx * dx).alias("xx"))
+    yy = label_spread - size * middle * middle
+    product = F.col("xx") * yy
+    rho = F.when(product > 0, F.col("xy") / F.sqrt(F.when(product > 0, product)))
+    return sums.select("candidate", half_up(rho, 9).alias("rho"))
+
+
+def best_candidate(found: DataFrame, seed: int = V.SEARCH_SEED) -> DataFrame:
+    """Best candidate (lowest number on ties) with its four weights."""
+    pick = found.where(F.col("rho").isNotNull()).agg(F.min(F.struct((-F.col("rho")).alias("minus"), "candidate")).alias("best"))
+    row = pick.select(F.col("best.candidate").alias("candidate"), (-F.col("best.minus")).alias("train_rho"))
+    return row.withColumns(candidate_weights("candidate", seed))
+
+
+def assemble(weights: dict[str, float]) -> dict[str, float]:
+    """Five weights: the traffic weight keeps its value, the fitted four share the rest."""
+    fixed = V.IMPACT_WEIGHTS["traffic_degradation"]
+    scaled = {name: weights[name] * (1 - fixed) for name in V.ROAD_COMPONENTS}
+    return {name: fixed if name == "traffic_degradation" else scaled[name] for name in V.IMPACT_WEIGHTS}
+
+
+def fit(rows: DataFrame, n_samples: int = 20000) -> tuple[dict[str, float], str]:
+    """Fitted four weights and the method used; too few or flat measurements keep the current weights."""
+    from kerbflow.operators.stats import MIN_POINTS, flat_variance
+
+    check = flat_variance(rows, "measured_ratio").first()
+    if check["status"] != "ok":
+        return honest_weights(), check["status"]
+    if rows.where(F.col("split") == "train").count() < MIN_POINTS:
+        return honest_weights(), "fallback_insufficient_data"
+    row = best_candidate(search_weights(rows, n_samples)).first()
+    if row["candidate"] is None:
+        return honest_weights(), "fallback_insufficient_data"
+    return {name: row[name] for name in V.ROAD_COMPONENTS}, "simplex_random_search"
+
+
+def calibration_report(rows: DataFrame, new: dict[str, float], method: str) -> DataFrame:
+    """Spearman of the old and new four weights on train and test, in one grouped pass."""
+    from kerbflow.functions.basics import half_up
+    from kerbflow.operators.scoring import weighted_sum
+    from kerbflow.operators.stats import spearman
+
+    pair = F.array(
+        F.struct(F.lit("old").alias("which"), half_up(weighted_sum(honest_weights()), 9).alias("x")),
+        F.struct(F.lit("new").alias("which"), half_up(weighted_sum(new), 9).alias("x")))
+    long = rows.select("split", F.col("measured_ratio").alias("y"), F.explode(pair).alias("p")).select(
+        "split", "p.which", "p.x", "y")
+    return spearman(long, ["split", "which"]).withColumn("method", F.lit(method))

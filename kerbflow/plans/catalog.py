@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbflow.plans.oracle import compose
+from kerbflow.functions.basics import half_up
+from kerbflow.plans.oracle import compose, rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -16,14 +17,7 @@ ORACLES: dict[str, str] = {}
 
 def _rounded(df: DataFrame, columns: dict[str, int]) -> DataFrame:
     """Round half up with the same arithmetic as the twin, so equal doubles stay equal."""
-    return df.withColumns({
-        name: F.floor(F.col(name).cast("double") * F.lit(10.0 ** digits) + F.lit(0.5)).cast("double") / F.lit(10.0 ** digits)
-        for name, digits in columns.items()})
-
-
-def _rounded_sql(name: str, digits: int) -> str:
-    scale = f"CAST({10.0 ** digits!r} AS DOUBLE)"
-    return f"floor(CAST({name} AS DOUBLE) * {scale} + CAST(0.5 AS DOUBLE)) / {scale} AS {name}"
+    return df.withColumns({name: half_up(F.col(name).cast("double"), digits) for name, digits in columns.items()})
 
 
 def query(name: str, sql: str | None = None, floats: Iterable[str] | dict[str, int] = ()) -> Callable[[Query], Query]:
@@ -42,7 +36,7 @@ def query(name: str, sql: str | None = None, floats: Iterable[str] | dict[str, i
         if sql is not None:
             final = sql
             if columns:
-                parts = ", ".join(_rounded_sql(name, digits) for name, digits in columns.items())
+                parts = ", ".join(f"{rounded(name, digits)} AS {name}" for name, digits in columns.items())
                 final = f"SELECT * REPLACE ({parts}) FROM ({sql}) q"
             ORACLES[name] = compose(final)
         return function

@@ -51,6 +51,11 @@ def band(score: str) -> str:
             f"WHEN {score} <= 75 THEN 'SEVERE' ELSE 'CRITICAL' END)")
 
 
+def rounded(value: str, digits: int) -> str:
+    scale = f"CAST({10.0 ** digits!r} AS DOUBLE)"
+    return f"floor(CAST({value} AS DOUBLE) * {scale} + CAST(0.5 AS DOUBLE)) / {scale}"
+
+
 def compose(final: str) -> str:
     """``final`` preceded by every named expression it needs, in dependency order."""
     needed: list[str] = []

@@ -8,7 +8,7 @@ from kerbflow.functions import vocabulary as V
 from kerbflow.operators import calibrate, checks, scoring, serving
 from kerbflow.plans import tables as T
 from kerbflow.plans.catalog import query
-from kerbflow.plans.oracle import band, clamp, d, define, hex_number
+from kerbflow.plans.oracle import band, d, define, hex_number, rounded
 from kerbflow.session import materialise
 from kerbflow.sources import adapter
 
@@ -130,13 +130,13 @@ def station_zones_by_bucket(spark, folder):
 
 
 @query("station_priority_areas", f"""
-SELECT zone_id, risk_score, place, CASE WHEN risk_score >= 67 THEN 3 WHEN risk_score >= 34 THEN 2 ELSE 1 END AS force_needed,
+SELECT zone_id, risk_score, pos AS place, CASE WHEN risk_score >= 67 THEN 3 WHEN risk_score >= 34 THEN 2 ELSE 1 END AS force_needed,
   CASE WHEN risk_score >= 67 THEN 'High' WHEN risk_score >= 34 THEN 'Medium' ELSE 'Low' END AS priority, distance_km,
   greatest(3, CAST(round_even(distance_km * 4, 0) AS INTEGER)) AS eta_minutes
 FROM (SELECT *, round(sqrt(pow(abs(lat - base_lat) * {d(111.0)}, 2) + pow(abs(lon - base_lon) * {d(111.0)} * {d(0.87)}, 2)), 1) AS distance_km,
-    row_number() OVER (ORDER BY risk_score DESC, zone_id) AS place
+    row_number() OVER (ORDER BY risk_score DESC, zone_id) AS pos
   FROM (SELECT *, avg(lat) OVER () AS base_lat, avg(lon) OVER () AS base_lon FROM t_uni WHERE lower(station) = 'station 3'))
-WHERE place <= 10""", ["risk_score", "distance_km"])
+WHERE pos <= 10""", ["risk_score", "distance_km"])
 def station_priority_areas(spark, folder):
     rows = serving.station_zones(served(spark, folder), "Station 3")
     return serving.priority_areas(rows).select("zone_id", "risk_score", "place", "force_needed", "priority", "distance_km", "eta_minutes")
@@ -314,7 +314,7 @@ def hotspots_by_bucket(spark, folder):
 
 # Text twins are built from rounded numbers with the same rules, so whole strings compare.
 def _fixed(value: str, digits: int) -> str:
-    return f"printf('%.{digits}f', round({value}, {digits}))"
+    return f"printf('%.{digits}f', {rounded(value, digits)})"
 
 
 _STORY = f"""'Zone ' || zone_id || ' on ' || coalesce(road_name, 'this corridor') || ' (' || coalesce(station, 'Unknown') || ' PS) scores ' || {_fixed('congestion_impact', 0)}
