@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbflow.functions import geo as G
@@ -142,46 +142,54 @@ def report(rows: DataFrame, n_boot: int = 2000) -> DataFrame:
     return stored_rows.withColumns({"baseline_beaten": verdict.getField("baseline_beaten"), "strength": verdict.getField("strength")})
 
 
-def candidate_weights(candidate: str, seed: int) -> dict[str, Column]:
-    """Weights of one search candidate: four corners, the current weights, then uniform simplex draws.
+CHUNK = 256
+
+
+def candidates(spark: SparkSession, n_samples: int, seed: int) -> DataFrame:
+    """Search candidates: four corners, the current weights, then uniform simplex draws.
 
     A draw is the spacing of three sorted 32-bit numbers taken from one hash, so it is exact.
     """
-    text = f"md5(concat('{seed}:', {candidate}))"
-    u = [F.expr(f"CAST(conv(substr({text}, {1 + 8 * i}, 8), 16, 10) AS BIGINT)") for i in range(3)]
-    low, high = F.least(*u), F.greatest(*u)
-    middle = u[0] + u[1] + u[2] - low - high
-    gaps = [low, middle - low, high - middle, F.lit(2 ** 32) - high]
-    current = honest_weights()
-    who = F.expr(candidate)
-    return {
-        name: F.when(who == i, dbl(1.0)).when(who < 4, dbl(0.0)).when(who == 4, dbl(current[name]))
-        .otherwise(gaps[i].cast("double") / dbl(float(2 ** 32)))
-        for i, name in enumerate(V.ROAD_COMPONENTS)
-    }
+    digest = spark.range(5 + n_samples).selectExpr("CAST(id AS INT) AS candidate", f"md5(concat('{seed}:', id)) AS h")
+    drawn = digest.select("candidate", *[
+        F.expr(f"CAST(conv(substr(h, {1 + 8 * i}, 8), 16, 10) AS BIGINT)").alias(f"u{i}") for i in range(3)])
+    ends = drawn.selectExpr("candidate", "least(u0, u1, u2) AS low", "greatest(u0, u1, u2) AS high", "u0 + u1 + u2 AS total")
+    gaps = ["low", "total - high - 2 * low", "2 * high - total + low", f"{2 ** 32} - high"]
+    who, current = F.col("candidate"), honest_weights()
+    return ends.select("candidate", *[
+        F.when(who == i, dbl(1.0)).when(who < 4, dbl(0.0)).when(who == 4, dbl(current[name]))
+        .otherwise(F.expr(f"CAST({gaps[i]} AS DOUBLE)") / dbl(float(2 ** 32))).alias(f"weight_{name}")
+        for i, name in enumerate(V.ROAD_COMPONENTS)])
 
 
 def search_weights(rows: DataFrame, n_samples: int = 20000, seed: int = V.SEARCH_SEED) -> DataFrame:
     """Rank correlation with the measured ratio of every candidate weighting of the train zones.
 
-    Predictions are counted per (candidate, prediction) with the sum of the label ranks, which is all
-    the correlation needs; candidates are spread over range slices.
+    Train rows are spread over tasks by (zone, chunk of candidates) and meet their chunk by an
+    equi-join. Predictions are counted per (candidate, prediction) with the sum of the label ranks,
+    which is all the correlation needs; ranks come from range slices.
     """
     from kerbflow.functions.basics import half_up
     from kerbflow.operators.ranking import average_rank
-    from kerbflow.session import materialise
+    from kerbflow.session import materialise, slices
 
+    spark = rows.sparkSession
     train = rows.where(F.col("split") == "train").select("zone_id", "measured_ratio", *V.ROAD_COMPONENTS)
     train = materialise(train, "train-rows")
-    ranks = average_rank(train.groupBy("measured_ratio").agg(F.count("*").alias("n")), "measured_ratio", (), "n", "ry")
-    spread = train.join(ranks.select("measured_ratio", "ry"), "measured_ratio").withColumn(
-        "candidate", F.explode(F.sequence(F.lit(0), F.lit(4 + n_samples))))
+    ranks = materialise(
+        average_rank(train.groupBy("measured_ratio").agg(F.count("*").alias("n")), "measured_ratio", (), "n", "ry"), "label-ranks")
+    last = (4 + n_samples) // CHUNK
+    chunked = train.join(ranks.select("measured_ratio", "ry"), "measured_ratio").withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0), F.lit(last)))).repartition(slices(spark), "zone_id", "chunk")
+    pool = candidates(spark, n_samples, seed).withColumn("chunk", F.floor(F.col("candidate") / CHUNK).cast("int"))
+    if n_samples <= 200_000:  # 40 bytes per candidate: at most 8 MB
+        pool = F.broadcast(pool)
     value = None
-    for name, weight in candidate_weights("candidate", seed).items():
-        term = weight * F.col(name)
+    for name in V.ROAD_COMPONENTS:
+        term = F.col(f"weight_{name}") * F.col(name)
         value = term if value is None else value + term
-    counted = spread.select("candidate", half_up(value, 9).alias("pred"), "ry").groupBy("candidate", "pred").agg(
-        F.count("*").alias("n"), F.sum("ry").alias("label_ranks"))
+    counted = chunked.join(pool, "chunk").select("candidate", half_up(value, 9).alias("pred"), "ry").groupBy(
+        "candidate", "pred").agg(F.count("*").alias("n"), F.sum("ry").alias("label_ranks"))
     ranked = average_rank(counted, "pred", ["candidate"], "n", "rx")
     size = train.agg(F.count("*")).scalar()
     label_spread = ranks.agg(F.sum(F.col("n") * F.col("ry") * F.col("ry"))).scalar()
@@ -195,11 +203,13 @@ def search_weights(rows: DataFrame, n_samples: int = 20000, seed: int = V.SEARCH
     return sums.select("candidate", half_up(rho, 9).alias("rho"))
 
 
-def best_candidate(found: DataFrame, seed: int = V.SEARCH_SEED) -> DataFrame:
+def best_candidate(found: DataFrame, n_samples: int = 20000, seed: int = V.SEARCH_SEED) -> DataFrame:
     """Best candidate (lowest number on ties) with its four weights."""
     pick = found.where(F.col("rho").isNotNull()).agg(F.min(F.struct((-F.col("rho")).alias("minus"), "candidate")).alias("best"))
     row = pick.select(F.col("best.candidate").alias("candidate"), (-F.col("best.minus")).alias("train_rho"))
-    return row.withColumns(candidate_weights("candidate", seed))
+    pool = candidates(found.sparkSession, n_samples, seed)
+    return row.join(pool, "candidate").select(
+        "candidate", "train_rho", *[F.col(f"weight_{name}").alias(name) for name in V.ROAD_COMPONENTS])
 
 
 def assemble(weights: dict[str, float]) -> dict[str, float]:
@@ -218,8 +228,8 @@ def fit(rows: DataFrame, n_samples: int = 20000) -> tuple[dict[str, float], str]
         return honest_weights(), check["status"]
     if rows.where(F.col("split") == "train").count() < MIN_POINTS:
         return honest_weights(), "fallback_insufficient_data"
-    row = best_candidate(search_weights(rows, n_samples)).first()
-    if row["candidate"] is None:
+    row = best_candidate(search_weights(rows, n_samples), n_samples).first()
+    if row is None:
         return honest_weights(), "fallback_insufficient_data"
     return {name: row[name] for name in V.ROAD_COMPONENTS}, "simplex_random_search"
 

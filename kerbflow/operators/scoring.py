@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kerbflow.functions import geo as G
 from kerbflow.functions import vocabulary as V
-from kerbflow.functions.basics import bounded, dbl, degradation, moving_label, valid_ratio
+from kerbflow.functions.basics import bounded, dbl, degradation, half_up, moving_label, valid_ratio
 from kerbflow.operators.zones import maxima
 
 
@@ -94,7 +94,7 @@ def score(table: DataFrame, weights: Mapping[str, float | Column] = V.IMPACT_WEI
             "is_defaulted": F.when(F.col("override").isNotNull(), 0).otherwise(F.col("is_defaulted")),
         }).drop("override")
     scored = with_centre(rated).withColumns({"congestion_impact": impact(weights), "lane_hours": lane_hours()})
-    return scored.withColumn("impact_band", moving_label(F.col("congestion_impact")))
+    return scored.withColumn("impact_band", moving_label(half_up(F.col("congestion_impact"), 9)))
 
 
 def nested(scored: DataFrame, weights: Mapping[str, float] = V.IMPACT_WEIGHTS) -> DataFrame:

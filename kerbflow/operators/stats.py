@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kerbflow.functions import vocabulary as V
 from kerbflow.functions.basics import dbl, half_up, ratio
 from kerbflow.operators.ranking import average_rank, position, running_total, top_per_group
-from kerbflow.session import materialise
+from kerbflow.session import materialise, slices
 
 MIN_POINTS = 5  # fixed value: fewer pairs give null
 BLOCK = 4096
@@ -79,7 +79,8 @@ def bootstrap(pairs: DataFrame, group: str, ident: str, n_boot: int = 2000, seed
         rows = rows.join(dense, [group, side])
     sizes = rows.groupBy(group).agg(F.count("*").alias("size"))
     rows = materialise(rows.join(sizes, group), "boot-rows")
-    draws = rows.select(group, "slot", "size", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
+    spread = rows.repartition(slices(pairs.sparkSession), group, "slot")
+    draws = spread.select(group, "slot", "size", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
     pick = F.expr(f"CAST(conv(substr(md5(concat('{seed}:', boot, ':', slot)), 1, 8), 16, 10) AS BIGINT) % size")
     counts = draws.select(group, "boot", pick.alias("slot")).groupBy(group, "boot", "slot").agg(F.count("*").alias("m"))
     drawn = materialise(counts.join(rows.select(group, "slot", "dx", "dy", "size"), [group, "slot"]), "boot-draws")

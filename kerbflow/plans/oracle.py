@@ -178,5 +178,5 @@ def weighted(weights: dict[str, float]) -> str:
 
 
 define("t_impact", f"""
-SELECT *, (CAST(zi AS DOUBLE) + {d(0.5)}) * {d(V.ZONE_STEP)} AS lat, (CAST(zj AS DOUBLE) + {d(0.5)}) * {d(V.ZONE_STEP)} AS lon, {band('congestion_impact')} AS impact_band FROM (
+SELECT *, (CAST(zi AS DOUBLE) + {d(0.5)}) * {d(V.ZONE_STEP)} AS lat, (CAST(zj AS DOUBLE) + {d(0.5)}) * {d(V.ZONE_STEP)} AS lon, {band(rounded('congestion_impact', 9))} AS impact_band FROM (
   SELECT *, greatest({d(0.0)}, least({d(100.0)}, {d(100.0)} * ({weighted(V.IMPACT_WEIGHTS)}))) AS congestion_impact FROM t_comp)""")

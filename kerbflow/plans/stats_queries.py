@@ -164,7 +164,7 @@ def rebuilt(spark, folder):
     return scoring.score(T.stored_zone_table(spark, folder), weights, labels)
 
 
-@query("calibrated_rebuild", f"SELECT *, {band('congestion_impact')} AS impact_band FROM t_rebuilt", {"traffic_degradation": 6, "congestion_impact": 5})
+@query("calibrated_rebuild", f"SELECT *, {band(rounded('congestion_impact', 9))} AS impact_band FROM t_rebuilt", {"traffic_degradation": 6, "congestion_impact": 5})
 def calibrated_rebuild(spark, folder):
     return rebuilt(spark, folder).select("zone_id", "time_bucket", "traffic_degradation", "is_defaulted", "congestion_impact", "impact_band")
 
