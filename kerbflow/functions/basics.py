@@ -89,7 +89,7 @@ def moving_label(score: Column) -> Column:
     return ladder([(score <= 25, "MINIMAL"), (score <= 50, "MODERATE"), (score <= 75, "SEVERE")], "CRITICAL")
 
 
-def half_up(value: Column, digits: int) -> Column:
+def half_up(value: Column, digits: int, shift: float = 0.5) -> Column:
     """Round half up by plain arithmetic, so that every engine gives the same double."""
     scale = dbl(10.0 ** digits)
-    return F.floor(value * scale + dbl(0.5)).cast("double") / scale
+    return F.floor(value * scale + dbl(shift)).cast("double") / scale

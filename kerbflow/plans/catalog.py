@@ -13,11 +13,13 @@ from kerbflow.plans.oracle import compose, rounded
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+# Slightly above one half: an exact tie rounds up even when two engines differ in the last bits of a sum.
+NUDGED = 0.5001
 
 
 def _rounded(df: DataFrame, columns: dict[str, int]) -> DataFrame:
     """Round half up with the same arithmetic as the twin, so equal doubles stay equal."""
-    return df.withColumns({name: half_up(F.col(name).cast("double"), digits) for name, digits in columns.items()})
+    return df.withColumns({name: half_up(F.col(name).cast("double"), digits, NUDGED) for name, digits in columns.items()})
 
 
 def query(name: str, sql: str | None = None, floats: Iterable[str] | dict[str, int] = ()) -> Callable[[Query], Query]:
@@ -36,7 +38,7 @@ def query(name: str, sql: str | None = None, floats: Iterable[str] | dict[str, i
         if sql is not None:
             final = sql
             if columns:
-                parts = ", ".join(f"{rounded(name, digits)} AS {name}" for name, digits in columns.items())
+                parts = ", ".join(f"{rounded(name, digits, NUDGED)} AS {name}" for name, digits in columns.items())
                 final = f"SELECT * REPLACE ({parts}) FROM ({sql}) q"
             ORACLES[name] = compose(final)
         return function

@@ -51,27 +51,29 @@ def band(score: str) -> str:
             f"WHEN {score} <= 75 THEN 'SEVERE' ELSE 'CRITICAL' END)")
 
 
-def rounded(value: str, digits: int) -> str:
+def rounded(value: str, digits: int, shift: float = 0.5) -> str:
     scale = f"CAST({10.0 ** digits!r} AS DOUBLE)"
-    return f"floor(CAST({value} AS DOUBLE) * {scale} + CAST(0.5 AS DOUBLE)) / {scale}"
+    return f"floor(CAST({value} AS DOUBLE) * {scale} + CAST({shift!r} AS DOUBLE)) / {scale}"
 
 
 def compose(final: str) -> str:
     """``final`` preceded by every named expression it needs, in dependency order."""
     needed: list[str] = []
+    open_names: list[str] = []
 
     def visit(sql: str) -> None:
         for name in TABLES:
-            if name not in needed and re.search(rf"\b{name}\b", sql):
+            if name not in needed and name not in open_names and re.search(rf"\b{name}\b", sql):
+                open_names.append(name)  # a recursive table names itself
                 visit(TABLES[name])
-                if name not in needed:
-                    needed.append(name)
+                open_names.remove(name)
+                needed.append(name)
 
     visit(final)
     if not needed:
         return final
     blocks = ",\n".join(f"{name} AS ({TABLES[name]})" for name in needed)
-    return f"WITH RECURSIVE {blocks}\n{final}" if "RECURSIVE_" in final else f"WITH {blocks}\n{final}"
+    return f"WITH RECURSIVE {blocks}\n{final}"
 
 
 _E, _U = "event_id", "user_id"
