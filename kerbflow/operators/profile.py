@@ -35,8 +35,8 @@ def quantiles(df: DataFrame, value: str, levels: Sequence[float], group: Sequenc
     """
     keys = list(group) or ["all_rows"]
     rows = (df if group else df.withColumn("all_rows", F.lit(0))).where(F.col(value).isNotNull())
-    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    placed = running_total(counted, [(value, True)], keys, "n")
+    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("copies"))
+    placed = running_total(counted, [(value, True)], keys, "copies")
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("size"))
     wanted = sizes.withColumn("level", F.explode(F.array(*[dbl(level) for level in levels])))
     spot = (F.col("size") - 1) * F.col("level")
@@ -44,7 +44,7 @@ def quantiles(df: DataFrame, value: str, levels: Sequence[float], group: Sequenc
     joined = placed.join(wanted.select(*keys, "level", low.alias("low"), F.ceil(spot).alias("high"), (spot - low).alias("part")), keys)
 
     def covers(edge: str) -> Column:
-        return (F.col("before") <= F.col(edge)) & (F.col(edge) < F.col("before") + F.col("n"))
+        return (F.col("before") <= F.col(edge)) & (F.col(edge) < F.col("before") + F.col("copies"))
 
     picked = joined.where(covers("low") | covers("high")).groupBy(*keys, "level", "part").agg(
         F.min(F.col(value)).cast("double").alias("a"), F.max(F.col(value)).cast("double").alias("b"))
