@@ -17,8 +17,9 @@ def replace_table(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
 def artifact_lines(nested: DataFrame) -> DataFrame:
     """One JSON line per zone with its buckets in order; at most five buckets per zone."""
     body = [c for c in nested.columns if c not in ("zone_id", "time_bucket")]
-    per_zone = nested.groupBy("zone_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("time_bucket", F.struct(*body).alias("entry"))))).alias("buckets"))
+    entries = F.collect_list(F.struct("time_bucket", F.struct(*body).alias("entry")))
+    by_name = F.array_sort(entries, lambda a, b: F.when(a["time_bucket"] < b["time_bucket"], -1).otherwise(1))
+    per_zone = nested.groupBy("zone_id").agg(F.map_from_entries(by_name).alias("buckets"))
     return per_zone.select("zone_id", F.to_json(F.create_map(F.col("zone_id"), F.col("buckets"))).alias("value"))
 
 
