@@ -58,13 +58,15 @@ def hex_number(text: Column, start: int, digits: int = 8) -> Column:
 
 
 def digest_mod(text: str, modulus: int) -> Column:
-    """SHA-256 of a SQL text expression read as one 256-bit number, modulo a small number."""
+    """SHA-256 of a SQL text expression read as one 256-bit number, modulo a small number.
+
+    The one-element transform binds the digest, so it is computed once for its eight parts.
+    """
     terms = [
-        f"pmod(CAST(conv(substr(sha2({text}, 256), {1 + 8 * part}, 8), 16, 10) AS BIGINT), {modulus})"
-        f" * {pow(2 ** 32, 7 - part, modulus)}"
+        f"pmod(CAST(conv(substr(h, {1 + 8 * part}, 8), 16, 10) AS BIGINT), {modulus}) * {pow(2 ** 32, 7 - part, modulus)}"
         for part in range(8)
     ]
-    return F.expr(f"CAST(pmod({' + '.join(terms)}, {modulus}) AS INT)")
+    return F.expr(f"transform(array(sha2({text}, 256)), h -> CAST(pmod({' + '.join(terms)}, {modulus}) AS INT))[0]")
 
 
 def split_of(zone_id: str, seed: int, train_pct: int = 70) -> Column:

@@ -194,8 +194,9 @@ def bucket_shares(df: DataFrame) -> DataFrame:
     """Rows and share per cluster bucket with the sparse (< 5 %) and data-rich (>= 10 %) flags."""
     from kerbflow.functions.events import hour_label
 
-    counted = df.groupBy(hour_label(F.col("hour"), V.CLUSTER_BUCKETS).alias("time_bucket")).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*")).scalar()
+    counted = materialise(
+        df.groupBy(hour_label(F.col("hour"), V.CLUSTER_BUCKETS).alias("time_bucket")).agg(F.count("*").alias("n")), "bucket-counts")
+    total = counted.agg(F.sum("n")).scalar()  # rows outside every bucket are part of the total
     share = F.col("n").cast("double") / total
     return counted.where(F.col("time_bucket").isNotNull()).select(
         "time_bucket", "n", share.alias("share"), F.when(share < 0.05, 1).otherwise(0).alias("is_sparse"),

@@ -11,6 +11,7 @@ from kerbflow.functions import events as E
 from kerbflow.functions import vocabulary as V
 from kerbflow.functions.basics import dbl, lookup, quoted, ratio
 from kerbflow.operators.ranking import position, running_total
+from kerbflow.session import materialise
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -53,9 +54,10 @@ def quantiles(df: DataFrame, value: str, levels: Sequence[float], group: Sequenc
 
 
 def share(df: DataFrame, *keys: Column | str) -> DataFrame:
-    """Rows and percentage per key."""
-    total = df.agg(F.count("*")).scalar()
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("pct", F.col("n").cast("double") / total * dbl(100.0))
+    """Rows and percentage per key; the total comes from the stored counts, not from a second scan."""
+    counted = materialise(df.groupBy(*keys).agg(F.count("*").alias("n")), "counts")
+    total = counted.agg(F.sum("n")).scalar()
+    return counted.withColumn("pct", F.col("n").cast("double") / total * dbl(100.0))
 
 
 def label_counts(df: DataFrame) -> DataFrame:
@@ -129,7 +131,6 @@ def label_severity(labels: str = "labels") -> Column:
 def proxy_index(prepared: DataFrame, peak: dict[str, float] | None = None) -> DataFrame:
     """Documented seven-part risk proxy per (zone, bucket), min-max scaled to 0-100 with bands."""
     from kerbflow.operators.scoring import one_row
-    from kerbflow.session import materialise
 
     peak = peak or {"morning_peak": 1.0, "midday": 0.8, "afternoon": 0.6, "night": 0.3}
     exposed = F.greatest(F.col("named"), E.any_of("labels", [V.MAIN_ROAD_LABEL]))
@@ -156,19 +157,22 @@ def proxy_index(prepared: DataFrame, peak: dict[str, float] | None = None) -> Da
 
 def zone_features(prepared: DataFrame) -> DataFrame:
     """Per zone: severity sum and max, days since the last event, devices, approval, rank within its station."""
-    from kerbflow.operators.zones import mode
-
     severity = label_severity()
-    per_device = prepared.groupBy("zone_id", "device_id").agg(
+    sums = [F.sum("n").alias("n"), F.sum("sev_sum").alias("sev_sum"), F.max("sev_max").alias("sev_max"), F.max("last").alias("last"),
+            F.sum("ok").alias("ok"), F.sum("known").alias("known")]
+    stored = materialise(prepared.groupBy("zone_id", "station", "device_id").agg(  # the only pass over the events
         F.count("*").alias("n"), F.sum(severity).alias("sev_sum"), F.max(severity).alias("sev_max"), F.max("local_ts").alias("last"),
-        F.count_if(F.col("validation_status") == "approved").alias("ok"), F.count("validation_status").alias("known"))
+        F.count_if(F.col("validation_status") == "approved").alias("ok"), F.count("validation_status").alias("known")), "zone-devices")
+    per_device = stored.groupBy("zone_id", "device_id").agg(*sums)
     zones = per_device.groupBy("zone_id").agg(
         F.sum("n").alias("total_records"), F.sum("sev_sum").alias("severity_sum"), F.max("sev_max").alias("severity_max"),
         F.max("last").alias("last"), F.count("device_id").alias("device_count"),
         (F.max(F.when(F.col("device_id").isNotNull(), F.col("n"))) / F.sum("n")).alias("top_device_share"),
         ratio(F.sum("ok"), F.sum("known")).alias("approval_rate"), (F.sum("known") / F.sum("n")).alias("validation_coverage"))
-    end = prepared.agg(F.max("local_ts")).scalar()
+    end = stored.agg(F.max("last")).scalar()
     dated = zones.withColumn("days_since_last", F.date_diff(F.to_date(end), F.to_date("last"))).drop("last")
-    homed = dated.join(mode(prepared, ["zone_id"], "station", "station"), "zone_id", "left").withColumn(
+    homes = stored.where(F.col("station").isNotNull()).groupBy("zone_id", "station").agg(F.sum("n").alias("n")).groupBy("zone_id").agg(
+        F.min(F.struct((-F.col("n")).alias("minus"), "station")).getField("station").alias("station"))
+    homed = dated.join(homes, "zone_id", "left").withColumn(
         "station", F.coalesce("station", F.lit("Unknown")))
     return position(homed, [("total_records", False), ("zone_id", True)], ["station"], "rank_in_station")

@@ -22,13 +22,15 @@ def cell_hours(cleaned: DataFrame) -> DataFrame:
     """
     daily = cleaned.groupBy("grid_cell_id", "cell_i", "cell_j", "hour", "date").agg(
         F.count("*").alias("n"), F.sum("validation_trust").alias("trust"), F.sum("vehicle_severity").alias("sev"),
-        F.max(named_junction(F.col("junction_name"))).alias("named"), F.min("grid_lat").alias("grid_lat"),
+        F.max(named_junction(F.col("junction_name"))).alias("named"),
+        F.count_if(F.col("validation_status_clean") == "approved").alias("approved"), F.min("grid_lat").alias("grid_lat"),
         F.min("grid_lon").alias("grid_lon"))
     total = F.sum("n")
     return daily.groupBy("grid_cell_id", "cell_i", "cell_j", "hour").agg(
         F.min("grid_lat").alias("grid_lat"), F.min("grid_lon").alias("grid_lon"),
         total.alias("violation_count"), (F.sum("trust") / total).alias("validation_trust"),
         (F.sum("sev") / total).alias("heavy_vehicle_ratio"), F.max("named").alias("has_junction"),
+        F.sum("approved").alias("approved_count"),
         (F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).cast("double") / total).alias("repeat_offender"))
 
 
@@ -49,16 +51,15 @@ def scores(hours: DataFrame) -> DataFrame:
     return rated.withColumns({"risk_tier_label": tier, "risk_tier": L.tier_number(tier)})
 
 
-def patrol_history(cleaned: DataFrame) -> DataFrame:
-    """Approved events per (cell, hour) scaled to 0-3 by the largest count, rounded half to even."""
-    counted = cleaned.where(F.col("validation_status_clean") == "approved").groupBy("grid_cell_id", "hour").agg(
-        F.count("*").alias("raw_count"))
-    from kerbflow.session import materialise
+def patrol_history(hours: DataFrame) -> DataFrame:
+    """Approved events per (cell, hour) scaled to 0-3 by the largest count, rounded half to even.
 
-    stored = materialise(counted, "patrol-counts")
-    top = stored.agg(F.max("raw_count")).scalar()
-    scaled = F.bround(ratio(F.col("raw_count"), top) * 3, 0).cast("int")
-    return stored.select("grid_cell_id", "hour", F.least(F.lit(3), F.greatest(F.lit(0), scaled)).alias("patrol_count"))
+    Works on the stored hour table; the events are not read again.
+    """
+    approved = hours.where(F.col("approved_count") > 0)
+    top = approved.agg(F.max("approved_count")).scalar()
+    scaled = F.bround(ratio(F.col("approved_count"), top) * 3, 0).cast("int")
+    return approved.select("grid_cell_id", "hour", F.least(F.lit(3), F.greatest(F.lit(0), scaled)).alias("patrol_count"))
 
 
 def patrol_probability(risk: DataFrame, history: DataFrame, alpha: float = 1.5, fatigue: float = 0.3) -> DataFrame:
@@ -131,6 +132,6 @@ def peak_leaders(patrol: DataFrame, limit: int = 10) -> DataFrame:
 
 def distribution(df: DataFrame, label: str) -> DataFrame:
     """Rows and percentage per label."""
-    counted = df.groupBy(label).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*")).scalar()
-    return counted.withColumn("pct", F.col("n").cast("double") / total * dbl(100.0))
+    from kerbflow.operators.profile import share
+
+    return share(df, label)

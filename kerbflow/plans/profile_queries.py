@@ -12,6 +12,7 @@ from kerbflow.plans import tables as T
 from kerbflow.plans.catalog import query
 from kerbflow.plans.oracle import d, define, rounded
 from kerbflow.plans.risk_queries import cleaned
+from kerbflow.session import materialise
 
 _COLUMNS = ["id", "latitude", "longitude", "location", "vehicle_number", "vehicle_type", "updated_vehicle_type", "violation_type", "police_station",
             "center_code", "device_id", "junction_name", "validation_status"]
@@ -40,8 +41,10 @@ SELECT c.zone_id, c.n, s.station FROM (SELECT zone_id, count(*) AS n FROM t_plac
 JOIN (SELECT zone_id, police_station AS station, row_number() OVER (PARTITION BY zone_id ORDER BY count(*) DESC, police_station) AS rn FROM t_placed GROUP BY zone_id, police_station) s ON s.zone_id = c.zone_id AND s.rn = 1""")
 def fine_cell_leaders(spark, folder):
     placed = zones.place(T.facts(spark, folder))
-    top = placed.groupBy("zone_id").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "zone_id").limit(15)
-    return top.join(zones.mode(placed, ["zone_id"], "police_station", "station"), "zone_id")
+    counted = materialise(placed.groupBy("zone_id", "police_station").agg(F.count("*").alias("n")), "zone-stations")
+    top = counted.groupBy("zone_id").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("minus"), "police_station")).alias("best"))
+    return top.orderBy(F.col("total").desc(), "zone_id").limit(15).select(
+        "zone_id", F.col("total").alias("n"), F.col("best.police_station").alias("station"))
 
 
 @query("zone_mode_station", "SELECT zone_id, time_bucket, station FROM t_station WHERE time_bucket <> 'all_day'")

@@ -137,14 +137,17 @@ def cleaned(spark, folder):
     return zones.clean_legacy(T.facts(spark, folder))
 
 
+def hour_table(spark, folder):
+    return materialise(risk.cell_hours(cleaned(spark, folder)), "cell-hours")
+
+
 def risk_table(spark, folder):
-    return risk.scores(materialise(risk.cell_hours(cleaned(spark, folder)), "cell-hours"))
+    return risk.scores(hour_table(spark, folder))
 
 
 def patrol_table(spark, folder):
-    table = materialise(risk_table(spark, folder), "risk")
-    patrol = risk.patrol_probability(table, risk.patrol_history(cleaned(spark, folder)))
-    return patrol
+    hours = hour_table(spark, folder)
+    return risk.patrol_probability(materialise(risk.scores(hours), "risk"), risk.patrol_history(hours))
 
 
 def stored_patrol(spark, folder):
@@ -170,7 +173,7 @@ def clean_events(spark, folder):
        "SELECT grid_cell_id, hour, grid_lat, grid_lon, violation_count, validation_trust, heavy_vehicle_ratio, has_junction FROM t_cellhour",
        ["grid_lat", "grid_lon", "validation_trust", "heavy_vehicle_ratio"])
 def cell_hour_aggregate(spark, folder):
-    return risk.cell_hours(cleaned(spark, folder)).drop("cell_i", "cell_j", "repeat_offender")
+    return risk.cell_hours(cleaned(spark, folder)).drop("cell_i", "cell_j", "repeat_offender", "approved_count")
 
 
 @query("repeat_ratio", "SELECT grid_cell_id, hour, repeat_offender FROM t_cellhour", ["repeat_offender"])
@@ -207,7 +210,7 @@ def hourly_risk_export(spark, folder):
 
 @query("patrol_history", "SELECT * FROM t_history")
 def patrol_history(spark, folder):
-    return risk.patrol_history(cleaned(spark, folder))
+    return risk.patrol_history(hour_table(spark, folder))
 
 
 _PATROL = "grid_cell_id, hour, risk_score, baseline_weight, adjusted_weight, patrol_probability"

@@ -50,7 +50,9 @@ def travel_ratios(placed: DataFrame) -> DataFrame:
     ``placed`` has ``zone_id`` and ``signal``; about 60 % of the zones get a ratio.
     """
     per_zone = placed.groupBy("zone_id").agg(F.sum("signal").alias("total"), F.count("signal").alias("n"))
-    measured = per_zone.where(digest_mod("concat('measure:', zone_id)", 100) < 60).where("n > 0")
+    # The test names n as well, so it stays above the aggregate: one hash per zone, not per event.
+    chosen = F.when(F.col("n") > 0, digest_mod("concat('measure:', zone_id)", 100)) < 60
+    measured = per_zone.where(chosen)
     return measured.selectExpr("zone_id", "1D + CAST(total AS DOUBLE) / CAST(n AS DOUBLE) / 50D AS travel_time_ratio")
 
 
@@ -70,7 +72,9 @@ def leg_records(ratios: DataFrame) -> DataFrame:
             f" 'distance_m', CASE WHEN {_hex(text, 17)} % 3 <> 0 THEN CAST(200 + {_hex(text, 17)} % 900 AS DOUBLE) END)")
     poi = "concat('poi:', zone_id)"
     return ratios.selectExpr(
-        "zone_id", "travel_time_ratio", f"array({', '.join(legs)}) AS raw_legs",
+        "zone_id", "travel_time_ratio",
+        # Tied to the ratio so that the optimiser cannot move the hashes below the aggregate onto event rows.
+        f"CASE WHEN travel_time_ratio IS NOT NULL THEN array({', '.join(legs)}) END AS raw_legs",
         f"transform(sequence(1, 1 + CAST({_hex(poi, 1)} % 7 AS INT)), i -> named_struct('name', concat('poi ', i))) AS pois",
         f"CASE WHEN {_hex(poi, 9)} % 4 = 0 THEN 1 ELSE 0 END AS is_exploration",
         f"concat('Road ', {_hex(poi, 17)} % 50, CASE WHEN {_hex(poi, 17)} % 5 = 0 THEN ' Main Road' ELSE ' Cross' END) AS road_name",
