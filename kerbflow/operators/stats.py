@@ -166,5 +166,6 @@ def blend_sweep(df: DataFrame, group: Sequence[str], ident: str, actual: str, fi
     value = F.col("weight") * F.col(first) + (dbl(1.0) - F.col("weight")) * F.col(second)
     mixed = mixed.withColumn("mixed", half_up(F.greatest(value, dbl(0.0)), 9)).drop(first, second)
     rated = precision_at_k(mixed, group, ident, actual, "mixed", k, ["weight"])
+    rated = rated.withColumn("precision", half_up(F.col("precision"), 9))  # the last bits of a mean must not pick the best
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("precision").desc(), "weight")  # one row per weight
     return rated.select("weight", "precision", F.when(F.row_number().over(order) == 1, 1).otherwise(0).alias("is_best"))

@@ -300,7 +300,7 @@ def prediction_cap(spark, folder):
 define("t_mix", f"SELECT zone_id, date, actual, w / {d(20.0)} AS weight, {rounded(f'greatest((w / {d(20.0)}) * a + ({d(1.0)} - w / {d(20.0)}) * b, 0)', 9)} AS mixed FROM t_eval, (SELECT unnest(range(0, 21)) AS w)")
 
 
-@query("blend_sweep", f"SELECT weight, precision, CASE WHEN row_number() OVER (ORDER BY precision DESC, weight) = 1 THEN 1 ELSE 0 END AS is_best FROM ({_precision_sql('t_mix', 'mixed', 'weight').replace(' AND sum(actual) > 0', '')})", ["weight", "precision"])
+@query("blend_sweep", f"SELECT weight, precision, CASE WHEN row_number() OVER (ORDER BY {rounded('precision', 9)} DESC, weight) = 1 THEN 1 ELSE 0 END AS is_best FROM ({_precision_sql('t_mix', 'mixed', 'weight').replace(' AND sum(actual) > 0', '')})", ["weight", "precision"])
 def blend_sweep(spark, folder):
     return stats.blend_sweep(materialise(evaluation(spark, folder), "evaluation"), ["date"], "zone_id", "actual", "a", "b")
 
