@@ -101,9 +101,14 @@ def neighbour_lag(panel: DataFrame, daily: DataFrame, edges: DataFrame) -> DataF
         "sent", "degree")
 
 
+def whole_hour(column: str) -> Column:
+    """Start of the hour of a wall-clock time, without going through the session time zone."""
+    return F.timestamp_add("HOUR", F.hour(column), F.to_date(column).cast("timestamp_ntz"))
+
+
 def hourly_counts(cleaned: DataFrame, min_events: int = 1) -> DataFrame:
     """Events per (cell, local hour) for cells with at least ``min_events`` events."""
-    counts = cleaned.groupBy("grid_cell_id", "cell_i", "cell_j", F.date_trunc("hour", "local_ts").cast("timestamp_ntz").alias("ts")).agg(
+    counts = cleaned.groupBy("grid_cell_id", "cell_i", "cell_j", whole_hour("local_ts").alias("ts")).agg(
         F.count("*").alias("violation_count"))
     if min_events <= 1:
         return counts

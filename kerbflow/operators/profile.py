@@ -102,7 +102,7 @@ def missing_by(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def status_by_month(df: DataFrame, statuses: Sequence[str]) -> DataFrame:
-    month = F.date_format("local_ts", "yyyy-MM").alias("month")
+    month = F.substring(F.to_date("local_ts").cast("string"), 1, 7).alias("month")
     value = F.coalesce("validation_status", F.lit("missing"))
     return df.select(month, value.alias("status")).groupBy("month").pivot("status", list(statuses)).count().fillna(0)
 
