@@ -140,15 +140,26 @@ def cyclic(df: DataFrame) -> DataFrame:
 
 
 def hour_features(panel: DataFrame) -> DataFrame:
-    """Clock lags, rolling statistics of earlier hours and the spike ratio; one sort per cell."""
+    """Clock lags, rolling statistics of earlier hours and the spike ratio; one sort per cell.
+
+    Rolling sums are differences of running sums, so a row costs the same for a day as for a week;
+    counts are whole numbers, so nothing is lost in the subtraction.
+    """
     order = Window.partitionBy("grid_cell_id").orderBy("ts")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     count = F.col("violation_count")
+    rows = panel.withColumns({
+        "run_n": F.row_number().over(order) - 1, "run_s": F.coalesce(F.sum(count).over(earlier), F.lit(0)),
+        "run_q": F.coalesce(F.sum(count * count).over(earlier), F.lit(0))})
     columns = {f"lag_{n}": F.lag(count, n).over(order).cast("double") for n in (1, 24, 168)}
     for n in (24, 168):
-        past = order.rowsBetween(-n, -1)
-        columns[f"rolling_mean_{n}h"] = F.coalesce(F.avg(count).over(past), dbl(0.0))
-        columns[f"rolling_std_{n}h"] = F.coalesce(F.stddev_samp(count).over(past), dbl(0.0))
-    rows = panel.withColumns(columns)
+        size = F.least("run_n", F.lit(n)).cast("double")
+        total, square = (
+            (F.col(c) - F.coalesce(F.lag(c, n).over(order), F.lit(0))).cast("double") for c in ("run_s", "run_q"))
+        spread = F.greatest(dbl(0.0), square - ratio(total * total, size))
+        columns[f"rolling_mean_{n}h"] = ratio(total, size)
+        columns[f"rolling_std_{n}h"] = F.when(size > 1, F.sqrt(spread / F.when(size > 1, size - 1))).otherwise(dbl(0.0))
+    rows = rows.withColumns(columns).drop("run_n", "run_s", "run_q")
     mean = F.col("rolling_mean_168h")
     return rows.withColumn("violation_rate", F.when(mean > 0, F.col("lag_1") / F.when(mean > 0, mean)).otherwise(dbl(1.0)))
 
