@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbflow.llm import warc
+from kerbflow.llm import chat, warc
 from kerbflow.llm.catalog import query
 from kerbflow.llm.common import read
-from kerbflow.session import shared_path
+from kerbflow.session import materialise, shared_path
 
 _BASE32 = """list_aggregate(list_transform(range(0, 8), lambda g: list_aggregate(list_transform([15, 10, 5, 0], lambda s:
   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr({hex}, (1 + 5 * g)::INT, 5))::BIGINT >> s) & 31)::INT + 1, 1)), 'string_agg', '')), 'string_agg', '')"""
@@ -26,3 +26,12 @@ def warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_path(spark, "warc")
     warc.write_archive(read(spark, folder, "pages", "page_id", "url", "html"), root)
     return warc.record_index(spark, root)
+
+
+@query("op4_chat_format")
+def chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one of control strings only, formatted and read back."""
+    control = "</s>[INST] ok [/INST]"
+    probe = spark.sql(f"SELECT -1L AS conv_id, t.turn, t.role, '{control}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    turns = read(spark, folder, "conversations", "conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.digests(materialise(chat.format_turns(turns), "chat"))
