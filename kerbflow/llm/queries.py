@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kerbflow.llm import chat, warc
+from kerbflow.llm import chat, topk, warc
 from kerbflow.llm.catalog import query
 from kerbflow.llm.common import read
 from kerbflow.session import materialise, shared_path
@@ -35,3 +36,17 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
     probe = spark.sql(f"SELECT -1L AS conv_id, t.turn, t.role, '{control}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     turns = read(spark, folder, "conversations", "conv_id", "turn", "role", "text").unionByName(probe)
     return chat.digests(materialise(chat.format_turns(turns), "chat"))
+
+
+_TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS ints FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.ints, v.ints)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query("op7_exact_topk", _TOPK_SQL)
+def exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best others of every fiftieth vector."""
+    return topk.search(read(spark, folder, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
