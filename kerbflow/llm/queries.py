@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbflow.llm import chat, topk, warc
+from kerbflow.llm import chat, topk, toxicity, warc
 from kerbflow.llm.catalog import query
-from kerbflow.llm.common import read
+from kerbflow.llm.common import read, remainder
 from kerbflow.session import materialise, shared_path
 
 _BASE32 = """list_aggregate(list_transform(range(0, 8), lambda g: list_aggregate(list_transform([15, 10, 5, 0], lambda s:
@@ -50,3 +50,13 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 def exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The five best others of every fiftieth vector."""
     return topk.search(read(spark, folder, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+@query("op1_toxicity")
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled documents outside one fold."""
+    held_out = remainder("doc_id", 4) == 2
+    documents = read(spark, folder, "documents", "doc_id", "text", "lang")
+    model = toxicity.fit(documents, read(spark, folder, "labels", "doc_id", "toxic"), learn_from=~held_out)
+    scored = toxicity.score(documents, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
