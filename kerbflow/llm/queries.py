@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbflow.llm import chat, topk, toxicity, warc
+from kerbflow.llm import chat, simhash, topk, toxicity, warc
 from kerbflow.llm.catalog import query
 from kerbflow.llm.common import read, remainder
 from kerbflow.session import materialise, shared_path
@@ -60,3 +60,10 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit(documents, read(spark, folder, "labels", "doc_id", "toxic"), learn_from=~held_out)
     scored = toxicity.score(documents, model, keep=["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op2_simhash_near_duplicates")
+def simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(read(spark, folder, "documents", "doc_id", "text"), words=4, radius=4)
+    return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
