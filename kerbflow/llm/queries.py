@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbflow.llm import chat, decontaminate, simhash, topk, toxicity, warc
+from kerbflow.llm import chat, decontaminate, pii, simhash, topk, toxicity, warc
 from kerbflow.llm.catalog import query
 from kerbflow.llm.common import read, remainder
 from kerbflow.session import materialise, shared_path
@@ -89,3 +89,10 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that also stand in a benchmark window."""
     found = decontaminate.decontaminate(read(spark, folder, "documents", "doc_id", "text"), read(spark, folder, "benchmark", "item_id", "text"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op8_personal_data")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: fixed patterns, and what the tagger adds."""
+    found = pii.scan(read(spark, folder, "documents", "doc_id", "text"), pii.fit())
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
