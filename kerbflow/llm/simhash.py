@@ -157,43 +157,44 @@ def near_lanes(planes: np.ndarray, word: np.ndarray, query: np.ndarray, radius:
 
 
 def bucket_links(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b), a < b, of fingerprints of one group within the radius; groups are contiguous."""
-    size = len(fp)
+    """Places (a, b), a < b, of fingerprints of one group within the radius; groups are contiguous.
+
+    Groups stand in the lanes one after the other; lanes of other groups in a word are left out of the result.
+    """
     new = np.concatenate([[True], group[1:] != group[:-1]])
     starts = np.flatnonzero(new)
-    sizes = np.diff(np.append(starts, size))
-    own = np.repeat(np.arange(len(starts)), sizes)
-    within = np.arange(size) - starts[own]
-    widths = -(-sizes // 64)
-    first_word = np.concatenate([[0], np.cumsum(widths)])
-    place = (first_word[own] + (within >> 6)) * 64 + (within & 63)
-    back = np.full(first_word[-1] * 64, -1, dtype=np.int64)
-    back[place] = np.arange(size)
-    lanes = np.zeros(first_word[-1] * 64, dtype=np.uint64)
-    lanes[place] = fp
+    sizes = np.diff(np.append(starts, len(fp)))
+    kept = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    empty = np.zeros(0, dtype=np.int64)
+    size = len(kept)
+    if not size:
+        return empty, empty
+    sizes = sizes[sizes > 1]
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    last_word = (np.cumsum(sizes) - 1 >> 6)[own]
+    lanes = np.zeros(-(-size // 64) * 64, dtype=np.uint64)
+    lanes[:size] = fp[kept]
     planes = bit_planes(lanes.reshape(-1, 64))
-    found_a, found_b = [], []
     # Only words at or after a query's own are needed: the pair is met from its earlier side.
-    spans = widths[own] - (within >> 6)
-    spans[sizes[own] < 2] = 0
+    at = np.arange(size)
+    spans = last_word - (at >> 6) + 1
     ends = np.cumsum(spans)
-    first = 0
+    found_a, found_b, first = [empty], [empty], 0
     while first < size:
         last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + TASKS_AT_ONCE, side="right")))
         count = spans[first:last]
-        query = np.repeat(np.arange(first, last), count)
-        if len(query):
-            word = (first_word[own] + (within >> 6))[query] + np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)
-            task, mask = near_lanes(planes, word, fp[query], radius)
-            bits = np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            row, lane = np.nonzero(bits)
-            a, b = query[task[row]], back[word[task[row]] * 64 + lane]
-            good = b > a
-            found_a.append(a[good])
-            found_b.append(b[good])
+        query = np.repeat(at[first:last], count)
+        word = (query >> 6) + np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)
+        task, mask = near_lanes(planes, word, lanes[query], radius)
+        row, lane = np.nonzero(np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        a, b = query[task[row]], word[task[row]] * 64 + lane
+        good = (b > a) & (b < size)
+        a, b = a[good], b[good]
+        good = own[a] == own[b]
+        found_a.append(kept[a[good]])
+        found_b.append(kept[b[good]])
         first = last
-    empty = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (empty, empty)
+    return np.concatenate(found_a), np.concatenate(found_b)
 
 
 def _forest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
