@@ -30,7 +30,7 @@ from kerbflow.session import materialise
 
 SEED = 42
 CHUNK = 1024
-TASKS_AT_ONCE = 1 << 18
+TASKS_AT_ONCE = 1 << 15
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -91,15 +91,20 @@ def _sketch(words: int, repeats: bool, bottom: int):
                     own, kept = distinct_in_texts(hashes, offsets) if repeats else (hashes, offsets)
                     sizes = np.diff(kept)
                     first_ones = np.arange(len(own)) - np.repeat(kept[:-1], sizes) < bottom
-                    columns += [pa.array(sizes), list_array(own[first_ones].view(np.int64), np.concatenate([[0], np.cumsum(np.minimum(sizes, bottom))]), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "shingles", "bottom"][: len(columns)])
+                    columns += [pa.array(sizes), list_array((own[first_ones] >> np.uint64(1)).view(np.int64), np.concatenate([[0], np.cumsum(np.minimum(sizes, bottom))]), pa.int64())]
+                    columns.append(part.column("text_key"))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "shingles", "bottom", "text_key"][: len(columns)])
     return run
 
 
 def sketches(documents: DataFrame, words: int = 4, repeats: bool = True, bottom: int = 0) -> DataFrame:
-    """(doc_id, fp) and, if asked for, the number of distinct shingles and their ``bottom`` smallest hashes."""
-    more = ", shingles long, bottom array<long>" if bottom else ""
-    return documents.select("doc_id", "text").mapInArrow(_sketch(words, repeats, bottom), f"doc_id long, fp long{more}")
+    """(doc_id, fp) and, if asked for, the number of distinct shingles and their ``bottom`` smallest hashes (63 bits).
+
+    With ``bottom`` a column ``text_key`` of the documents is kept as well.
+    """
+    more = ", shingles long, bottom array<long>, text_key long" if bottom else ""
+    chosen = documents.select("doc_id", "text", *(["text_key"] if bottom else []))
+    return chosen.mapInArrow(_sketch(words, repeats, bottom), f"doc_id long, fp long{more}")
 
 
 def keys(radius: int) -> Column:
@@ -211,9 +216,9 @@ def _forest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = fresh
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(group numbers, fingerprints) of whole groups; the last group of a batch waits for the next batch."""
-    names = ("block", "value", "low", "high", "fp")
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(group numbers, nodes, fingerprints) of whole groups; the last group of a batch waits for the next batch."""
+    names = ("block", "value", "low", "high", "node", "fp")
     kept = {n: np.zeros(0, dtype=np.int64) for n in names}
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
@@ -226,42 +231,60 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
             new[1:] |= kept[n][1:] != kept[n][:-1]
         cut = size if batch is None else (int(np.flatnonzero(new)[-1]) if new.any() else 0)
         if cut:
-            yield np.cumsum(new[:cut]), kept["fp"][:cut].view(np.uint64)
+            yield np.cumsum(new[:cut]), kept["node"][:cut], kept["fp"][:cut].view(np.uint64)
             kept = {n: v[cut:] for n, v in kept.items()}
 
 
 def _compare(radius: int):
+    """Links of each key as a spanning forest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, fp in _grouped(batches):
+        for group, node, fp in _grouped(batches):
             a, b = bucket_links(group, fp, radius)
             label = _forest(len(fp), a, b)
             moved = np.flatnonzero(label != np.arange(len(fp)))
-            signed = fp.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed[label[moved]]), pa.array(signed[moved])], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[label[moved]]), pa.array(node[moved])], ["u", "v"])
+    return run
+
+
+def _nearest(radius: int, most: int):
+    """Links of each key; of a node with more than ``most`` links those to its ``most`` nearest ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, node, fp in _grouped(batches):
+            a, b = bucket_links(group, fp, radius)
+            far = np.bitwise_count(fp[a] ^ fp[b])
+            ends, others, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([far, far])
+            order = np.lexsort((node[others], far, ends))
+            ends, others = ends[order], others[order]
+            place = np.arange(len(ends)) - np.searchsorted(ends, ends)
+            ends, others = node[ends[place < most]], node[others[place < most]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ends, others)), pa.array(np.maximum(ends, others))], ["u", "v"])
     return run
 
 
-def dealt(distinct: DataFrame, radius: int) -> DataFrame:
-    """Distinct fingerprints under their keys (block, value, low, high, fp), whole keys together and in order.
+def dealt(nodes: DataFrame, radius: int) -> DataFrame:
+    """Nodes (node, fp) under their keys (block, value, low, high), whole keys together and in order.
 
-    Keys with more than ``CHUNK`` fingerprints are cut into chunks; a row goes to every pair of chunks that holds its own.
+    Keys with more than ``CHUNK`` nodes are cut into chunks; a row goes to every pair of chunks that holds its own.
     """
-    keyed = distinct.select("fp", F.explode(keys(radius)).alias("key")).select("fp", F.col("key.block").alias("block"), F.col("key.value").alias("value"))
+    keyed = nodes.select("node", "fp", F.explode(keys(radius)).alias("key")).select("node", "fp", F.col("key.block").alias("block"), F.col("key.value").alias("value"))
     large = keyed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
     large = materialise(large.select("block", "value", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "simhash-large")
     if large.isEmpty():
         rows = keyed.withColumns({"low": F.lit(0), "high": F.lit(0)})
     else:
-        rows = keyed.join(large, ["block", "value"], "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))).cast("int"))
+        rows = keyed.join(large, ["block", "value"], "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-        rows = rows.select("fp", "block", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        rows = rows.select("node", "fp", "block", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     names = ["block", "value", "low", "high"]
-    return rows.select(*names, "fp").repartition(*names).sortWithinPartitions(*names)
+    return rows.select(*names, "node", "fp").repartition(*names).sortWithinPartitions(*names)
 
 
 def linked(distinct: DataFrame, radius: int) -> DataFrame:
-    """(node, label) of all distinct fingerprints linked to another one."""
-    return components(dealt(distinct, radius).mapInArrow(_compare(radius), "u long, v long").distinct())
+    """(node, label) of all distinct fingerprints linked to another one; a fingerprint is its own node."""
+    nodes = distinct.select(F.col("fp").alias("node"), "fp")
+    return components(dealt(nodes, radius).mapInArrow(_compare(radius), "u long, v long").distinct())
 
 
 def near_duplicates(documents: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -274,5 +297,63 @@ def near_duplicates(documents: DataFrame, words: int = 4, radius: int = 4) -> Da
     return docs.join(named.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def similarity(a: str, b: str, bottom: int) -> Column:
+    """Share of common shingles from two structs (shingles, bottom): exact where both lists are whole.
+
+    Below the smaller of the last hashes of the lists that were cut, both lists are whole; the share is taken there.
+    """
+    cut = lambda n: F.when(F.col(f"{n}.shingles") > bottom, F.element_at(F.col(f"{n}.bottom"), -1))
+    limit = F.coalesce(F.least(cut(a), cut(b)), F.lit(2**63 - 1))
+    below = lambda n: F.filter(F.col(f"{n}.bottom"), lambda x: x <= limit)
+    common = F.size(F.array_intersect(below(a), below(b)))
+    union = F.size(below(a)) + F.size(below(b)) - common
+    return F.when(union > 0, common / union).otherwise(1.0)
+
+
+def one_of_each_group(documents: DataFrame, words: int = 5, least: float = 0.8, radius: int = 11, bottom: int = 256, most: int = 16) -> DataFrame:
+    """Documents (doc_id, text, ...) without near copies: of each group the row with the smallest id stays.
+
+    Texts whose fingerprints over distinct shingles are within the radius are candidates; a candidate pair is linked
+    if its shingles are ``least`` similar by Jaccard. Groups are connected over links. In one round a text is held
+    against its ``most`` nearest candidates under each key; the documents that stay are compared again until a round
+    links nothing, so near neighbours that go make room for the next ones.
+
+    Equal rows are one document. Texts without words are copies of each other. A null id comes after all others.
+    """
+    keyed = documents.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = sketches(keyed, words, repeats=False, bottom=bottom).withColumn("node", F.xxhash64("fp", "shingles", "bottom"))
+    rows = materialise(rows, "dedup-rows")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first(F.struct("shingles", "bottom")).alias("sketch"))
+    nodes = materialise(nodes, "dedup-nodes")
+    gone, active = None, nodes
+    while True:
+        pairs = materialise(dealt(active, radius).mapInArrow(_nearest(radius, most), "u long, v long").distinct(), "dedup-pairs")
+        held = nodes.select("node", "sketch")
+        side = lambda n: held.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}"))  # noqa: E731, B023
+        links = materialise(pairs.join(side("u"), "u").join(side("v"), "v").where(similarity("su", "sv", bottom) >= least).select("u", "v"), "dedup-links")
+        if links.isEmpty():
+            break
+        groups = materialise(components(links).join(nodes.select("node", "least"), "node"), "dedup-groups")
+        order = F.struct(F.coalesce("least", F.lit(2**63 - 1)).alias("id"), F.col("node"))
+        stays = groups.groupBy("label").agg(F.min(order).alias("first")).select(F.col("first.node").alias("node"))
+        lost = materialise(groups.select("node").join(stays, "node", "left_anti"), "dedup-lost")
+        gone = lost if gone is None else gone.unionByName(lost)
+        # Only texts that had candidates can gain new ones.
+        met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(gone, "node", "left_anti")
+        active = materialise(nodes.join(met, "node", "left_semi").select("node", "fp"), "dedup-active")
+    standing = rows.join(nodes.select("node", "least"), "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    if gone is not None:
+        standing = standing.join(gone, "node", "left_anti")
+    # Equal ids with texts that differ only in spaces or capitals: the smallest key stays.
+    stay = materialise(standing.groupBy("doc_id", "node").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("n")), "dedup-stay")
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("text_key")
+    marked = stay.select(F.col("doc_id").alias("stay_id"), "text_key", "n")
+    single = documents.join(marked.where("n = 1").drop("n"), documents["doc_id"].eqNullSafe(F.col("stay_id")) & key, "left_semi")
+    if stay.where("n > 1").isEmpty():
+        return single
+    copies = documents.join(marked.where("n > 1").drop("n"), documents["doc_id"].eqNullSafe(F.col("stay_id")) & key, "left_semi")
+    return single.unionByName(copies.dropDuplicates(["doc_id", "text"]))
+
+
 def fingerprint_text(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

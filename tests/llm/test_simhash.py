@@ -92,3 +92,38 @@ def test_distinct_shingles():
     values, bounds = simhash.distinct_in_texts(hashes, offsets)
     assert np.diff(offsets).tolist() == [5, 0, 1] and np.diff(bounds).tolist() == [2, 0, 1]
     assert (np.sort(values[:2]) == values[:2]).all()
+
+
+def test_one_of_each_group(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    rng = np.random.default_rng(9)
+    rows, group = [], {}
+
+    def add(doc_id, text, name):
+        rows.append((doc_id, text, f"src{doc_id}" if doc_id else None, 7))
+        group.setdefault(name, []).append(doc_id)
+
+    for g in range(8):
+        words = list(rng.choice([f"v{i}" for i in range(900)], 400))
+        for k in range(40 if g == 0 else 3):
+            copy = list(words)
+            for p in rng.choice(400, k % 4, replace=False):
+                copy[int(p)] = f"new{k}"
+            add(1000 * (g + 1) - k, " ".join(copy), g)
+        half = list(rng.choice([f"u{i}" for i in range(900)], 400))
+        half[:200] = words[:200]
+        add(50_000 + g, " ".join(half), f"half{g}")
+    for i, t in enumerate([None, "", " "]):
+        add(60_000 + i, t, "empty")
+    add(61_000, "one two", "short")
+    add(61_001, "One  two", "short")
+    add(61_002, "one three", "other")
+    rows.append(rows[0])
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, node int")
+    kept = simhash.one_of_each_group(df)
+    assert kept.columns == df.columns
+    got = sorted(r.doc_id for r in kept.collect())
+    assert got == sorted(min(ids) for ids in group.values())
+    repeated = spark.createDataFrame([(None, "a b", "x", 1), (None, "a b", "x", 1), (3, "c", "y", 1), (3, "c", "y", 1), (3, "d", "y", 1)], df.schema)
+    assert sorted((str(r.doc_id), r.text) for r in simhash.one_of_each_group(repeated).collect()) == [("3", "c"), ("3", "d"), ("None", "a b")]
+    assert simhash.one_of_each_group(df.limit(0)).collect() == []
