@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbflow.llm import chat, decontaminate, pii, simhash, topk, toxicity, warc
+from kerbflow.llm import chat, decontaminate, mixing, pii, simhash, topk, toxicity, warc
 from kerbflow.llm.catalog import query
 from kerbflow.llm.common import read, remainder
 from kerbflow.session import materialise, shared_path
@@ -96,3 +96,24 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document: fixed patterns, and what the tagger adds."""
     found = pii.scan(read(spark, folder, "documents", "doc_id", "text"), pii.fit())
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+# Share of all words that each domain is to get: the languages' good texts, and texts of low quality.
+MIX_WEIGHTS = {"en": 0.5, "de": 0.15, "fr": 0.15, "es": 0.15, "low": 0.05}
+
+
+def mixing_model(documents: DataFrame, labels: DataFrame) -> mixing.Model:
+    """Domains of labelled documents: the language of those of good quality, ``low`` for the others."""
+    table = labels.select("doc_id", "quality").join(documents.select("doc_id", "lang"), "doc_id")
+    domain = F.when(F.col("quality") == 0, "low").when(F.col("quality") == 1, F.col("lang"))
+    return mixing.fit(documents, table, domain, tuple(MIX_WEIGHTS))
+
+
+@query("op9_source_mixing")
+def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Rate of every document under which the expected domain totals meet the target weights."""
+    documents = read(spark, folder, "documents", "doc_id", "text", "lang")
+    model = mixing_model(documents, read(spark, folder, "labels", "doc_id", "quality"))
+    found, _ = mixing.mix_documents(documents, model, MIX_WEIGHTS, ["doc_id"])
+    columns = [F.round(F.col("posterior")[i], 9).alias(f"p_{name}") for i, name in enumerate(model.domains)]
+    return found.select("doc_id", "n_words", *columns, "rate")
