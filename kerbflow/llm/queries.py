@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbflow.llm import chat, decontaminate, mixing, pii, simhash, topk, toxicity, warc
+from kerbflow.llm import chat, decontaminate, license_templates, licenses, mixing, pii, simhash, topk, toxicity, warc
 from kerbflow.llm.catalog import query
 from kerbflow.llm.common import read, remainder
 from kerbflow.session import materialise, shared_path
@@ -117,3 +117,41 @@ def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     found, _ = mixing.mix_documents(documents, model, MIX_WEIGHTS, ["doc_id"])
     columns = [F.round(F.col("posterior")[i], 9).alias(f"p_{name}") for i, name in enumerate(model.domains)]
     return found.select("doc_id", "n_words", *columns, "rate")
+
+
+def _license_sql() -> str:
+    text = lambda v: "'" + v.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {text(spdx)}, {text(statement)})" for i, (spdx, statement) in enumerate(license_templates.templates()))
+    words = lambda c: f"list_filter(list_transform(regexp_split_to_array(lower({c}), '[^a-z0-9.]+'), lambda w: trim(w, '.')), lambda w: w <> '')"
+    marked = lambda c: "(" + " OR ".join(f"contains({c}, '{m}')" for m in licenses.MARKERS) + ")"
+    return f"""
+WITH t(template, license, statement) AS (VALUES {rows}),
+     tt AS (SELECT template, license, term, count(*) AS n FROM (SELECT template, license, unnest({words('statement')}) AS term FROM t) GROUP BY ALL),
+     f AS (SELECT doc_id, '/' || coalesce(source, '') || '/' || coalesce(lang, '') || '/' || (doc_id // 100)::VARCHAR || '/' || doc_id::VARCHAR || '.txt' AS path, coalesce(text, '') AS text FROM documents),
+     fw AS (SELECT path, text, {words('text')} AS w FROM f),
+     total AS (SELECT count(*) AS n FROM f),
+     df AS (SELECT term, count(*) AS n FROM (SELECT path, unnest(list_distinct(w)) AS term FROM fw) WHERE term IN (SELECT term FROM tt) GROUP BY term),
+     idf AS (SELECT v.term, ln((1 + total.n)::DOUBLE / (1 + coalesce(df.n, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) v CROSS JOIN total LEFT JOIN df ON df.term = v.term),
+     tw AS (SELECT template, license, term, n * idf / sqrt(sum((n * idf) * (n * idf)) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (term)),
+     seg AS (SELECT DISTINCT path, n_terms, segment FROM (SELECT path, len(w) AS n_terms, unnest(string_split(regexp_replace(lower(text), '([.!?])[ \\t\\n\\x0b\\f\\r]', '\\1' || chr(10), 'g'), chr(10))) AS segment FROM fw WHERE {marked('lower(text)')}) WHERE {marked('segment')}),
+     sv AS (SELECT segment, term, count(*) AS tf FROM (SELECT segment, unnest({words('segment')}) AS term FROM (SELECT DISTINCT segment FROM seg)) GROUP BY ALL),
+     sx AS (SELECT segment, sv.term, tf, tf * coalesce(idf, ln((1 + total.n)::DOUBLE) + 1) AS value FROM sv CROSS JOIN total LEFT JOIN idf ON idf.term = sv.term),
+     sl AS (SELECT segment, sqrt(sum(value * value)) AS length, sum(tf) AS matched FROM sx GROUP BY segment),
+     c AS (SELECT segment, license, round(sum(value * weight) / any_value(length), 9) AS score, any_value(matched) AS matched FROM sx JOIN tw USING (term) JOIN sl USING (segment) GROUP BY segment, template, license),
+     m AS (SELECT segment, license, score, matched FROM c WHERE score >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY segment ORDER BY score DESC, license) = 1),
+     own AS (SELECT path, arg_min(license, (-score, license)) AS license, max(score) AS score, 2 * sum(matched) >= any_value(n_terms) AS is_file FROM seg JOIN m USING (segment) GROUP BY path),
+     home AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS home FROM f),
+     folders AS (SELECT home AS folder, license FROM own JOIN home USING (path) WHERE is_file QUALIFY row_number() OVER (PARTITION BY home ORDER BY score DESC, license, path) = 1),
+     given AS (SELECT home, folder, license FROM (SELECT DISTINCT home FROM home) JOIN folders ON home = folder OR starts_with(home, folder || '/') QUALIFY row_number() OVER (PARTITION BY home ORDER BY len(folder) DESC) = 1)
+SELECT f.doc_id, coalesce(own.license, given.license) AS license, own.score AS score, CASE WHEN own.license IS NOT NULL THEN 'statement' WHEN given.license IS NOT NULL THEN 'inherited' END AS found,
+       CASE WHEN own.license IS NULL THEN given.folder END AS folder
+FROM f JOIN home USING (path) LEFT JOIN own USING (path) LEFT JOIN given ON given.home = home.home"""
+
+
+@query("op5_license_scan", _license_sql())
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence of every document, as a file in a directory of its source, language and hundred of ids."""
+    part = lambda c: F.coalesce(F.col(c), F.lit(""))
+    path = F.concat(F.lit("/"), part("source"), F.lit("/"), part("lang"), F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    found = licenses.scan(read(spark, folder, "documents", "doc_id", "text", "source", "lang").select(path.alias("path"), "text"))
+    return found.select(F.regexp_extract("path", r"/(-?\d+)\.txt$", 1).cast("long").alias("doc_id"), "license", "score", "found", "folder")
