@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbflow.llm import chat, decontaminate, license_templates, licenses, mixing, pii, simhash, topk, toxicity, warc
+from kerbflow.llm import chat, decontaminate, license_templates, licenses, mixing, ngram_lm, pii, simhash, topk, toxicity, warc
 from kerbflow.llm.catalog import query
 from kerbflow.llm.common import read, remainder
 from kerbflow.session import materialise, shared_path
@@ -155,3 +155,12 @@ def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     path = F.concat(F.lit("/"), part("source"), F.lit("/"), part("lang"), F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     found = licenses.scan(read(spark, folder, "documents", "doc_id", "text", "source", "lang").select(path.alias("path"), "text"))
     return found.select(F.regexp_extract("path", r"/(-?\d+)\.txt$", 1).cast("long").alias("doc_id"), "license", "score", "found", "folder")
+
+
+@query("op3_ngram_scores")
+def ngram_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document under a bigram model of the documents outside one fold."""
+    held_out = remainder("doc_id", 7) == 2
+    documents = read(spark, folder, "documents", "doc_id", "text")
+    found = ngram_lm.score(documents, ngram_lm.fit(documents.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
