@@ -118,7 +118,7 @@ Ingonble. Erlylyen and Onat. Eredhe in Th. Be
 
 
 def plain_rows(rows: int = 30, words: int = 40) -> list[str]:
-    """Rows without personal data, of words that occur once each: plain, capitalised (one in six) and before stops."""
+    """Rows without personal data, of words that occur once each: plain, capitalised (one in six), before stops, with digits."""
     parts = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
     out = []
     for row in range(rows):
@@ -127,6 +127,10 @@ def plain_rows(rows: int = 30, words: int = 40) -> list[str]:
             n = row * words + place
             word = "".join(parts[(n // len(parts) ** k) % len(parts)] for k in range(3))
             word = word.capitalize() if (7 * n + row) % 6 == 0 or (5 * n + row) % 31 < 2 else word
+            if n % 7 == 5:
+                # Words with digits, numbers, decimals, numbers with a dash or a unit.
+                number = str(n * n * 31 % 10 ** (1 + n // 7 % 5))
+                word = (word + number, word[:2] + number + word[-1], number, f"{number}.{n % 10}", f"{n % 90}-{number}", number + "km", word[:1].upper() + number)[n // 7 % 7]
             line.append(word + "." if (3 * n + row) % 11 == 0 else word)
         out.append(" ".join(line))
     return out
