@@ -39,8 +39,7 @@ def calibrate_measured(scored: DataFrame, bucket: str = V.ALL_DAY, nudge: bool =
                         & valid_ratio(F.col("travel_time_ratio")) & F.col("congestion_impact").isNotNull())
     parts = calibrated_columns(F.col("congestion_impact"), F.col("travel_time_ratio"))
     if not nudge:
-        parts["adjustment"] = dbl(0.0)
-        parts["calibrated_score"] = F.col("congestion_impact")
+        parts |= {"adjustment": dbl(0.0), "calibrated_score": F.col("congestion_impact"), "status": F.lit("report_only")}
     rows = rows.select("zone_id", F.coalesce("station", F.lit("Unknown PS")).alias("station"),
                        F.col("congestion_impact").alias("raw_score"), "travel_time_ratio",
                        *[part.alias(name) for name, part in parts.items()])
@@ -182,8 +181,6 @@ def search_weights(rows: DataFrame, n_samples: int = 20000, seed: int = V.SEARCH
     chunked = train.join(ranks.select("measured_ratio", "ry"), "measured_ratio").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), F.lit(last)))).repartition(slices(spark), "zone_id", "chunk")
     pool = candidates(spark, n_samples, seed).withColumn("chunk", F.floor(F.col("candidate") / CHUNK).cast("int"))
-    if n_samples <= 200_000:  # 40 bytes per candidate: at most 8 MB
-        pool = F.broadcast(pool)
     value = None
     for name in V.ROAD_COMPONENTS:
         term = F.col(f"weight_{name}") * F.col(name)

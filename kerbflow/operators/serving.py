@@ -8,18 +8,16 @@ from pyspark.sql import functions as F
 from kerbflow.functions import labels as L
 from kerbflow.functions import vocabulary as V
 from kerbflow.functions.basics import dbl, ratio
+from kerbflow.operators.ranking import position
+from kerbflow.session import materialise
 
 UNIVERSE = 60
-
-
-def numbered(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
-    """1-based position; only for tables already cut to a bounded number of rows by a limit."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+RISK_ORDER = [("risk_score", False), ("zone_id", True)]
 
 
 def best(df: DataFrame, limit: int, *order: Column) -> DataFrame:
-    """First ``limit`` rows in order, with their position; a distributed top-k, not a sort."""
-    return numbered(df.orderBy(*order).limit(limit), *order)
+    """First ``limit`` rows in order, with their position; a distributed top-k, so only ``limit`` rows are numbered."""
+    return df.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
 def at_bucket(scored: DataFrame, bucket: str) -> DataFrame:
@@ -47,17 +45,20 @@ def hour_bucket(hour: Column) -> Column:
     return F.coalesce(hour_label(hour, V.IMPACT_BUCKETS), F.lit(V.ALL_DAY))
 
 
-def universe(scored: DataFrame, traffic: DataFrame, calibrated: DataFrame, size: int = UNIVERSE) -> DataFrame:
-    """The served zones: top ``size`` by volume with priority score, proxies and game quantities.
+def universe(scored: DataFrame, traffic: DataFrame, calibrated: DataFrame, size: int | None = None) -> DataFrame:
+    """Zones by volume with priority score, proxies and game quantities; all of them, or the top ``size``.
 
-    The limit is the feature; every window and scalar below runs over at most ``size`` rows.
-    ``traffic`` has zone_id, travel_time_ratio and road_name; ``calibrated`` has zone_id,
-    calibrated_score and status.
+    ``traffic`` has zone_id, travel_time_ratio and road_name; ``calibrated`` has zone_id, calibrated_score and
+    status. Positions come from range slices and sums are scalars, so no task holds all zones.
     """
-    top = best(at_bucket(scored, V.ALL_DAY).drop("travel_time_ratio"), size, F.col("total_records").desc(), F.col("zone_id"))
-    everyone = Window.partitionBy(F.lit(0))
-    count = F.count("*").over(everyone)
-    volume = F.col("total_records")
+    day = at_bucket(scored, V.ALL_DAY).drop("travel_time_ratio")
+    if size is None:
+        top = position(day, [("total_records", False), ("zone_id", True)])
+    else:
+        top = best(day, size, F.col("total_records").desc(), F.col("zone_id"))
+    top = materialise(top, "universe-zones")
+    whole = top.agg(F.count("*").alias("n"), F.max("total_records").alias("most")).select(F.struct("n", "most")).scalar()
+    count, volume = whole.getField("n"), F.col("total_records")
     rows = (top.join(traffic.select("zone_id", "travel_time_ratio", "road_name"), "zone_id", "left")
             .join(calibrated.select("zone_id", "calibrated_score", F.col("status").alias("agent_status")), "zone_id", "left"))
     rows = rows.select(
@@ -66,7 +67,7 @@ def universe(scored: DataFrame, traffic: DataFrame, calibrated: DataFrame, size:
         F.coalesce("road_name", "station", "zone_id").alias("road_name"),
         F.coalesce("calibrated_score", "congestion_impact").alias("calibrated_score"),
         F.round(dbl(100.0) * (count - F.col("place") + 1).cast("double") / count, 1).alias("risk_score"),
-        ratio(volume, F.max("total_records").over(everyone)).alias("density"))
+        ratio(volume, whole.getField("most")).alias("density"))
     rows = rows.withColumns({
         "risk_label": L.served_label(F.col("risk_score")),
         "road_importance": L.road_importance(F.col("road_name"), F.col("travel_time_ratio")),
@@ -76,12 +77,14 @@ def universe(scored: DataFrame, traffic: DataFrame, calibrated: DataFrame, size:
     })
     rows = rows.withColumn("road_type", F.when(F.col("road_importance") > 0.8, "primary").otherwise("secondary"))
     weight = F.pow(F.greatest("risk_score", dbl(0.0)), dbl(1.5))
-    rows = rows.withColumn("patrol_probability", ratio(weight, F.sum(weight).over(everyone)))
+    rows = materialise(rows.withColumn("weight", weight), "universe-rows")
+    sums = rows.agg(F.sum("weight").alias("w"), F.sum("risk_score").alias("r")).select(F.struct("w", "r")).scalar()
+    rows = rows.withColumn("patrol_probability", ratio(F.col("weight"), sums.getField("w"))).drop("weight")
     p = F.col("patrol_probability")
     cost = p * dbl(500.0)
     net = (dbl(1.0) - p) * F.col("risk_score") - cost
     return rows.withColumns({
-        "baseline_weight": ratio(F.col("risk_score"), F.sum("risk_score").over(everyone)), "expected_cost": cost,
+        "baseline_weight": ratio(F.col("risk_score"), sums.getField("r")), "expected_cost": cost,
         "net_benefit": net, "violator_risk_score": F.greatest(dbl(0.0), F.least(dbl(100.0), net)),
     })
 
@@ -130,8 +133,6 @@ def intensity_range(layer: DataFrame) -> DataFrame:
 
 def impact_probabilities(scored: DataFrame, bucket: str, alpha: float = 1.5) -> DataFrame:
     """Patrol probability of every zone proportional to impact^alpha; zero when all scores are zero."""
-    from kerbflow.session import materialise
-
     rows = materialise(at_bucket(scored, bucket).select("zone_id", "congestion_impact"), "bucket-impact")
     weight = F.pow(F.greatest("congestion_impact", dbl(0.0)), dbl(alpha))
     total = rows.agg(F.sum(weight)).scalar()
@@ -151,12 +152,11 @@ def station_zones(served: DataFrame, station: str) -> DataFrame:
 
 def priority_areas(zones: DataFrame, limit: int = 10) -> DataFrame:
     """Zones of one station with force, distance from the station's centre and travel minutes."""
-    everyone = Window.partitionBy(F.lit(0))
-    based = zones.withColumns({"base_lat": F.avg("lat").over(everyone), "base_lon": F.avg("lon").over(everyone)})
     from kerbflow.functions.geo import flat_km
 
-    picked = best(based.drop("place"), limit, *by_risk())
-    km = F.round(flat_km(F.abs(F.col("lat") - F.col("base_lat")), F.abs(F.col("lon") - F.col("base_lon"))), 1)
+    base = zones.agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon")).select(F.struct("lat", "lon")).scalar()
+    picked = best(zones.drop("place"), limit, *by_risk())
+    km = F.round(flat_km(F.abs(F.col("lat") - base.getField("lat")), F.abs(F.col("lon") - base.getField("lon"))), 1)
     return picked.withColumns({
         "force_needed": L.force(F.col("risk_score")), "priority": L.priority(F.col("risk_score")), "distance_km": km,
     }).withColumn("eta_minutes", F.greatest(F.lit(3), F.bround(F.col("distance_km") * 4, 0).cast("int")))
@@ -201,40 +201,45 @@ def leaders(served: DataFrame, column: str, limit: int) -> DataFrame:
 
 
 def assigned(served: DataFrame, teams: int) -> DataFrame:
-    """Zones split into covered (first ``teams`` by priority) and uncovered."""
-    ranked = numbered(served.drop("place"), *by_risk())
-    return ranked.withColumn("covered", F.when(F.col("place") <= teams, 1).otherwise(0))
+    """Zones split into covered (first ``teams`` by priority) and uncovered, each covered one with its team."""
+    ranked = position(served.drop("place"), RISK_ORDER)
+    covered = F.col("place") <= teams
+    return ranked.withColumns({"covered": F.when(covered, 1).otherwise(0), "team": F.when(covered, F.col("place"))})
+
+
+def assignments(served: DataFrame, teams: int) -> DataFrame:
+    """One row per team: its zone and what it covers."""
+    return assigned(served, teams).where("covered = 1").select("team", "zone_id", "station", "risk_score", "patrol_probability")
 
 
 def allocation_report(served: DataFrame, teams: int) -> DataFrame:
+    """Covered and total risk, and how many high-risk zones have no team."""
     marked = assigned(served, teams)
     covered, score = F.col("covered") == 1, F.col("risk_score")
     sums = marked.agg(
         F.count_if(covered).alias("num_teams"), F.sum(F.when(covered, score).otherwise(0.0)).alias("total_risk_covered"),
-        F.sum(score).alias("total_risk"), F.count_if(~covered & (score >= 67)).alias("uncovered_high"))
+        F.sum(score).alias("total_risk"), F.count_if(~covered & (score >= 67)).alias("uncovered_high_risk"))
     return sums.select("num_teams", "total_risk_covered",
-                       (ratio(F.col("total_risk_covered"), F.col("total_risk"), 0.0) * dbl(100.0)).alias("coverage_pct"),
-                       F.least("uncovered_high", F.lit(20)).alias("uncovered_high_risk"))
+                       (ratio(F.col("total_risk_covered"), F.col("total_risk"), 0.0) * dbl(100.0)).alias("coverage_pct"), "uncovered_high_risk")
 
 
-def uncovered_high(served: DataFrame, teams: int, limit: int = 20) -> DataFrame:
-    """High-risk zones without a team, at most ``limit`` as in the report."""
+def uncovered_high(served: DataFrame, teams: int, limit: int | None = None) -> DataFrame:
+    """High-risk zones without a team, all of them or the first ``limit`` by priority."""
     rows = assigned(served, teams).where((F.col("covered") == 0) & (F.col("risk_score") >= 67))
-    return rows.orderBy("place").limit(limit).select("zone_id", "risk_score")
+    rows = rows if limit is None else rows.orderBy("place").limit(limit)
+    return rows.select("zone_id", "risk_score")
 
 
 def coverage_curve(served: DataFrame, most: int = 10) -> DataFrame:
-    """Coverage for 1..most teams from one running sum instead of one pass per team count."""
-    ranked = numbered(served.drop("place"), *by_risk())
-    upto = Window.partitionBy(F.lit(0)).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(F.lit(0)).orderBy("place").rowsBetween(1, Window.unboundedFollowing)
-    everyone = Window.partitionBy(F.lit(0))
+    """Coverage for 1..most teams from one running sum over the first ``most`` zones; the rest enters by totals."""
+    zones = materialise(served.select("zone_id", "risk_score"), "curve-zones")
     high = F.when(F.col("risk_score") >= 67, 1).otherwise(0)
-    return ranked.select(
-        F.col("place").alias("num_teams"),
-        (ratio(F.sum("risk_score").over(upto), F.sum("risk_score").over(everyone)) * dbl(100.0)).alias("coverage_pct"),
-        F.least(F.coalesce(F.sum(high).over(after), F.lit(0)), F.lit(20)).alias("uncovered_high_risk"),
-    ).where(F.col("num_teams") <= most)
+    whole = zones.agg(F.sum("risk_score").alias("risk"), F.sum(high).alias("high")).select(F.struct("risk", "high")).scalar()
+    first = best(zones, most, *by_risk())
+    upto = Window.partitionBy(F.lit(0)).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)  # over ``most`` rows
+    return first.select(
+        F.col("place").alias("num_teams"), (ratio(F.sum("risk_score").over(upto), whole.getField("risk")) * dbl(100.0)).alias("coverage_pct"),
+        (whole.getField("high") - F.sum(high).over(upto)).alias("uncovered_high_risk"))
 
 
 def displaced_zones(served: DataFrame, teams: int = 5) -> DataFrame:
@@ -292,13 +297,15 @@ def volume_forecast(served: DataFrame, days: int = 151) -> DataFrame:
                          (daily * dbl(1.25)).alias("confidence_upper"))
 
 
-def index_curve(scored: DataFrame, top: int = UNIVERSE, bucket: str = V.ALL_DAY, teams: int = 20,
+def index_curve(scored: DataFrame, top: int | None = None, bucket: str = V.ALL_DAY, teams: int = 20,
                 effect: float = 0.6, alpha: float = 1.5, minutes: float = 45.0) -> DataFrame:
-    """Congestion index before and after for 1..teams patrol teams over the top zones."""
+    """Congestion index before and after for 1..teams patrol teams over all zones, or the ``top`` ones."""
     rows = at_bucket(scored, bucket).select("zone_id", F.round("congestion_impact", 6).alias("impact"))
-    rows = best(rows, top, F.col("impact").desc(), F.col("zone_id"))
+    if top is not None:
+        rows = best(rows, top, F.col("impact").desc(), F.col("zone_id"))
+    rows = materialise(rows, "curve-impact")
     weight = F.pow(F.greatest("impact", dbl(0.0)), dbl(alpha))
-    rows = rows.withColumn("p", ratio(weight, F.sum(weight).over(Window.partitionBy(F.lit(0)))))
+    rows = rows.withColumn("p", ratio(weight, rows.agg(F.sum(weight)).scalar()))
     spread = rows.withColumn("num_teams", F.explode(F.sequence(F.lit(1), F.lit(teams))))
     cover = dbl(1.0) - F.pow(dbl(1.0) - F.col("p"), F.col("num_teams").cast("double"))
     sums = spread.groupBy("num_teams").agg(
@@ -335,8 +342,6 @@ def resolved(ids: DataFrame, served: DataFrame, scored: DataFrame) -> DataFrame:
 
 def selection(scored: DataFrame, core: int = 110, explore: int = 40, seed: int = 7) -> DataFrame:
     """Core zones by volume plus a repeatable sample of the rest, ordered by a hash of the id."""
-    from kerbflow.session import materialise
-
     day = at_bucket(scored, V.ALL_DAY).select("zone_id", "total_records", "lat", "lon", "station")
     first = materialise(day.orderBy(F.col("total_records").desc(), "zone_id").limit(core), "core-zones")
     rest = day.join(first.select("zone_id"), "zone_id", "left_anti")

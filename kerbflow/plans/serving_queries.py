@@ -44,10 +44,12 @@ FROM (SELECT *, {d(0.3)} * ((travel_time_ratio - expected_ratio) / greatest(expe
 define("t_cal", f"SELECT *, {band('calibrated_score')} AS impact_band FROM t_calcols WHERE travel_time_ratio > 0")
 
 define("t_day", "SELECT * FROM t_impact WHERE time_bucket = 'all_day'")
-define("t_top", """
-SELECT z.*, row_number() OVER (ORDER BY total_records DESC, zone_id) AS place FROM t_day z QUALIFY place <= 60""")
 _NAME = "lower(road_name)"
-define("t_uni0", f"""
+
+
+def _universe(name: str, cut: str) -> None:
+    define(f"{name}_top", f"SELECT z.*, row_number() OVER (ORDER BY total_records DESC, zone_id) AS place FROM t_day z {cut}")
+    define(f"{name}_rated", f"""
 SELECT *, greatest(CASE WHEN {_NAME} LIKE '%flyover%' THEN {d(0.95)} WHEN {_NAME} LIKE '%main road%' THEN {d(0.9)} WHEN {_NAME} LIKE '%circle%' THEN {d(0.85)}
     WHEN {_NAME} LIKE '%road%' THEN {d(0.75)} WHEN {_NAME} LIKE '%cross%' THEN {d(0.6)} ELSE {d(0.5)} END,
     coalesce(CASE WHEN travel_time_ratio <> 0 THEN least({d(1.0)}, {d(0.5)} + (travel_time_ratio - {d(1.0)})) END, {d(0.0)})) AS importance0,
@@ -58,13 +60,17 @@ FROM (SELECT z.zone_id, z.lat, z.lon, z.station, z.congestion_impact, z.impact_b
     coalesce(k.calibrated_score, z.congestion_impact) AS calibrated_score,
     round({d(100.0)} * CAST(count(*) OVER () - z.place + 1 AS DOUBLE) / count(*) OVER (), 1) AS risk_score,
     CAST(z.total_records AS DOUBLE) / CAST(max(z.total_records) OVER () AS DOUBLE) AS density
-  FROM t_top z LEFT JOIN t_context c ON c.zone_id = z.zone_id LEFT JOIN t_cal k ON k.zone_id = z.zone_id)""")
-define("t_uni", f"""
+  FROM {name}_top z LEFT JOIN t_context c ON c.zone_id = z.zone_id LEFT JOIN t_cal k ON k.zone_id = z.zone_id)""")
+    define(name, f"""
 SELECT *, round(importance0, 3) AS road_importance, CASE WHEN round(importance0, 3) > 0.8 THEN 'primary' ELSE 'secondary' END AS road_type,
   {d(0.3)} + {d(0.5)} * density AS repeat_offender, top_violations[1] AS top_violation, patrol_probability * {d(500.0)} AS expected_cost,
   ({d(1.0)} - patrol_probability) * risk_score - patrol_probability * {d(500.0)} AS net_benefit,
   greatest({d(0.0)}, least({d(100.0)}, ({d(1.0)} - patrol_probability) * risk_score - patrol_probability * {d(500.0)})) AS violator_risk_score
-FROM (SELECT *, w / sum(w) OVER () AS patrol_probability, risk_score / sum(risk_score) OVER () AS baseline_weight FROM t_uni0)""")
+FROM (SELECT *, w / sum(w) OVER () AS patrol_probability, risk_score / sum(risk_score) OVER () AS baseline_weight FROM {name}_rated)""")
+
+
+_universe("t_uni", "")
+_universe("t_best60", "QUALIFY place <= 60")
 define("t_peak", """
 SELECT * FROM t_impact z WHERE time_bucket = 'morning_peak' OR (time_bucket = 'all_day'
   AND NOT EXISTS (SELECT 1 FROM t_zagg x WHERE x.zone_id = z.zone_id AND x.time_bucket = 'morning_peak'))""")
@@ -78,10 +84,10 @@ def observations(spark, folder):
     return adapter.leg_records(T.ratios(spark, folder))
 
 
-def served(spark, folder, table=None):
+def served(spark, folder, table=None, size=None):
     table = scored(spark, folder) if table is None else table
     return materialise(
-        serving.universe(table, observations(spark, folder), calibrate.calibrate_measured(table)), "served")
+        serving.universe(table, observations(spark, folder), calibrate.calibrate_measured(table), size), "served")
 
 
 _UNI = ("zone_id, lat, lon, station, congestion_impact, impact_band, travel_time_ratio, agent_status, violation_count, lane_hours, road_name, "
@@ -92,10 +98,15 @@ _UNI_FLOATS = {**dict.fromkeys(["lat", "lon", "congestion_impact", "travel_time_
                "patrol_probability": 8}
 
 
-@query("zone_universe", f"SELECT {_UNI} FROM t_uni", _UNI_FLOATS)
+@query("zone_universe", f"SELECT {_UNI} FROM t_best60", _UNI_FLOATS)
 def zone_universe(spark, folder):
     table = scored(spark, folder)
-    return serving.universe(table, observations(spark, folder), calibrate.calibrate_measured(table)).select(*_UNI.split(", "))
+    return serving.universe(table, observations(spark, folder), calibrate.calibrate_measured(table), serving.UNIVERSE).select(*_UNI.split(", "))
+
+
+@query("all_zones", f"SELECT {_UNI} FROM t_uni", _UNI_FLOATS)
+def all_zones(spark, folder):
+    return served(spark, folder).select(*_UNI.split(", "))
 
 
 @query("bucket_fallback", "SELECT zone_id, time_bucket, congestion_impact, impact_band FROM t_peak", ["congestion_impact"])
@@ -228,19 +239,24 @@ define("t_assign", "SELECT *, row_number() OVER (ORDER BY risk_score DESC, zone_
 @query("team_allocation_report", f"""
 SELECT count(*) FILTER (rn <= 5) AS num_teams, sum(CASE WHEN rn <= 5 THEN risk_score ELSE 0 END) AS total_risk_covered,
   sum(CASE WHEN rn <= 5 THEN risk_score ELSE 0 END) / sum(risk_score) * {d(100.0)} AS coverage_pct,
-  least(count(*) FILTER (rn > 5 AND risk_score >= 67), 20) AS uncovered_high_risk FROM t_assign""", ["total_risk_covered", "coverage_pct"])
+  count(*) FILTER (rn > 5 AND risk_score >= 67) AS uncovered_high_risk FROM t_assign""", ["total_risk_covered", "coverage_pct"])
 def team_allocation_report(spark, folder):
     return serving.allocation_report(served(spark, folder), 5)
 
 
-@query("uncovered_high_risk", "SELECT zone_id, risk_score FROM t_assign WHERE rn > 5 AND risk_score >= 67 ORDER BY rn LIMIT 20", ["risk_score"])
+@query("team_assignments", "SELECT rn AS team, zone_id, station, risk_score, patrol_probability FROM t_assign WHERE rn <= 5", {"risk_score": 6, "patrol_probability": 8})
+def team_assignments(spark, folder):
+    return serving.assignments(served(spark, folder), 5)
+
+
+@query("uncovered_high_risk", "SELECT zone_id, risk_score FROM t_assign WHERE rn > 5 AND risk_score >= 67", ["risk_score"])
 def uncovered_high_risk(spark, folder):
     return serving.uncovered_high(served(spark, folder), 5)
 
 
 @query("coverage_curve", f"""
 SELECT n AS num_teams, (SELECT sum(risk_score) FROM t_assign WHERE rn <= n) / (SELECT sum(risk_score) FROM t_assign) * {d(100.0)} AS coverage_pct,
-  least((SELECT count(*) FROM t_assign WHERE rn > n AND risk_score >= 67), 20) AS uncovered_high_risk
+  (SELECT count(*) FROM t_assign WHERE rn > n AND risk_score >= 67) AS uncovered_high_risk
 FROM (SELECT rn AS n FROM t_assign WHERE rn <= 10)""", ["coverage_pct"])
 def coverage_curve(spark, folder):
     return serving.coverage_curve(served(spark, folder))
@@ -287,7 +303,7 @@ def volume_forecast(spark, folder):
 
 define("t_curve", f"""
 SELECT *, pow(impact, {d(1.5)}) / sum(pow(impact, {d(1.5)})) OVER () AS p FROM (
-  SELECT zone_id, round(congestion_impact, 6) AS impact, row_number() OVER (ORDER BY round(congestion_impact, 6) DESC, zone_id) AS rn FROM t_day QUALIFY rn <= 60)""")
+  SELECT zone_id, round(congestion_impact, 6) AS impact, row_number() OVER (ORDER BY round(congestion_impact, 6) DESC, zone_id) AS rn FROM t_day)""")
 
 
 @query("congestion_index_curve", f"""
@@ -298,7 +314,7 @@ def congestion_index_curve(spark, folder):
     return serving.index_curve(T.impact_table(spark, folder))
 
 
-@query("top_impact_values", "SELECT zone_id, impact, rn AS place FROM t_curve", ["impact"])
+@query("top_impact_values", "SELECT zone_id, impact, rn AS place FROM t_curve WHERE rn <= 60", ["impact"])
 def top_impact_values(spark, folder):
     rows = serving.at_bucket(T.impact_table(spark, folder), V.ALL_DAY).select("zone_id", F.round("congestion_impact", 6).alias("impact"))
     return serving.best(rows, 60, F.col("impact").desc(), F.col("zone_id"))
@@ -333,14 +349,14 @@ define("t_resolved", """
 SELECT z.zone_id, CASE WHEN u.zone_id IS NOT NULL THEN 1 ELSE 0 END AS is_served, z.station, z.congestion_impact, z.impact_band,
   z.total_records AS violation_count, z.top_violations[1] AS top_violation, z.lane_hours,
   CASE WHEN u.zone_id IS NOT NULL THEN u.travel_time_ratio ELSE z.travel_time_ratio END AS travel_time_ratio, u.calibrated_score, u.road_name
-FROM t_day z LEFT JOIN t_uni u ON u.zone_id = z.zone_id""")
+FROM t_day z LEFT JOIN t_best60 u ON u.zone_id = z.zone_id""")
 
 
 @query("resolved_zone_stories", f"SELECT zone_id, {_STORY} AS explanation FROM t_resolved")
 def resolved_zone_stories(spark, folder):
     table = scored(spark, folder)
     ids = table.select("zone_id").distinct()
-    return serving.stories(serving.resolved(ids, served(spark, folder, table), table))
+    return serving.stories(serving.resolved(ids, served(spark, folder, table, serving.UNIVERSE), table))
 
 
 @query("short_zone_stories", f"""
@@ -368,7 +384,7 @@ def calibrate_measured(spark, folder):
 
 
 @query("calibrate_report_only", f"""
-SELECT zone_id, station, raw_score, travel_time_ratio, expected_ratio, discrepancy, {d(0.0)} AS adjustment, raw_score AS calibrated_score, status, {band('raw_score')} AS impact_band FROM t_cal""", _CAL_FLOATS)
+SELECT zone_id, station, raw_score, travel_time_ratio, expected_ratio, discrepancy, {d(0.0)} AS adjustment, raw_score AS calibrated_score, 'report_only' AS status, {band('raw_score')} AS impact_band FROM t_cal""", _CAL_FLOATS)
 def calibrate_report_only(spark, folder):
     return calibrate.calibrate_measured(T.impact_table(spark, folder), nudge=False).select(*_CAL.split(", "))
 
