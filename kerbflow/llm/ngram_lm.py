@@ -34,8 +34,8 @@ from kerbflow.session import materialise, shared_path
 from kerbflow.session import slices as shuffle_slices
 
 END = np.uint64(0x5E4D0F7E87)  # hash of the end mark
-SLICE = 1 << 23
-FLUSH = 1 << 22
+SLICE = 1 << 22
+FLUSH = 1 << 21
 BLOCKS = "part int, keys binary, counts binary"
 _OPEN: dict[str, np.ndarray] = {}
 
