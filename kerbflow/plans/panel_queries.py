@@ -279,6 +279,11 @@ def daily_totals(spark, folder):
     return evaluation(spark, folder).groupBy("zone_id").agg(F.sum("actual").alias("actual"), F.sum("a").alias("predicted"))
 
 
+@query("date_zone_totals", "SELECT date, zone_id, CAST(sum(actual) AS BIGINT) AS actual, sum(a) AS predicted FROM t_eval GROUP BY date, zone_id", ["predicted"])
+def date_zone_totals(spark, folder):
+    return evaluation(spark, folder).groupBy("date", "zone_id").agg(F.sum("actual").alias("actual"), F.sum("a").alias("predicted"))
+
+
 define("t_capped", " UNION ALL ".join(
     f"SELECT quantile_cont(CAST(violation_count AS DOUBLE), {q}) AS cap FROM t_daypanel WHERE date < DATE '{VAL}'" for q in (0.99, 0.995, 0.999, 0.9995, 0.9999, 1.0)))
 define("t_val", f"SELECT violation_count AS actual, {rounded('rolling_mean_7d', 9)} * 3 AS p FROM t_daypanel WHERE date >= DATE '{VAL}' AND date < DATE '{TEST}'")

@@ -14,14 +14,15 @@ from kerbflow.plans.oracle import d, define, rounded
 from kerbflow.plans.risk_queries import cleaned
 from kerbflow.session import materialise
 
-_COLUMNS = ["id", "latitude", "longitude", "location", "vehicle_number", "vehicle_type", "updated_vehicle_type", "violation_type", "police_station",
-            "center_code", "device_id", "junction_name", "validation_status"]
+_COLUMNS = ["id", "latitude", "longitude", "location", "vehicle_number", "vehicle_type", "updated_vehicle_type", "violation_type", "created_datetime",
+            "modified_datetime", "validation_timestamp", "police_station", "center_code", "device_id", "junction_name", "validation_status", "signal"]
 
 
 @query("column_profile", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct FROM t_viol" for c in _COLUMNS))
 def column_profile(spark, folder):
-    return profile.column_profile(T.facts(spark, folder), _COLUMNS)
+    rows = T.facts(spark, folder)
+    return profile.column_profile(rows, rows.columns)
 
 
 @query("coordinate_quantiles", " UNION ALL ".join(
@@ -129,13 +130,9 @@ def status_share(spark, folder):
     return profile.share(T.facts(spark, folder), "validation_status")
 
 
-_STATUS = ["approved", "rejected", "created1", "pending", "missing"]
-
-
-@query("status_by_month", "SELECT strftime(local_ts, '%Y-%m') AS month, " + ", ".join(
-    f"count(*) FILTER (coalesce(validation_status, 'missing') = '{s}') AS {s}" for s in _STATUS) + " FROM t_viol GROUP BY 1")
+@query("status_by_month", "SELECT strftime(local_ts, '%Y-%m') AS month, coalesce(validation_status, 'missing') AS status, count(*) AS n FROM t_viol GROUP BY ALL")
 def status_by_month(spark, folder):
-    return profile.status_by_month(E.with_local_time(T.facts(spark, folder), "created_datetime"), _STATUS)
+    return profile.status_by_month(E.with_local_time(T.facts(spark, folder), "created_datetime"))
 
 
 _DELAY = {"modified": "modified_datetime", "validation": "validation_timestamp"}

@@ -102,7 +102,7 @@ def replaced_table(spark, folder):
 
 @query("frozen_snapshot", """
 SELECT count(*) AS n, bit_xor(h) AS mixed, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS total, 1 AS frozen FROM (
-  SELECT ('0x' || substr(sha256(zone_id || '|' || time_bucket || '|' || total_records || '|' || coalesce(station, '~')), 1, 15))::BIGINT AS h FROM t_zagg)""")
+  SELECT ('0x' || substr(sha256(length(zone_id) || ':' || zone_id || length(time_bucket) || ':' || time_bucket || length(total_records::VARCHAR) || ':' || total_records || coalesce(length(station) || ':' || station, '-')), 1, 15))::BIGINT AS h FROM t_zagg)""")
 def frozen_snapshot(spark, folder):
     columns = ["zone_id", "time_bucket", "total_records", "station"]
     return sinks.freeze(T.zone_table(spark, folder).select(*columns), shared_path(spark, "frozen"), columns)

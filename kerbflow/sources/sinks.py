@@ -46,8 +46,12 @@ def write_features(df: DataFrame, path: str) -> None:
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Order-free content hash of a table from one aggregate over row hashes."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    """Order-free content hash of a table from one aggregate over row hashes.
+
+    Each value enters with its length, nulls as a bare dash, so different rows have different texts.
+    """
+    parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    text = F.concat(*parts)
     row = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
     return df.select(row.alias("h")).agg(
         F.count("*").alias("n"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("mixed"),
