@@ -148,8 +148,10 @@ def precision_at_k(df: DataFrame, group: Sequence[str], ident: str, actual: str,
 def prediction_cap(training: DataFrame, validation: DataFrame, actual: str, predicted: str,
                    levels: Sequence[float] = (0.99, 0.995, 0.999, 0.9995, 0.9999, 1.0)) -> DataFrame:
     """RMSE on the validation rows under each training percentile used as a cap; the best is marked."""
-    caps = training.agg(F.percentile(actual, F.array(*[dbl(level) for level in levels])).alias("caps"))
-    wanted = F.array_distinct(caps.scalar())
+    from kerbflow.operators.profile import quantiles
+
+    caps = quantiles(training.select(F.col(actual).cast("double").alias("value")), "value", levels)
+    wanted = caps.agg(F.sort_array(F.collect_set("quantile"))).scalar()  # one value per level
     a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
     tried = validation.select(a.alias("a"), p.alias("p"), F.explode(wanted).alias("cap"))
     miss = F.greatest(dbl(0.0), F.least(F.col("p"), F.col("cap"))) - F.col("a")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from kerbflow.functions import labels as L
-from kerbflow.operators import forecast, neighbours, panel, scoring, stats, zones
+from kerbflow.operators import ensemble, forecast, neighbours, panel, scoring, stats, zones
 from kerbflow.plans import tables as T
 from kerbflow.plans.catalog import query
 from kerbflow.plans.oracle import d, define, rounded
@@ -361,29 +361,57 @@ _HOURLY = ["lag_1", "lag_24", "lag_168", "rolling_mean_24h", "rolling_std_24h",
 
 
 def hourly_models(spark, folder):
+    """Train and validation rows, and predictions of models that learned from training rows alone."""
     rows = materialise(panel.model_rows(matrix(spark, folder), "1 = 1").withColumn("split", panel.day_split(F.col("date"), VAL, TEST)), "hour-rows")
     train, val = rows.where("split = 'train'"), rows.where("split = 'val'")
     poisson = forecast.poisson_model(train, _HOURLY)
-    trees = forecast.boosted_model(train, val, _HOURLY, rounds=20)
+    trees = forecast.stopped_model(train, val, _HOURLY, rounds=20)
     both = forecast.boosted_predict(trees, forecast.poisson_predict(poisson, rows.where("split <> 'train'"), "p"), _HOURLY, "q")
-    kept = both.select("grid_cell_id", "ts", "date", "hour", "split", "violation_count", "p", "q")
+    kept = both.select(F.col("grid_cell_id").alias("zone_id"), "date", "hour", "split", F.col("violation_count").alias("actual"), "p", "q")
     return rows, materialise(kept, "hour-predictions"), trees
 
 
 @query("hourly_ensemble_metrics")
 def hourly_ensemble_metrics(spark, folder):
     rows, made, _ = hourly_models(spark, folder)
-    val = made.where("split = 'val'")
-    cap = stats.prediction_cap(rows.where("split = 'train'").select(F.col("violation_count")), val, "violation_count", "p").where("is_best = 1").first()["cap"]
-    capped = made.withColumn("p", F.least("p", F.lit(cap)))
-    daily = capped.where("split = 'val' AND hour < 16").groupBy("date", "grid_cell_id").agg(
-        F.sum("violation_count").alias("actual"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    weight = stats.blend_sweep(materialise(daily, "blend-days"), ["date"], "grid_cell_id", "actual", "p", "q").where("is_best = 1").first()["weight"]
-    test = capped.where("split = 'test'").withColumn("mixed", F.lit(weight) * F.col("p") + F.lit(1 - weight) * F.col("q"))
-    long = test.select("violation_count", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("model"), F.col(column).alias("pred")) for name, column in (("poisson", "p"), ("trees", "q"), ("blend", "mixed"))])).alias("m")).select(
-        "violation_count", "m.model", "m.pred")
-    return stats.errors(long, "violation_count", "pred", ["model"]).withColumns({"cap": F.lit(cap), "blend_weight": F.lit(weight)})
+    caps, weight = ensemble.tuned(made, rows.where("split = 'train'").select(F.col("violation_count").alias("actual")))
+    return ensemble.evaluated(made, caps, weight)
+
+
+define("t_ens", f"""
+SELECT grid_cell_id AS zone_id, CAST(ts AS DATE) AS date, hour(ts) AS hour, violation_count AS actual, {rounded('rolling_mean_24h * 3', 9)} AS p, lag_24 AS q,
+  CASE WHEN CAST(ts AS DATE) < DATE '{VAL}' THEN 'train' WHEN CAST(ts AS DATE) < DATE '{TEST}' THEN 'val' ELSE 'test' END AS split FROM t_hourfeat WHERE lag_168 IS NOT NULL""")
+define("t_enslevel", " UNION ".join(f"SELECT quantile_cont(CAST(actual AS DOUBLE), {q}) AS cap FROM t_ens WHERE split = 'train'" for q in (0.99, 0.995, 0.999, 0.9995, 0.9999, 1.0)))
+define("t_enscap", "SELECT " + ", ".join(f"""(SELECT cap FROM (SELECT cap, {rounded(f'sqrt(avg(pow(greatest(0, least({c}, cap)) - actual, 2)))', 9)} AS rmse FROM t_ens, t_enslevel WHERE split = 'val' GROUP BY cap)
+  ORDER BY rmse, cap LIMIT 1) AS cap_{c}""" for c in ("p", "q")))
+define("t_enscapped", "SELECT zone_id, date, hour, actual, split, least(p, cap_p) AS p, least(q, cap_q) AS q, greatest(cap_p, cap_q) AS top FROM t_ens, t_enscap")
+define("t_ensday", f"SELECT date, zone_id, sum(actual) AS actual, {rounded('sum(p)', 9)} AS a, {rounded('sum(q)', 9)} AS b FROM t_enscapped WHERE split = 'val' AND hour < 16 GROUP BY ALL")
+define("t_ensmix", f"SELECT zone_id, date, actual, w / {d(20.0)} AS weight, {rounded(f'greatest((w / {d(20.0)}) * a + ({d(1.0)} - w / {d(20.0)}) * b, 0)', 9)} AS mixed FROM t_ensday, (SELECT unnest(range(0, 21)) AS w)")
+define("t_ensweight", f"SELECT weight FROM ({_precision_sql('t_ensmix', 'mixed', 'weight').replace(' AND sum(actual) > 0', '')}) ORDER BY {rounded('precision', 9)} DESC, weight LIMIT 1")
+_MIXED = rounded(f"least(greatest(weight * p + ({d(1.0)} - weight) * q, 0), top)", 9)
+_TESTED = " UNION ALL ".join(
+    f"SELECT zone_id, date, hour, actual, '{model}' AS model, {value} AS pred, '{scope}' AS scope FROM t_enscapped, t_ensweight WHERE split = 'test'{more}"
+    for model, value in (("first", "p"), ("second", "q"), ("blend", _MIXED)) for scope, more in (("all", ""), ("data_rich", " AND hour < 16")))
+define("t_enstest", _TESTED)
+define("t_ensdaily", f"SELECT model, scope, date, zone_id, sum(actual) AS actual, {rounded('sum(pred)', 9)} AS pred FROM t_enstest GROUP BY ALL")
+
+
+@query("ensemble_metrics", f"""
+SELECT e.model, e.scope, n, mae, rmse, r2, a.precision AS precision_daily, b.precision AS precision_hourly, cap_p AS first_cap, cap_q AS second_cap, weight AS blend_weight
+FROM (SELECT model, scope, count(*) AS n, avg(abs(pred - actual)) AS mae, sqrt(avg((pred - actual) * (pred - actual))) AS rmse, 1 - avg((pred - actual) * (pred - actual)) / var_pop(CAST(actual AS DOUBLE)) AS r2 FROM t_enstest GROUP BY ALL) e
+LEFT JOIN ({_precision_sql('t_ensdaily', 'pred', 'model, scope')}) a ON a.model = e.model AND a.scope = e.scope
+LEFT JOIN ({_precision_sql('t_enstest', 'pred', 'model, scope').replace('scope, date', 'scope, date, hour')}) b ON b.model = e.model AND b.scope = e.scope, t_enscap, t_ensweight""",
+       ["mae", "rmse", "r2", "precision_daily", "precision_hourly", "first_cap", "second_cap", "blend_weight"])
+def ensemble_metrics(spark, folder):
+    """The ensemble's tuning and evaluation over two plain predictions, so that every column has a twin."""
+    from kerbflow.functions.basics import half_up
+
+    rows = panel.hour_features(panel.hour_panel(stored_hourly(spark, folder))).where("lag_168 IS NOT NULL").withColumns({"date": F.to_date("ts"), "hour": F.hour("ts")})
+    made = rows.select(F.col("grid_cell_id").alias("zone_id"), "date", "hour", F.col("violation_count").alias("actual"), half_up(F.col("rolling_mean_24h") * 3, 9).alias("p"),
+                       F.col("lag_24").alias("q"), panel.day_split(F.col("date"), VAL, TEST).alias("split"))
+    made = materialise(made, "plain-predictions")
+    caps, weight = ensemble.tuned(made, made.where("split = 'train'").select("actual"))
+    return ensemble.evaluated(made, caps, weight)
 
 
 @query("feature_importance")
