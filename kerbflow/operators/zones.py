@@ -23,8 +23,8 @@ def place(df: DataFrame) -> DataFrame:
     return placed.withColumn("zone_id", G.zone_key(F.col("zi"), F.col("zj")))
 
 
-def prepare(df: DataFrame, offset_minutes: int = 330) -> DataFrame:
-    """Per-row fields of the zone path; rows after the data-rich hours are dropped."""
+def prepare(df: DataFrame, offset_minutes: int = 330, late: bool = False) -> DataFrame:
+    """Per-row fields of the zone path; rows after the data-rich hours are dropped, or kept with a null bucket."""
     timed = E.with_local_time(place(df), "created_datetime", offset_minutes)
     bucket = E.hour_label(F.hour("local_ts"), V.IMPACT_BUCKETS)
     is_array = isinstance(df.schema["violation_type"].dataType, T.ArrayType)
@@ -35,7 +35,15 @@ def prepare(df: DataFrame, offset_minutes: int = 330) -> DataFrame:
         "named": E.named_junction(F.col("junction_name")),
         "station": E.station_name(F.col("police_station")),
     }
-    return timed.withColumns(columns).where(F.col("time_bucket").isNotNull())
+    rows = timed.withColumns(columns)
+    return rows if late else rows.where(F.col("time_bucket").isNotNull())
+
+
+def fact_base(df: DataFrame) -> DataFrame:
+    """The facts condensed once for everything that is asked by zone: late hours included, with the signal's sums."""
+    return prepare(df, late=True).groupBy("zone_id", "zi", "zj", "time_bucket", "station", "labels").agg(
+        F.count("*").alias("n"), F.sum("weight").alias("w"), F.max("named").alias("named"),
+        F.sum("signal").alias("signal"), F.count("signal").alias("signals"))
 
 
 def condense(prepared: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,6 +105,11 @@ def aggregate(prepared: DataFrame, ratios: DataFrame | None = None) -> DataFrame
     return attach_ratio(table, ratios)
 
 
+def aggregate_base(base: DataFrame, ratios: DataFrame | None = None) -> DataFrame:
+    """The same table from the condensed facts."""
+    return attach_ratio(_aggregate_condensed(base.where("time_bucket IS NOT NULL"), ["zone_id", "zi", "zj"]), ratios)
+
+
 def attach_ratio(table: DataFrame, ratios: DataFrame | None) -> DataFrame:
     """Left lookup of the travel ratio; zones without one keep null."""
     if ratios is None:

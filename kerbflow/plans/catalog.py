@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbflow.functions.basics import half_up
+from kerbflow.plans import tables
 from kerbflow.plans.oracle import compose, rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,7 @@ def query(name: str, sql: str | None = None, floats: Iterable[str] | dict[str, i
             raise ValueError(f"query {name} registered twice")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            tables.new_run()
             df = function(spark, folder)
             return _rounded(df, columns) if columns else df
 

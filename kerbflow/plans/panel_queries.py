@@ -43,7 +43,7 @@ _DAYF = dict.fromkeys(_DAY.split(", "), 6)
 
 
 def stored_daily(spark, folder):
-    return materialise(panel.daily_counts(T.facts(spark, folder)), "daily")
+    return T.once(spark, folder, "daily", lambda: panel.daily_counts(T.facts(spark, folder)))
 
 
 def day_table(spark, folder, daily=None):
@@ -148,7 +148,7 @@ _HOUR = ["lag_1", "lag_24", "lag_168", "rolling_mean_24h", "rolling_std_24h", "r
 
 
 def stored_hourly(spark, folder):
-    return materialise(panel.hourly_counts(cleaned(spark, folder)), "hourly")
+    return T.once(spark, folder, "hourly", lambda: panel.hourly_counts(cleaned(spark, folder)))
 
 
 @query("hour_panel_features", f"SELECT grid_cell_id, CAST(ts AS VARCHAR) AS ts, violation_count, {', '.join(_HOUR)} FROM t_hourfeat", _HOUR)

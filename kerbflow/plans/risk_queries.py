@@ -138,7 +138,7 @@ def cleaned(spark, folder):
 
 
 def hour_table(spark, folder):
-    return materialise(risk.cell_hours(cleaned(spark, folder)), "cell-hours")
+    return T.once(spark, folder, "cell-hours", lambda: risk.cell_hours(cleaned(spark, folder)))
 
 
 def risk_table(spark, folder):
@@ -275,7 +275,7 @@ def hour_probability_sum(spark, folder):
 
 
 def cell_table(spark, folder):
-    return cleaned(spark, folder).select("grid_cell_id", "cell_i", "cell_j").distinct()
+    return hour_table(spark, folder).select("grid_cell_id", "cell_i", "cell_j").distinct()
 
 
 @query("cell_knn_graph", "SELECT * FROM t_knn")

@@ -442,10 +442,7 @@ def leg_measurements(spark, folder):
 
 
 def centres(spark, folder):
-    placed = T.facts(spark, folder)
-    from kerbflow.operators import zones
-
-    return scoring.with_centre(zones.place(placed).select("zone_id", "zi", "zj").distinct())
+    return scoring.with_centre(T.zone_places(spark, folder))
 
 
 def observed(spark, folder):

@@ -54,7 +54,7 @@ def parquet_scan(spark, folder):
 @query("keyed_map_scan", "SELECT zone_id, travel_time_ratio FROM t_ratio", ["travel_time_ratio"])
 def keyed_map_scan(spark, folder):
     path = shared_path(spark, "ratios")
-    placed = zones.place(T.facts(spark, folder)).select("zone_id").distinct()
+    placed = T.zone_places(spark, folder).select("zone_id")
     joined = placed.join(T.ratios(spark, folder), "zone_id", "left")  # zones without a ratio become null entries
     line = F.to_json(F.create_map(F.col("zone_id"), F.struct(F.col("travel_time_ratio"))))
     joined.select(line.alias("value")).write.text(path)

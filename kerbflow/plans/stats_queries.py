@@ -48,7 +48,7 @@ def point_table(spark, folder):
 def zone_splits(spark, folder):
     from kerbflow.operators import zones
 
-    placed = zones.place(T.facts(spark, folder)).select("zone_id").distinct()
+    placed = T.zone_places(spark, folder).select("zone_id")
     return placed.select("zone_id", split_of("zone_id", V.SPLIT_SEED).alias("split"))
 
 

@@ -94,7 +94,7 @@ def zone_travel_ratios(spark, folder):
 def zone_ratio_lookup(spark, folder):
     from kerbflow.functions.basics import dbl, degradation, valid_ratio
 
-    seen = zones.place(T.facts(spark, folder)).select("zone_id").distinct()
+    seen = T.zone_places(spark, folder).select("zone_id")
     joined = zones.attach_ratio(seen, T.ratios(spark, folder))
     value = F.when(valid_ratio(F.col("travel_time_ratio")), degradation(F.col("travel_time_ratio"))).otherwise(dbl(0.5))
     return joined.withColumn("degradation", value)

@@ -49,7 +49,11 @@ def travel_ratios(placed: DataFrame) -> DataFrame:
 
     ``placed`` has ``zone_id`` and ``signal``; about 60 % of the zones get a ratio.
     """
-    per_zone = placed.groupBy("zone_id").agg(F.sum("signal").alias("total"), F.count("signal").alias("n"))
+    return measured_ratios(placed.groupBy("zone_id").agg(F.sum("signal").alias("total"), F.count("signal").alias("n")))
+
+
+def measured_ratios(per_zone: DataFrame) -> DataFrame:
+    """The same from one row per zone with the sum ``total`` and the number ``n`` of its signals."""
     # The test names n as well, so it stays above the aggregate: one hash per zone, not per event.
     chosen = F.when(F.col("n") > 0, digest_mod("concat('measure:', zone_id)", 100)) < 60
     measured = per_zone.where(chosen)
