@@ -99,7 +99,7 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # Share of all words that each domain is to get: the languages' good texts, and texts of low quality.
-MIX_WEIGHTS = {"en": 0.5, "de": 0.15, "fr": 0.15, "es": 0.15, "low": 0.05}
+MIX_WEIGHTS = {"en": 0.45, "de": 0.15, "fr": 0.15, "es": 0.15, "low": 0.1}
 
 
 def mixing_model(documents: DataFrame, labels: DataFrame) -> mixing.Model:
