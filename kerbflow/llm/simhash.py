@@ -91,18 +91,18 @@ def _sketch(words: int, repeats: bool, bottom: int):
                     own, kept = distinct_in_texts(hashes, offsets) if repeats else (hashes, offsets)
                     sizes = np.diff(kept)
                     first_ones = np.arange(len(own)) - np.repeat(kept[:-1], sizes) < bottom
-                    columns += [pa.array(sizes), list_array((own[first_ones] >> np.uint64(1)).view(np.int64), np.concatenate([[0], np.cumsum(np.minimum(sizes, bottom))]), pa.int64())]
+                    columns += [pa.array(sizes), list_array((own[first_ones] >> np.uint64(33)).astype(np.int32), np.concatenate([[0], np.cumsum(np.minimum(sizes, bottom))]), pa.int32())]
                     columns.append(part.column("text_key"))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "shingles", "bottom", "text_key"][: len(columns)])
     return run
 
 
 def sketches(documents: DataFrame, words: int = 4, repeats: bool = True, bottom: int = 0) -> DataFrame:
-    """(doc_id, fp) and, if asked for, the number of distinct shingles and their ``bottom`` smallest hashes (63 bits).
+    """(doc_id, fp) and, if asked for, the number of distinct shingles and their ``bottom`` smallest hashes (31 bits).
 
     With ``bottom`` a column ``text_key`` of the documents is kept as well.
     """
-    more = ", shingles long, bottom array<long>, text_key long" if bottom else ""
+    more = ", shingles long, bottom array<int>, text_key long" if bottom else ""
     chosen = documents.select("doc_id", "text", *(["text_key"] if bottom else []))
     return chosen.mapInArrow(_sketch(words, repeats, bottom), f"doc_id long, fp long{more}")
 
@@ -303,14 +303,14 @@ def similarity(a: str, b: str, bottom: int) -> Column:
     Below the smaller of the last hashes of the lists that were cut, both lists are whole; the share is taken there.
     """
     cut = lambda n: F.when(F.col(f"{n}.shingles") > bottom, F.element_at(F.col(f"{n}.bottom"), -1))
-    limit = F.coalesce(F.least(cut(a), cut(b)), F.lit(2**63 - 1))
+    limit = F.coalesce(F.least(cut(a), cut(b)), F.lit(2**31 - 1))
     below = lambda n: F.filter(F.col(f"{n}.bottom"), lambda x: x <= limit)
     common = F.size(F.array_intersect(below(a), below(b)))
     union = F.size(below(a)) + F.size(below(b)) - common
     return F.when(union > 0, common / union).otherwise(1.0)
 
 
-def one_of_each_group(documents: DataFrame, words: int = 5, least: float = 0.8, radius: int = 11, bottom: int = 256, most: int = 16) -> DataFrame:
+def one_of_each_group(documents: DataFrame, words: int = 5, least: float = 0.8, radius: int = 11, bottom: int = 256, most: int = 4) -> DataFrame:
     """Documents (doc_id, text, ...) without near copies: of each group the row with the smallest id stays.
 
     Texts whose fingerprints over distinct shingles are within the radius are candidates; a candidate pair is linked
@@ -323,12 +323,14 @@ def one_of_each_group(documents: DataFrame, words: int = 5, least: float = 0.8,
     keyed = documents.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = sketches(keyed, words, repeats=False, bottom=bottom).withColumn("node", F.xxhash64("fp", "shingles", "bottom"))
     rows = materialise(rows, "dedup-rows")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first(F.struct("shingles", "bottom")).alias("sketch"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
     nodes = materialise(nodes, "dedup-nodes")
     gone, active = None, nodes
     while True:
         pairs = materialise(dealt(active, radius).mapInArrow(_nearest(radius, most), "u long, v long").distinct(), "dedup-pairs")
-        held = nodes.select("node", "sketch")
+        met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        held = rows.join(met, "node", "left_semi").groupBy("node").agg(F.first(F.struct("shingles", "bottom")).alias("sketch"))
+        held = materialise(held, "dedup-sketches")
         side = lambda n: held.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}"))  # noqa: E731, B023
         links = materialise(pairs.join(side("u"), "u").join(side("v"), "v").where(similarity("su", "sv", bottom) >= least).select("u", "v"), "dedup-links")
         if links.isEmpty():
@@ -339,8 +341,7 @@ def one_of_each_group(documents: DataFrame, words: int = 5, least: float = 0.8,
         lost = materialise(groups.select("node").join(stays, "node", "left_anti"), "dedup-lost")
         gone = lost if gone is None else gone.unionByName(lost)
         # Only texts that had candidates can gain new ones.
-        met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(gone, "node", "left_anti")
-        active = materialise(nodes.join(met, "node", "left_semi").select("node", "fp"), "dedup-active")
+        active = materialise(nodes.join(met.join(gone, "node", "left_anti"), "node", "left_semi").select("node", "fp"), "dedup-active")
     standing = rows.join(nodes.select("node", "least"), "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
     if gone is not None:
         standing = standing.join(gone, "node", "left_anti")
