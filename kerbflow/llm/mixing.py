@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from kerbflow.llm.common import SPACED, hash_words, list_array, list_values, segment_sums, slices, split_words
 from kerbflow.session import materialise
 
-MAX_ROWS = 3000  # labelled rows a domain
+MAX_ROWS = 1500  # labelled rows a domain
 BUCKETS = 1 << 15
 EDGE = 3  # bytes of a word's first and last part
 
@@ -61,7 +61,7 @@ def posteriors(model: Model, buckets: np.ndarray, offsets: np.ndarray) -> np.nda
     return out
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, domains: tuple[str, ...], epochs: int = 6, batch: int = 64, rate: float = 0.5, seed: int = 11) -> Model:
+def train(texts: list[np.ndarray], labels: np.ndarray, domains: tuple[str, ...], epochs: int = 12, batch: int = 64, rate: float = 0.5, seed: int = 11) -> Model:
     """Softmax regression with adaptive steps over mini-batches."""
     k = len(domains)
     counts = np.bincount(labels, minlength=k) + 1.0 if len(labels) else np.ones(k)
@@ -225,8 +225,8 @@ def copies(rate: Column, *identity: Column | str) -> Column:
 def mix_documents(documents: DataFrame, model: Model, weights: dict[str, float], keep: list[str]) -> tuple[DataFrame, Mix]:
     """Columns ``keep``, ``n_words``, ``posterior`` and ``rate`` for every document, and the fit."""
     target = np.array([weights[d] for d in model.domains], dtype=float)
-    classified = materialise(classify(documents, model, keep), "mix-posteriors")
-    mix = solve(classified, target / target.sum())
-    return with_rates(classified, mix, [*keep, "n_words", "posterior"], len(model.domains)), mix
+    mix = solve(materialise(classify(documents, model, []), "mix-posteriors"), target / target.sum())
+    # Texts are classified again rather than stored a second time beside their posteriors.
+    return with_rates(classify(documents, model, keep), mix, [*keep, "n_words", "posterior"], len(model.domains)), mix
 
 
