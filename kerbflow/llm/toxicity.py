@@ -34,7 +34,7 @@ TOKENS_AT_ONCE = 1 << 17
 
 @dataclass
 class Settings:
-    max_rows: int = 4000
+    max_rows: int = 2500
     max_words: int = 20000
     max_vocabulary: int = 200_000
     min_texts: int = 3
