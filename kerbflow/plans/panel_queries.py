@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from kerbflow.functions import geo
 from kerbflow.functions import labels as L
 from kerbflow.operators import ensemble, forecast, neighbours, panel, scoring, stats, zones
 from kerbflow.plans import tables as T
@@ -417,3 +418,13 @@ def ensemble_metrics(spark, folder):
 @query("feature_importance")
 def feature_importance(spark, folder):
     return forecast.importance(hourly_models(spark, folder)[2], _HOURLY, spark)
+
+
+@query("packed_ids", f"""
+SELECT DISTINCT grid_cell_id, CAST(split_part(grid_cell_id, '_', 1) AS BIGINT) AS cell_row, CAST(split_part(grid_cell_id, '_', 2) AS BIGINT) AS cell_col,
+  CAST(floor(CAST(split_part(grid_cell_id, '_', 1) AS DOUBLE) / {d(8.0)}) AS BIGINT) AS parent_row FROM t_hourly""")
+def packed_ids(spark, folder):
+    """Parts of packed cell ids, and the row of the cell's parent two levels up."""
+    cells = stored_hourly(spark, folder).select("grid_cell_id").distinct()
+    row = geo.cell_part(F.col("grid_cell_id"), 0)
+    return cells.select("grid_cell_id", row.alias("cell_row"), geo.cell_part(F.col("grid_cell_id"), 1).alias("cell_col"), geo.zone_parent(row, 7).alias("parent_row"))
