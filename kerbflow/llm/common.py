@@ -115,7 +115,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out)
 
 
-def slices(column: pa.Array, limit: int = 4 * SLICE_BYTES) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, limit: int = 2 * SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes (one row at least)."""
     _, offsets = text_buffer(column)
     first = 0

@@ -363,7 +363,7 @@ def scan(documents: DataFrame, tagger: Tagger) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base", "spans"]
         for batch in batches:
-            for first, last in slices(batch.column("text"), 1 << 23):
+            for first, last in slices(batch.column("text"), 1 << 21):
                 part = batch.slice(first, last - first)
                 base, added = find(part.column("text"), shared.value)
                 counts = [pa.array([sum(s[0] == kind for s in own) for own in base], pa.int64()) for kind in BASE_KINDS]
@@ -390,7 +390,7 @@ def redact(documents: DataFrame, tagger: Tagger) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last in slices(batch.column("text"), 1 << 23):
+            for first, last in slices(batch.column("text"), 1 << 21):
                 part = batch.slice(first, last - first)
                 base, added = find(part.column("text"), shared.value)
                 rows = [i for i in range(len(part)) if base[i] or added[i]]
