@@ -381,8 +381,8 @@ def _linked_pairs(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, documents
     side = lambda n: held.select(F.col("node").alias(n), F.col("n").alias(f"n{n}"), F.col("b").alias(f"b{n}"))
     shares = pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_shares(bottom), "u long, v long, share double, whole boolean")
     margin = lambda m: F.when(F.col("whole"), F.lit(CHANCE)).otherwise(F.lit(m))
-    possible = materialise(shares.where(F.col("share") >= least), "dedup-possible")
-    sure = F.col("share") >= least
+    possible = materialise(shares.where(F.col("share") >= least - margin(BELOW)), "dedup-possible")
+    sure = F.col("share") >= least + margin(ABOVE)
     certain, open_pairs = possible.where(sure).select("u", "v"), possible.where(~sure).select("u", "v")
     if open_pairs.isEmpty():
         return certain

@@ -159,6 +159,17 @@ def test_pairs_near_the_limit(spark):
     assert len(wanted) == 600 and len(lost) <= 6
 
 
+def test_long_texts_are_compared_as_a_whole(spark):
+    texts, pairs = planted_pairs(np.random.default_rng(0), (0.77, 0.785, 0.805, 0.82), 30, 1200)
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    found = simhash.exactly_similar(spark.createDataFrame([p[:2] for p in pairs], "u long, v long"), df, 5, 0.8)
+    wanted = {(a, b) for a, b, _ in pairs if jaccard(texts[a], texts[b]) >= 0.8}
+    assert len(wanted) == 60 and {tuple(r) for r in found.collect()} == wanted
+    kept = {r.doc_id for r in simhash.one_of_each_group(df.withColumnRenamed("node", "doc_id")).collect()}
+    assert not {b for a, b, _ in pairs if (a, b) not in wanted} - kept
+    assert len({b for _, b in wanted} & kept) <= 2
+
+
 def test_crowd_of_unlike_texts_hides_no_copy(spark):
     """Twelve texts lie nearer to a text in bits than its only copy does."""
     nodes = [(i, 0) for i in range(1, 13)] + [(100, 1), (200, 0b1111 << 20)]
