@@ -3,10 +3,11 @@
 A word's embedding is the sum of two hashed rows, one for the word and one for its first bytes; rows exist for
 hashes met in enough training texts, all other hashes read as zero. Filters of several widths slide over whole
 texts, each filter's largest response is kept, and a logistic layer turns these into a score. Score thresholds
-are calibrated by language on training texts the network has not seen.
+are calibrated by language on all labelled texts the network has not seen.
 
 The fit takes at most ``max_rows`` labelled texts a class (smallest hashes of the ids; longer texts than
-``max_words`` are left out of the fit, never of scoring). Texts, embeddings and filters are the score's only inputs.
+``max_words`` are left out of the fit, never of scoring). Classes weigh as much as their counted shares of all
+labels, in the fit and in the calibration. Texts, embeddings and filters are the score's only inputs.
 
 Defined cases: null and empty texts pool to zeros and get the score of the bias; rows with a null label are not
 learned from; without labels of both classes every score is the share of toxic labels (0 without labels); repeated
@@ -122,8 +123,11 @@ def _common(values: list[np.ndarray], least: int, most: int) -> np.ndarray:
     return found
 
 
-def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, settings: Settings) -> Model:
-    """Fit the network on (word hashes, prefix hashes) of each text; adaptive gradient steps over mini-batches."""
+def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, settings: Settings, share: float | None = None) -> Model:
+    """Fit the network on (word hashes, prefix hashes) of each text; adaptive gradient steps over mini-batches.
+
+    Each class weighs as much as if ``share`` of all texts were toxic; by default, as in the texts given.
+    """
     rng = np.random.default_rng(settings.seed)
     d, f = settings.dimension, settings.filters
     words = _common([t[0] for t in texts], settings.min_texts, settings.max_vocabulary) if texts else np.zeros(0, np.uint64)
@@ -134,11 +138,13 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, settin
     kernels = [draw(w, d, f, scale=0.5 / np.sqrt(w * d)) for w in settings.widths]
     biases = [np.zeros(f, np.float32) for _ in settings.widths]
     model = Model(settings, words, prefixes, *tables, kernels, biases, draw(f * len(settings.widths), scale=0.3), 0.0)
-    share = float(labels.mean()) if len(labels) else 0.0
-    if share in (0.0, 1.0):
+    own = float(labels.mean()) if len(labels) else 0.0
+    if own in (0.0, 1.0):
         model.weights[:] = 0
-        model.bias = 40.0 if share else -40.0
+        model.bias = 40.0 if own else -40.0
         return model
+    share = own if share is None else share
+    weight = np.where(labels > 0, share / own, (1 - share) / (1 - own)).astype(np.float32)
     model.bias = float(np.log(share / (1 - share)))
     ids = [(_rows(words, w), _rows(prefixes, p)) for w, p in texts]
     sums = {"E0": np.zeros_like(tables[0]), "E1": np.zeros_like(tables[1]), "w": np.zeros_like(model.weights), "b": 0.0}
@@ -163,7 +169,7 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, settin
             places = [np.stack([y[a:b].argmax(axis=0) + a for a, b in zip(offsets[:-1], offsets[1:])]) for y in ys]
             tops = [np.take_along_axis(y, p, axis=0) for y, p in zip(ys, places)]
             h = np.concatenate(tops, axis=1)
-            error = (1 / (1 + np.exp(-(h @ model.weights + model.bias))) - labels[chosen]).astype(np.float32) / len(chosen)
+            error = (1 / (1 + np.exp(-(h @ model.weights + model.bias))) - labels[chosen]).astype(np.float32) * weight[chosen] / len(chosen)
             back = error[:, None] * model.weights
             step("w", model.weights, h.T @ error + settings.shrink * model.weights)
             sums["b"] += float(error.sum()) ** 2
@@ -192,23 +198,25 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, settin
     return model
 
 
-def calibrate(given: np.ndarray, labels: np.ndarray, languages: list[str], least: int = 40) -> tuple[dict[str, float], float]:
-    """Threshold of the best F1 by language (middle of the widest best gap), and over all languages together."""
+def calibrate(given: np.ndarray, toxic: np.ndarray, languages: list[str], rows: np.ndarray, weights: np.ndarray, least: int = 40) -> tuple[dict[str, float], float]:
+    """Threshold of the best F1 by language (middle of the gap below), and over all languages together.
+
+    An entry stands for ``rows`` labelled texts of one score, label and language, and weighs ``weights``.
+    """
 
-    def best(s: np.ndarray, y: np.ndarray) -> float | None:
+    def best(s: np.ndarray, y: np.ndarray, w: np.ndarray) -> float | None:
         if not y.any() or y.all():
             return None
         order = np.argsort(-s, kind="stable")
-        hits = np.cumsum(y[order])
-        cut = np.flatnonzero(np.append(s[order][:-1] > s[order][1:], True))
-        f1 = 2 * hits[cut] / (cut + 1 + y.sum())
-        last = cut[np.argmax(f1)]
-        below = s[order][last + 1] if last + 1 < len(s) else 0.0
-        return float((s[order][last] + below) / 2)
-
-    overall = best(given, labels)
+        s, w, hits = s[order], np.cumsum(w[order]), np.cumsum(np.where(y, w, 0)[order])
+        cut = np.flatnonzero(np.append(s[:-1] > s[1:], True))
+        last = cut[np.argmax(2 * hits[cut] / (w[cut] + hits[-1]))]
+        below = s[last + 1] if last + 1 < len(s) else 0.0
+        return float((s[last] + below) / 2)
+
+    overall = best(given, toxic, weights)
     names = np.array([x or "" for x in languages])
-    found = {str(n): best(given[names == n], labels[names == n]) for n in np.unique(names) if (names == n).sum() >= least}
+    found = {str(n): best(given[names == n], toxic[names == n], weights[names == n]) for n in np.unique(names) if rows[names == n].sum() >= least}
     return {n: t for n, t in found.items() if t is not None}, 0.3 if overall is None else overall
 
 
@@ -218,46 +226,55 @@ def _features(prefix_bytes: int):
             for first, last in slices(batch.column("text")):
                 part = batch.slice(first, last - first)
                 words, prefixes, offsets = features(part.column("text"), prefix_bytes)
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("lang"), part.column("fold"),
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("fold"), part.column("text_key"),
                                                   list_array(words.view(np.int64), offsets, pa.int64()), list_array(prefixes.view(np.int64), offsets, pa.int64())],
-                                                 ["toxic", "lang", "fold", "words", "prefixes"])
+                                                 ["toxic", "fold", "text_key", "words", "prefixes"])
     return run
 
 
 def fit(documents: DataFrame, labels: DataFrame, settings: Settings | None = None, learn_from: Column | None = None) -> Model:
-    """Model from documents (doc_id, text, lang) and labels (doc_id, toxic); a fifth of the sample calibrates."""
+    """Model from documents (doc_id, text, lang) and labels (doc_id, toxic); all labelled texts outside the fit calibrate."""
     settings = settings or Settings()
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic IS NOT NULL AND doc_id IS NOT NULL")
     rows = rows if learn_from is None else rows.where(learn_from)
     ordered = rows.withColumn("fold", F.xxhash64("doc_id"))
+    n_toxic, n_all = (int(x or 0) for x in rows.agg(F.sum((F.col("toxic") > 0).cast("int")), F.count(F.lit(1))).first())
     sample = None
     for kind in (F.col("toxic") > 0, F.col("toxic") <= 0):
         side = ordered.where(kind).orderBy("fold", "doc_id").limit(settings.max_rows)
         sample = side if sample is None else sample.unionByName(side)
     # The sample has at most twice max_rows rows of three numbers.
-    texts = documents.select("doc_id", "text", "lang").join(F.broadcast(sample), "doc_id").select("text", "lang", "toxic", F.pmod("fold", F.lit(5)).cast("int").alias("fold"))
-    found = texts.mapInArrow(_features(settings.prefix_bytes), "toxic int, lang string, fold int, words array<long>, prefixes array<long>")
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+    # A fifth of the ids never enters the fit.
+    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic", F.pmod("fold", F.lit(5)).cast("int").alias("fold"), key).where("fold > 0")
+    found = texts.mapInArrow(_features(settings.prefix_bytes), "toxic int, fold int, text_key long, words array<long>, prefixes array<long>")
     table = found.where(F.size("words") <= settings.max_words).toArrow()
-    seen: dict[bytes, int] = {}
+    seen: set[bytes] = set()
     kept = []
     for batch in table.to_batches():
         words, offsets = list_values(batch.column("words"))
         prefixes, _ = list_values(batch.column("prefixes"))
-        for i, (toxic, lang, fold) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("toxic", "lang", "fold")))):
+        for i, toxic in enumerate(batch.column("toxic").to_pylist()):
             own = words[offsets[i] : offsets[i + 1]]
-            key = own.tobytes()
-            if key not in seen:  # copies of one text would only add weight to its chance words
-                seen[key] = len(kept)
-                kept.append((key, int(toxic > 0), lang, fold, (own.view(np.uint64), prefixes[offsets[i] : offsets[i + 1]].view(np.uint64))))
+            text = own.tobytes()
+            if text not in seen:  # copies of one text would only add weight to its chance words
+                seen.add(text)
+                kept.append((text, int(toxic > 0), (own.view(np.uint64), prefixes[offsets[i] : offsets[i + 1]].view(np.uint64))))
     kept.sort(key=lambda r: r[0])
-    fold = np.array([r[3] for r in kept], dtype=int)
-    y = np.array([r[1] for r in kept], dtype=np.float32)
-    model = train([r[4] for r in kept if r[3] > 0], y[fold > 0], settings)
-    held = [r for r in kept if r[3] == 0]
-    if held:
-        sizes = np.concatenate([[0], np.cumsum([len(r[4][0]) for r in held])])
-        given = scores(model, np.concatenate([r[4][0] for r in held]), np.concatenate([r[4][1] for r in held]), sizes)
-        model.thresholds, model.threshold = calibrate(given, y[fold == 0] > 0, [r[2] for r in held])
+    model = train([r[2] for r in kept], np.array([r[1] for r in kept], dtype=np.float32), settings, n_toxic / n_all if n_all else None)
+    if not kept:
+        return model
+    fitted = documents.sparkSession.createDataFrame([(k,) for k in set(table.column("text_key").to_pylist())], "text_key long")
+    others = documents.select("doc_id", "text", "lang").join(rows, "doc_id").join(F.broadcast(fitted), F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_key"), "left_anti")
+    # Scores are counted by their log odds at two decimals.
+    odds = F.round(100 * F.log(F.col("score") / (1 - F.col("score")))).cast("int").alias("odds")
+    counts = score(others, model, ["lang", "toxic"]).groupBy("lang", (F.col("toxic") > 0).alias("toxic"), odds).agg(F.count(F.lit(1)).alias("n")).collect()
+    if counts:
+        toxic, n = np.array([r.toxic for r in counts], dtype=bool), np.array([r.n for r in counts], dtype=np.float64)
+        odds = np.array([np.inf if r.odds is None else r.odds for r in counts], dtype=np.float64)
+        given = 1 / (1 + np.exp(-odds / 100))
+        weights = n * np.where(toxic, n_toxic / max(n[toxic].sum(), 1), (n_all - n_toxic) / max(n[~toxic].sum(), 1))
+        model.thresholds, model.threshold = calibrate(given, toxic, [r.lang for r in counts], n, weights)
     return model
 
 

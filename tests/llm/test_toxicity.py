@@ -63,3 +63,27 @@ def test_no_labels_and_empty_table(spark):
     model = toxicity.fit(documents, none)
     assert toxicity.score(documents, model).first().score < 1e-9
     assert toxicity.score(documents.limit(0), model).collect() == []
+
+
+def test_class_shares_do_not_depend_on_the_sample(spark):
+    """Noisy labels: texts with the cue word are toxic half of the time, so a fair score for them is a half."""
+    rng = np.random.default_rng(1)
+    docs, labels = [], []
+    for i in range(3000):
+        words = [f"w{x}" for x in rng.integers(0, 60, 12)]
+        cue = i % 10 == 0
+        docs.append((i, " ".join([*words, "cue"] if cue else words), "en"))
+        labels.append((i, int(cue and i % 20 == 0)))
+    documents = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = toxicity.fit(documents, spark.createDataFrame(labels, "doc_id long, toxic int"), toxicity.Settings(max_rows=600))
+    rows = toxicity.score(documents, model).collect()
+    mean = lambda cue: np.mean([r.score for r in rows if ("cue" in r.text) == cue])
+    assert mean(True) < 0.75 and mean(False) < 0.05
+
+
+def test_calibration_weighs_classes():
+    given, toxic = np.array([0.9, 0.9, 0.6, 0.6, 0.1]), np.array([True, False, True, False, False])
+    rows = np.array([40, 5, 10, 10, 40])
+    half, _ = toxicity.calibrate(given, toxic, ["en"] * 5, rows, rows * 1.0)
+    rare, _ = toxicity.calibrate(given, toxic, ["en"] * 5, rows, np.where(toxic, rows, 8.0 * rows))
+    assert half["en"] < 0.6 and 0.6 < rare["en"] < 0.9
