@@ -265,10 +265,12 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings | None = Non
     if not kept:
         return model
     fitted = documents.sparkSession.createDataFrame([(k,) for k in set(table.column("text_key").to_pylist())], "text_key long")
-    others = documents.select("doc_id", "text", "lang").join(rows, "doc_id").join(F.broadcast(fitted), F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_key"), "left_anti")
+    # Texts are scored before the join, so that none is shuffled.
+    others = documents.select("doc_id", "text", "lang", key).join(F.broadcast(fitted), "text_key", "left_anti")
+    others = score(others, model, ["doc_id", "lang"]).join(rows, "doc_id")
     # Scores are counted by their log odds at two decimals.
     odds = F.round(100 * F.log(F.col("score") / (1 - F.col("score")))).cast("int").alias("odds")
-    counts = score(others, model, ["lang", "toxic"]).groupBy("lang", (F.col("toxic") > 0).alias("toxic"), odds).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = others.groupBy("lang", (F.col("toxic") > 0).alias("toxic"), odds).agg(F.count(F.lit(1)).alias("n")).collect()
     if counts:
         toxic, n = np.array([r.toxic for r in counts], dtype=bool), np.array([r.n for r in counts], dtype=np.float64)
         odds = np.array([np.inf if r.odds is None else r.odds for r in counts], dtype=np.float64)
