@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbflow.llm import chat, decontaminate, license_templates, licenses, mixing, ngram_lm, pii, simhash, topk, toxicity, warc
+from kerbflow.llm import chat, decontaminate, hard_negatives, license_templates, licenses, mixing, ngram_lm, pii, simhash, topk, toxicity, warc
 from kerbflow.llm.catalog import query
 from kerbflow.llm.common import read, remainder
 from kerbflow.session import materialise, shared_path
@@ -164,3 +164,20 @@ def ngram_scores(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents", "doc_id", "text")
     found = ngram_lm.score(documents, ngram_lm.fit(documents.where(~held_out)))
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+_NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS ints FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.ints, v.ints)::BIGINT AS score FROM v a JOIN v ON a.vec_id % 50 = 0 AND v.vec_id <> a.vec_id),
+     p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3"""
+
+
+@query("op13_hard_negatives", _NEGATIVES_SQL)
+def hard_negative_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; the label of every seventh row is moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, folder, "embeddings", "vec_id", "embedding", "label"), F.col("vec_id") % 50 == 0, label)
