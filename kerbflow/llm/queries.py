@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbflow.llm import chat, decontaminate, hard_negatives, license_templates, licenses, mixing, ngram_lm, pii, simhash, topk, toxicity, warc
+from kerbflow.llm import chat, decontaminate, hard_negatives, license_templates, licenses, mixing, ngram_lm, pii, quality, simhash, topk, toxicity, warc
 from kerbflow.llm.catalog import query
 from kerbflow.llm.common import read, remainder
 from kerbflow.session import materialise, shared_path
@@ -181,3 +181,10 @@ def hard_negative_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Hard negatives of every fiftieth vector; the label of every seventh row is moved on by one."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(read(spark, folder, "embeddings", "vec_id", "embedding", "label"), F.col("vec_id") % 50 == 0, label)
+
+
+@query("op12_quality_rules")
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule statistics of every document, and whether rules and isolation forest keep it."""
+    found = quality.judge(read(spark, folder, "documents", "doc_id", "text"), read(spark, folder, "labels", "doc_id", "quality"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
