@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbflow.llm import chat, decontaminate, hard_negatives, license_templates, licenses, mixing, ngram_lm, pii, quality, simhash, topk, toxicity, warc
+from kerbflow.llm import align, chat, decontaminate, hard_negatives, license_templates, licenses, mixing, ngram_lm, pii, quality, simhash, topk, toxicity, warc
 from kerbflow.llm.catalog import query
 from kerbflow.llm.common import read, remainder
 from kerbflow.session import materialise, shared_path
@@ -188,3 +188,10 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Rule statistics of every document, and whether rules and isolation forest keep it."""
     found = quality.judge(read(spark, folder, "documents", "doc_id", "text"), read(spark, folder, "labels", "doc_id", "quality"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
+@query("op11_tokenizer_alignment")
+def tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers over every document."""
+    found = align.align(read(spark, folder, "documents", "doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
