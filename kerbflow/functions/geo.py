@@ -69,6 +69,11 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     up = F.sin(F.radians(lat2 - lat1) / 2)
     across = F.sin(F.radians(lon2 - lon1) / 2)
     chord = up * up + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * across * across
+    return chord_m(chord)
+
+
+def chord_m(chord: Column) -> Column:
+    """Great-circle metres of a squared half chord."""
     return dbl(2 * V.EARTH_RADIUS_M) * F.asin(F.sqrt(chord))
 
 
@@ -89,7 +94,3 @@ def leg_ends(lat: Column, lon: Column) -> Column:
         F.struct(F.lit(name).alias("direction"), (lat + dbl(dlat)).alias("end_lat"), (lon + dbl(dlon)).alias("end_lon"))
         for name, dlat, dlon in V.LEG_OFFSETS
     ])
-
-
-def degrees_to_metres(degrees: float) -> float:
-    return math.radians(degrees) * V.EARTH_RADIUS_M

@@ -1,10 +1,10 @@
-"""Nearest neighbours and lattice neighbourhoods by block joins."""
+"""Nearest neighbours by a balanced partition tree, and lattice neighbourhoods by equi-joins."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.functions import geo as G
@@ -14,61 +14,121 @@ from kerbflow.operators.ranking import top_per_group
 from kerbflow.session import materialise
 
 MOORE = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
+LEAF = 64  # points of a leaf
+FAN = 64  # children of a node
+SLACK = 1e-9  # bounds give way by this share, so rounding never rules a point out
+_BOX = ("x0", "x1", "y0", "y1", "n")
 
 
-def _blocks(df: DataFrame, side: float) -> DataFrame:
-    return df.withColumns({"bi": G.lattice(F.col("x"), side), "bj": G.lattice(F.col("y"), side)})
+def _axis(value: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """Least and largest distance of a coordinate from an interval."""
+    near = F.greatest(dbl(0.0), low - value, value - high)
+    return near, F.greatest(F.abs(value - low), F.abs(value - high))
 
 
-def nearest(queries: DataFrame, targets: DataFrame, k: int, side: float, haversine: bool = False) -> DataFrame:
+def _half_sine_squared(degrees: Column) -> Column:
+    half = F.sin(F.radians(degrees) / 2)
+    return half * half
+
+
+def box_bounds(x: Column, y: Column, box: Column, haversine: bool) -> tuple[Column, Column]:
+    """Lower and upper bound of the distance from a point to all points of a box."""
+    (near_x, far_x), (near_y, far_y) = (_axis(v, box.getField(f"{c}0"), box.getField(f"{c}1")) for v, c in ((x, "x"), (y, "y")))
+    if not haversine:
+        return (near_x * near_x + near_y * near_y) * dbl(1 - SLACK), (far_x * far_x + far_y * far_y) * dbl(1 + SLACK)
+    # Latitude x, longitude y. The chord grows with the longitude gap up to 180 degrees and shrinks beyond.
+    steep = F.greatest(F.abs(box.getField("x0")), F.abs(box.getField("x1")))
+    flat = F.when((box.getField("x0") <= 0) & (box.getField("x1") >= 0), dbl(0.0)).otherwise(F.least(F.abs(box.getField("x0")), F.abs(box.getField("x1"))))
+    ends = (_half_sine_squared(near_y), _half_sine_squared(far_y))
+    widest = F.when((near_y <= 180) & (far_y >= 180), dbl(1.0)).otherwise(F.greatest(*ends))
+    own = F.cos(F.radians(x))
+    low = _half_sine_squared(near_x) + own * F.cos(F.radians(steep)) * F.least(*ends)
+    high = _half_sine_squared(F.least(far_x, dbl(180.0))) + own * F.cos(F.radians(flat)) * widest
+    return G.chord_m(low) * dbl(1 - SLACK), G.chord_m(F.least(high, dbl(1.0))) * dbl(1 + SLACK)
+
+
+def tree(points: DataFrame, size: int) -> tuple[DataFrame, list[tuple[DataFrame, str]]]:
+    """Points with their leaf (strip, tile), and the node levels from the leaves up to at most ``FAN`` nodes.
+
+    Strips are ranges of (x, id) and tiles runs of ``LEAF`` rows of a strip by (y, id), so a leaf has at most
+    ``LEAF`` points even where many of them coincide. A level is a table of strip, tile, box and number of points
+    with the axis along which ``FAN`` of its nodes share a parent.
+    """
+    strips = max(1, math.ceil(math.sqrt(size / LEAF)))
+    spread = points.select("id", "x", "y").repartitionByRange(strips, "x", "id").withColumn("strip", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("strip").orderBy("y", "id"))
+    placed = materialise(spread.withColumn("tile", F.floor((place - 1) / LEAF).cast("int")), "tree-points")
+    nodes = materialise(placed.groupBy("strip", "tile").agg(
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n")), "tree-leaves")
+    strips, tiles = (1 + (edge or 0) for edge in nodes.agg(F.max("strip"), F.max("tile")).first())
+    levels = []
+    while True:
+        axis = "tile" if tiles > 1 else "strip"
+        levels.append((nodes, axis))
+        if strips * tiles <= FAN:
+            return placed, levels
+        strips, tiles = (strips, math.ceil(tiles / FAN)) if axis == "tile" else (math.ceil(strips / FAN), tiles)
+        nodes = _with_parent(nodes, axis).groupBy(F.col("up_strip").alias("strip"), F.col("up_tile").alias("tile")).agg(
+            F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.sum("n").alias("n"))
+
+
+def _with_parent(nodes: DataFrame, axis: str) -> DataFrame:
+    return nodes.withColumns({f"up_{c}": F.floor(F.col(c) / FAN).cast("int") if c == axis else F.col(c) for c in ("strip", "tile")})
+
+
+def _pruned(rows: DataFrame, need: int, haversine: bool) -> DataFrame:
+    """Of the nodes beside each query, those that may hold one of its ``need`` nearest points."""
+    low, high = box_bounds(F.col("qx"), F.col("qy"), F.struct(*_BOX), haversine)
+    rated = rows.select("src", "qx", "qy", "strip", "tile", "n", low.alias("low"), high.alias("high"))
+    one = Window.partitionBy("src")  # FAN children of a few nodes
+    seen = F.sum("n").over(one.orderBy("high", "strip", "tile"))
+    bound = F.min(F.when(F.col("seen") >= need, F.col("high"))).over(one)
+    kept = rated.withColumn("seen", seen).withColumn("bound", bound).where("bound IS NULL OR low <= bound")
+    return kept.select("src", "qx", "qy", "strip", "tile", "low")
+
+
+def candidate_leaves(queries: DataFrame, levels: list[tuple[DataFrame, str]], need: int, haversine: bool) -> DataFrame:
+    """(src, qx, qy, strip, tile, low): leaves that may hold one of a query's ``need`` nearest points, with their lower bound."""
+    top = levels[-1][0].agg(F.collect_list(F.struct("strip", "tile", *_BOX))).scalar()  # at most FAN boxes
+    asked = queries.select(F.col("id").alias("src"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.explode(top).alias("node"))
+    rows = _pruned(asked.select("src", "qx", "qy", "node.*"), need, haversine)
+    for nodes, axis in reversed(levels[:-1]):
+        opened = rows.select("src", "qx", "qy", F.col("strip").alias("up_strip"), F.col("tile").alias("up_tile"))
+        rows = _pruned(opened.join(_with_parent(nodes, axis), ["up_strip", "up_tile"]), need, haversine)
+    return rows
+
+
+def nearest(queries: DataFrame, targets: DataFrame, k: int, haversine: bool = False) -> DataFrame:
     """k nearest targets of each query as (src, dst, place, dist); a query never finds its own id.
 
-    Inputs have ``id, x, y``. Each round compares a query with the targets of its 3 x 3 blocks and
-    keeps the answer once the k-th distance is inside the blocks' safe radius; the others go on with
-    blocks twice as wide. ``dist`` is the squared flat distance, or metres with ``haversine``.
+    Inputs have ``id, x, y``, ids are unique. Queries descend the tree of the targets by bounds; the nearest leaf
+    that is left is read first, and of the others those within the k-th distance found there. ``dist`` is the
+    squared flat distance, or metres with ``haversine``.
     """
-    waiting = materialise(queries.select("id", "x", "y"), "knn-queries")
     pool = materialise(targets.select("id", "x", "y"), "knn-targets")
-    box = waiting.unionAll(pool).agg(
-        F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.max(F.abs(F.col("x")))).first()
-    answers = None
-    span = 0.0 if box[0] is None else max(box[1] - box[0], box[3] - box[2])
-    while True:
-        last = side > span
-        spread = _blocks(waiting, side).select(
-            F.col("id").alias("src"), F.col("x").alias("qx"), F.col("y").alias("qy"), "bi", "bj",
-        ).withColumn("step", F.explode(F.array(*[
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in [*MOORE, (0, 0)]
-        ]))).withColumns({"bi": F.col("bi") + F.col("step.i"), "bj": F.col("bj") + F.col("step.j")})
-        met = spread.join(_blocks(pool, side), ["bi", "bj"]).where(F.col("src") != F.col("id"))
+    placed, levels = tree(pool, pool.count())
+
+    def read(rows: DataFrame) -> DataFrame:
+        met = rows.join(placed, ["strip", "tile"]).where(F.col("src") != F.col("id"))
         dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
         dist = G.haversine_m(F.col("qx"), F.col("qy"), F.col("x"), F.col("y")) if haversine else dx * dx + dy * dy
         pairs = met.select("src", F.col("id").alias("dst"), dist.alias("dist"))
-        kept = top_per_group(pairs, ["src"], [("dist", True), ("dst", True)], k)
-        found = materialise(kept, "knn-round")
-        if haversine:
-            shrink = math.cos(math.radians(min(89.0, (box[4] or 0.0) + side)))
-            safe = G.degrees_to_metres(side) * shrink * 0.999
-        else:
-            safe = side * side
-        if not last:
-            sure = found.groupBy("src").agg(F.count("*").alias("n"), F.max("dist").alias("far")).where(
-                (F.col("n") == k) & (F.col("far") < safe)).select("src")
-            found = found.join(sure, "src", "left_semi")
-        answers = found if answers is None else answers.unionByName(found)
-        if last:
-            return answers
-        waiting = materialise(waiting.join(sure.withColumnRenamed("src", "id"), "id", "left_anti"), "knn-queries")
-        if waiting.isEmpty():
-            return answers
-        side *= 2
+        return top_per_group(pairs, ["src"], [("dist", True), ("dst", True)], k)
+
+    turn = F.row_number().over(Window.partitionBy("src").orderBy("low", "strip", "tile"))
+    found = materialise(candidate_leaves(queries, levels, k + 1, haversine).withColumn("turn", turn), "knn-leaves")
+    first = materialise(read(found.where("turn = 1")), "knn-home")
+    reach = first.groupBy("src").agg(F.when(F.count("*") == k, F.max("dist")).alias("reach"))
+    rest = found.where("turn > 1").join(reach, "src", "left").where("reach IS NULL OR low <= reach")
+    both = first.drop("place").unionByName(read(rest).drop("place"))
+    return top_per_group(both, ["src"], [("dist", True), ("dst", True)], k)
 
 
 def cell_graph(cells: DataFrame, k: int = 6) -> DataFrame:
     """k-nearest-neighbour edges between lattice cells; distances are exact integers."""
     points = cells.select(F.col("grid_cell_id").alias("id"), F.col("cell_i").cast("double").alias("x"),
                           F.col("cell_j").cast("double").alias("y"))
-    return nearest(points, points, k, side=2.0)
+    return nearest(points, points, k)
 
 
 def zone_points(zones: DataFrame) -> DataFrame:
@@ -78,7 +138,7 @@ def zone_points(zones: DataFrame) -> DataFrame:
 def zone_graph(zones: DataFrame, k: int = 6) -> DataFrame:
     """k nearest zones by great-circle distance."""
     points = zone_points(zones)
-    return nearest(points, points, k, side=2 * V.ZONE_STEP, haversine=True)
+    return nearest(points, points, k, haversine=True)
 
 
 def by_travel_time(candidates: DataFrame, times: DataFrame, k: int) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from kerbflow.functions import events as E
 from kerbflow.functions import vocabulary as V
 from kerbflow.functions.basics import dbl, lookup, quoted, ratio
-from kerbflow.operators.ranking import position, running_total
+from kerbflow.operators.ranking import position
+from kerbflow.operators.selection import counted_values, quantiles_of_counts
 from kerbflow.session import materialise
 
 
@@ -28,31 +29,6 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.count("value").alias("n_distinct"))
 
 
-def quantiles(df: DataFrame, value: str, levels: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
-    """Exact interpolated quantiles per group: columns group..., level, quantile.
-
-    Distinct values are counted and given their running position in range slices; only the values
-    under a wanted position are kept. No task sees a whole group.
-    """
-    keys = list(group) or ["all_rows"]
-    rows = (df if group else df.withColumn("all_rows", F.lit(0))).where(F.col(value).isNotNull())
-    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("copies"))
-    placed = running_total(counted, [(value, True)], keys, "copies")
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("size"))
-    wanted = sizes.withColumn("level", F.explode(F.array(*[dbl(level) for level in levels])))
-    spot = (F.col("size") - 1) * F.col("level")
-    low = F.floor(spot)
-    joined = placed.join(wanted.select(*keys, "level", low.alias("low"), F.ceil(spot).alias("high"), (spot - low).alias("part")), keys)
-
-    def covers(edge: str) -> Column:
-        return (F.col("before") <= F.col(edge)) & (F.col(edge) < F.col("before") + F.col("copies"))
-
-    picked = joined.where(covers("low") | covers("high")).groupBy(*keys, "level", "part").agg(
-        F.min(F.col(value)).cast("double").alias("a"), F.max(F.col(value)).cast("double").alias("b"))
-    result = picked.select(*keys, "level", (F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).alias("quantile"))
-    return result if group else result.drop("all_rows")
-
-
 def share(df: DataFrame, *keys: Column | str) -> DataFrame:
     """Rows and percentage per key; the total comes from the stored counts, not from a second scan."""
     counted = materialise(df.groupBy(*keys).agg(F.count("*").alias("n")), "counts")
@@ -114,10 +90,11 @@ def latency(df: DataFrame, pairs: dict[str, str], start: str = "created_datetime
 
     delays = F.array(*[F.struct(F.lit(name).alias("delay"), ((micros(column) - micros(start)) / dbl(3.6e9)).alias("hours"))
                        for name, column in pairs.items()])
-    long = df.select(F.explode(delays).alias("d")).select("d.*").where(F.col("hours").isNotNull())
-    counts = long.groupBy("delay").agg(F.count("*").alias("n"), F.count_if(F.col("hours") < 0).alias("negative"))
-    parts = quantiles(long, "hours", levels, ["delay"])
-    wide = parts.groupBy("delay").agg(*[
+    long = df.select(F.explode(delays).alias("d")).select("d.*")
+    counted = counted_values(long, "hours", ["delay"])  # the only read of the rows
+    counts = counted.groupBy("delay").agg(
+        F.sum("copies").alias("n"), F.coalesce(F.sum(F.when(F.col("value") < 0, F.col("copies"))), F.lit(0)).alias("negative"))
+    wide = quantiles_of_counts(counted, levels, ["delay"]).groupBy("delay").agg(*[
         F.max(F.when(F.col("level") == level, F.col("quantile"))).alias(f"q{round(level * 100)}_hours") for level in levels])
     return counts.join(wide, "delay")
 

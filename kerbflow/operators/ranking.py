@@ -52,11 +52,18 @@ def average_rank(values: DataFrame, value: str, group: Sequence[str] = (), count
 
 
 def percentile_rank(df: DataFrame, value: str, name: str = "pct") -> DataFrame:
-    """Average rank divided by the number of rows; ties share one value."""
-    counted = df.groupBy(value).agg(F.count("*").alias("n"))
-    ranks = average_rank(counted, value)
-    size = df.agg(F.count("*")).scalar()
-    return df.join(ranks.select(value, "mean_rank"), value).withColumn(name, F.col("mean_rank") / size).drop("mean_rank")
+    """Average rank divided by the number of rows; ties share one value.
+
+    Rows are range-partitioned by value and row number, so a value with very many rows lies in several slices; they
+    meet their rank under (slice, value), never under the value alone.
+    """
+    spread = df.withColumn("row_no", F.monotonically_increasing_id()).repartitionByRange(slices(df.sparkSession), F.col(value), F.col("row_no"))
+    stored = materialise(spread.drop("row_no").withColumn("slice_no", F.spark_partition_id()), "ranked-rows")
+    counted = materialise(stored.groupBy("slice_no", value).agg(F.count("*").alias("n")), "ranked-values")
+    ranks = average_rank(counted.groupBy(value).agg(F.sum("n").alias("n")), value).drop("n")
+    size = counted.agg(F.sum("n")).scalar()
+    placed = counted.join(ranks, value).select("slice_no", F.col(value), (F.col("mean_rank") / size).alias(name))
+    return stored.join(placed, ["slice_no", value]).drop("slice_no")
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Order, limit: int, name: str = "place") -> DataFrame:

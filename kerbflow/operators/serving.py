@@ -248,7 +248,7 @@ def displaced_zones(served: DataFrame, teams: int = 5) -> DataFrame:
 
     marked = assigned(served, teams)
     covered, free = marked.where("covered = 1"), marked.where("covered = 0")
-    pairs = nearest(zone_points(covered), zone_points(free), 1, side=2 * V.ZONE_STEP)
+    pairs = nearest(zone_points(covered), zone_points(free), 1)
     pushed = pairs.join(covered.select(F.col("zone_id").alias("src"), "patrol_probability"), "src").groupBy(
         F.col("dst").alias("zone_id")).agg(F.sum(dbl(0.12) * F.col("patrol_probability")).alias("push"))
     share = F.least("push", dbl(0.25))
@@ -262,7 +262,7 @@ def zone_arrows(served: DataFrame, top: int = 5) -> DataFrame:
     from kerbflow.operators.neighbours import nearest, zone_points
 
     first = best(served.drop("place"), top, *by_risk())
-    pairs = nearest(zone_points(first), zone_points(served), 1, side=2 * V.ZONE_STEP)
+    pairs = nearest(zone_points(first), zone_points(served), 1)
     return pairs.join(first.select(F.col("zone_id").alias("src"), "patrol_probability"), "src").select(
         F.col("src").alias("from_zone"), F.col("dst").alias("to_zone"), F.col("patrol_probability").alias("weight"))
 

@@ -148,7 +148,7 @@ def precision_at_k(df: DataFrame, group: Sequence[str], ident: str, actual: str,
 def prediction_cap(training: DataFrame, validation: DataFrame, actual: str, predicted: str,
                    levels: Sequence[float] = (0.99, 0.995, 0.999, 0.9995, 0.9999, 1.0)) -> DataFrame:
     """RMSE on the validation rows under each training percentile used as a cap; the best is marked."""
-    from kerbflow.operators.profile import quantiles
+    from kerbflow.operators.selection import quantiles
 
     caps = quantiles(training.select(F.col(actual).cast("double").alias("value")), "value", levels)
     wanted = caps.agg(F.sort_array(F.collect_set("quantile"))).scalar()  # one value per level

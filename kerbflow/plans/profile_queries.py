@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kerbflow.functions import events as E
 from kerbflow.functions import geo as G
 from kerbflow.functions import vocabulary as V
-from kerbflow.operators import profile, zones
+from kerbflow.operators import profile, selection, zones
 from kerbflow.plans import tables as T
 from kerbflow.plans.catalog import query
 from kerbflow.plans.oracle import d, define, rounded
@@ -29,7 +29,7 @@ def column_profile(spark, folder):
     f"SELECT '{c}' AS axis, {d(q)} AS level, quantile_cont({c}, {q}) AS quantile FROM t_viol" for c in ("latitude", "longitude") for q in (0.0, 0.5, 1.0)), ["quantile"])
 def coordinate_quantiles(spark, folder):
     axes = T.facts(spark, folder).select("latitude", "longitude").unpivot([], ["latitude", "longitude"], "axis", "value")
-    return profile.quantiles(axes, "value", [0.0, 0.5, 1.0], ["axis"])
+    return selection.quantiles(axes, "value", [0.0, 0.5, 1.0], ["axis"])
 
 
 @query("pincode_share", "SELECT pincode, count(*) AS n, count(*) * 100.0 / (SELECT count(*) FROM t_clean) AS pct FROM t_clean GROUP BY pincode", ["pct"])
@@ -72,7 +72,7 @@ def calendar_counts(spark, folder):
     f"SELECT {d(q)} AS level, quantile_cont(n, {q}) AS quantile FROM (SELECT count(*) AS n FROM t_clean GROUP BY date)" for q in (0.0, 0.1, 0.5, 0.9, 1.0)), ["quantile"])
 def daily_volume_quantiles(spark, folder):
     daily = cleaned(spark, folder).groupBy("date").agg(F.count("*").alias("n"))
-    return profile.quantiles(daily, "n", [0.0, 0.1, 0.5, 0.9, 1.0])
+    return selection.quantiles(daily, "n", [0.0, 0.1, 0.5, 0.9, 1.0])
 
 
 def labelled(spark, folder):
