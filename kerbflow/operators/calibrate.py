@@ -9,6 +9,7 @@ from kerbflow.functions import geo as G
 from kerbflow.functions import labels as L
 from kerbflow.functions import vocabulary as V
 from kerbflow.functions.basics import bounded, dbl, moving_label, ratio, valid_ratio
+from kerbflow.session import materialise
 
 
 def calibrated_columns(raw: Column, actual: Column) -> dict[str, Column]:
@@ -141,7 +142,7 @@ def report(rows: DataFrame, n_boot: int = 2000) -> DataFrame:
     return stored_rows.withColumns({"baseline_beaten": verdict.getField("baseline_beaten"), "strength": verdict.getField("strength")})
 
 
-CHUNK = 256
+CHUNK = 64  # candidates ranked by a task at a time
 
 
 def candidates(spark: SparkSession, n_samples: int, seed: int) -> DataFrame:
@@ -164,38 +165,21 @@ def candidates(spark: SparkSession, n_samples: int, seed: int) -> DataFrame:
 def search_weights(rows: DataFrame, n_samples: int = 20000, seed: int = V.SEARCH_SEED) -> DataFrame:
     """Rank correlation with the measured ratio of every candidate weighting of the train zones.
 
-    Train rows are spread over tasks by (zone, chunk of candidates) and meet their chunk by an
-    equi-join. Predictions are counted per (candidate, prediction) with the sum of the label ranks,
-    which is all the correlation needs; ranks come from range slices.
+    Equal component vectors are one row with the sum of its label ranks; chunks of candidates are ranked inside
+    tasks, block against block, and only the sums of a candidate leave them.
     """
     from kerbflow.functions.basics import half_up
+    from kerbflow.operators.blocked import candidate_correlations
     from kerbflow.operators.ranking import average_rank
-    from kerbflow.session import materialise, slices
 
-    spark = rows.sparkSession
-    train = rows.where(F.col("split") == "train").select("zone_id", "measured_ratio", *V.ROAD_COMPONENTS)
+    train = rows.where(F.col("split") == "train").groupBy("measured_ratio", *V.ROAD_COMPONENTS).agg(F.count("*").alias("n"))
     train = materialise(train, "train-rows")
-    ranks = materialise(
-        average_rank(train.groupBy("measured_ratio").agg(F.count("*").alias("n")), "measured_ratio", (), "n", "ry"), "label-ranks")
-    last = (4 + n_samples) // CHUNK
-    chunked = train.join(ranks.select("measured_ratio", "ry"), "measured_ratio").withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.lit(last)))).repartition(slices(spark), "zone_id", "chunk")
-    pool = candidates(spark, n_samples, seed).withColumn("chunk", F.floor(F.col("candidate") / CHUNK).cast("int"))
-    value = None
-    for name in V.ROAD_COMPONENTS:
-        term = F.col(f"weight_{name}") * F.col(name)
-        value = term if value is None else value + term
-    counted = chunked.join(pool, "chunk").select("candidate", half_up(value, 9).alias("pred"), "ry").groupBy(
-        "candidate", "pred").agg(F.count("*").alias("n"), F.sum("ry").alias("label_ranks"))
-    ranked = average_rank(counted, "pred", ["candidate"], "n", "rx")
-    size = train.agg(F.count("*")).scalar()
-    label_spread = ranks.agg(F.sum(F.col("n") * F.col("ry") * F.col("ry"))).scalar()
-    middle = (size + 1) / F.lit(2.0)
-    dx = F.col("rx") - middle
-    sums = ranked.groupBy("candidate").agg(
-        F.sum(dx * (F.col("label_ranks") - F.col("n") * middle)).alias("xy"), F.sum(F.col("n") * dx * dx).alias("xx"))
-    yy = label_spread - size * middle * middle
-    product = F.col("xx") * yy
+    ranks = average_rank(train.groupBy("measured_ratio").agg(F.sum("n").alias("n")), "measured_ratio", (), "n", "ry").drop("n")
+    rank, n = F.col("ry"), F.col("n")
+    vectors = train.join(ranks, "measured_ratio").groupBy(*V.ROAD_COMPONENTS).agg(
+        F.sum("n").alias("n"), F.sum(n * rank).alias("label"), F.sum(n * rank * rank).alias("squares"))
+    sums = candidate_correlations(vectors, candidates(rows.sparkSession, n_samples, seed), V.ROAD_COMPONENTS, CHUNK)
+    product = F.col("xx") * F.col("yy")
     rho = F.when(product > 0, F.col("xy") / F.sqrt(F.when(product > 0, product)))
     return sums.select("candidate", half_up(rho, 9).alias("rho"))
 

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from kerbflow.functions import vocabulary as V
 from kerbflow.functions.basics import dbl, half_up, ratio
-from kerbflow.operators.ranking import average_rank, position, running_total, top_per_group
-from kerbflow.session import materialise, slices
+from kerbflow.operators.ranking import average_rank, position, top_per_group
+from kerbflow.session import materialise
 
 MIN_POINTS = 5  # fixed value: fewer pairs give null
-BLOCK = 4096
 
 
 def spearman(pairs: DataFrame, group: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
@@ -38,9 +37,13 @@ def rank_correlation(ranked: DataFrame, keys: Sequence[str], weight: str) -> Dat
     sums = ranked.groupBy(*keys).agg(
         F.max("size").alias("size"), F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"),
         F.sum(w * dy * dy).alias("yy"))
+    return sums.select(*keys, "size", _rho().alias("rho"))
+
+
+def _rho() -> Column:
+    """Correlation from ``size, xy, xx, yy``; null for too few rows or a constant side."""
     defined = (F.col("size") >= MIN_POINTS) & (F.col("xx") > 0) & (F.col("yy") > 0)
-    rho = F.when(defined, F.col("xy") / F.sqrt(F.when(defined, F.col("xx") * F.col("yy"))))
-    return sums.select(*keys, "size", rho.alias("rho"))
+    return F.when(defined, F.col("xy") / F.sqrt(F.when(defined, F.col("xx") * F.col("yy"))))
 
 
 def pearson(pairs: DataFrame, group: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
@@ -51,47 +54,20 @@ def pearson(pairs: DataFrame, group: Sequence[str], x: str = "x", y: str = "y")
     return sums.select(*group, "n", F.when(defined, F.col("r")).alias("r"))
 
 
-def _blocked_rank(weights: DataFrame, keys: list[str], dense: str, name: str) -> DataFrame:
-    """Average ranks of repeated draws; ``dense`` is the value's dense index, cut into blocks."""
-    blocked = weights.withColumn("block_no", F.floor(F.col(dense) / BLOCK))
-    earlier = (Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*keys).orderBy("block_no").rowsBetween(*earlier)
-    shifts = blocked.groupBy(*keys, "block_no").agg(F.sum("m").alias("block_sum")).select(
-        *keys, "block_no", F.coalesce(F.sum("block_sum").over(across), F.lit(0)).alias("shift"))
-    inside = Window.partitionBy(*keys, "block_no").orderBy(dense).rowsBetween(*earlier)
-    before = F.coalesce(F.sum("m").over(inside), F.lit(0)) + F.col("shift")
-    ranked = blocked.join(shifts, [*keys, "block_no"]).withColumn(name, before + (F.col("m") + 1) / F.lit(2.0))
-    return ranked.select(*keys, dense, name)
-
-
 def bootstrap(pairs: DataFrame, group: str, ident: str, n_boot: int = 2000, seed: int = V.BOOTSTRAP_SEED,
               level: float = 0.95) -> DataFrame:
     """Percentile interval of Spearman per group; pairs are (group, ident, x, y).
 
-    Draw j of resample b takes the row whose position is a hash of (seed, b, j) modulo n. Draws are
-    counted per (resample, row) before any join; ranks inside a resample use dense value indices
-    in blocks, so no task holds a whole resample.
+    Resamples are drawn and ranked inside tasks, block against block; only sums per resample leave them.
     """
+    from kerbflow.operators.blocked import resample_correlations
+
     rows = position(pairs.select(group, ident, "x", "y"), [(ident, True)], [group], "slot")
-    rows = rows.withColumn("slot", F.col("slot") - 1)
-    for side in ("x", "y"):
-        dense = running_total(rows.select(group, side).distinct(), [(side, True)], [group], "1", f"d{side}")
-        rows = rows.join(dense, [group, side])
-    sizes = rows.groupBy(group).agg(F.count("*").alias("size"))
-    rows = materialise(rows.join(sizes, group), "boot-rows")
-    spread = rows.repartition(slices(pairs.sparkSession), group, "slot")
-    draws = spread.select(group, "slot", "size", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
-    pick = F.expr(f"CAST(conv(substr(md5(concat('{seed}:', boot, ':', slot)), 1, 8), 16, 10) AS BIGINT) % size")
-    counts = draws.select(group, "boot", pick.alias("slot")).groupBy(group, "boot", "slot").agg(F.count("*").alias("m"))
-    drawn = materialise(counts.join(rows.select(group, "slot", "dx", "dy", "size"), [group, "slot"]), "boot-draws")
-    keys = [group, "boot"]
-    for side, name in (("dx", "rx"), ("dy", "ry")):
-        weights = drawn.groupBy(*keys, side).agg(F.sum("m").alias("m"))
-        ranks = _blocked_rank(weights, keys, side, name)
-        drawn = drawn.join(ranks, [*keys, side])
-    each = rank_correlation(drawn, keys, "m").where(F.col("rho").isNotNull()).withColumn("rho", F.round("rho", 9))
+    sums = resample_correlations(rows.withColumn("slot", F.col("slot") - 1), group, n_boot, seed)
+    each = materialise(sums.withColumn("rho", _rho()).select(group, "boot", "size", "rho"), "boot-rho")
+    drawn = each.where("boot >= 0 AND rho IS NOT NULL").withColumn("rho", F.round("rho", 9))
     tail = (1 - level) / 2
-    merged = each.groupBy(group).agg(
+    merged = drawn.groupBy(group).agg(
         F.count("*").alias("valid"), F.percentile("rho", F.array(dbl(tail), dbl(1 - tail))).alias("ends"),
         F.avg(F.when(F.col("rho") <= 0, 1.0).otherwise(0.0)).alias("low_share"),
         F.avg(F.when(F.col("rho") >= 0, 1.0).otherwise(0.0)).alias("high_share"))
@@ -99,7 +75,7 @@ def bootstrap(pairs: DataFrame, group: str, ident: str, n_boot: int = 2000, seed
     ends = merged.select(
         group, F.when(enough, F.get("ends", F.lit(0))).alias("lo"), F.when(enough, F.get("ends", F.lit(1))).alias("hi"),
         F.when(enough, F.least(dbl(1.0), dbl(2.0) * F.least("low_share", "high_share"))).alias("p_approx"))
-    point = spearman(pairs.select(group, "x", "y"), [group])
+    point = each.where("boot = -1").select(group, F.col("size").alias("n"), "rho")
     return point.join(ends, group, "left").withColumns({
         name: F.when(F.col("rho").isNotNull(), F.col(name)) for name in ("lo", "hi", "p_approx")})
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kerbflow.functions import geo
 from kerbflow.functions import labels as L
-from kerbflow.operators import ensemble, forecast, neighbours, panel, scoring, stats, zones
+from kerbflow.operators import ensemble, forecast, neighbours, panel, poisson_trees, scoring, stats, zones
 from kerbflow.plans import tables as T
 from kerbflow.plans.catalog import query
 from kerbflow.plans.oracle import d, define, rounded
@@ -327,6 +327,21 @@ def day_forecast_metrics(spark, folder):
     return forecast.day_model(rows, panel.DAY_FEATURES)[1]
 
 
+@query("day_tree_metrics")
+def day_tree_metrics(spark, folder):
+    rows, _, _ = model_panel(spark, folder, stored_daily(spark, folder))
+    return forecast.tree_quality(materialise(rows, "day-rows"), panel.DAY_FEATURES)
+
+
+@query("next_day_tree_forecast")
+def next_day_tree_forecast(spark, folder):
+    daily = stored_daily(spark, folder)
+    rows, edges, speed = model_panel(spark, folder, daily)
+    model = poisson_trees.fit(materialise(rows, "day-rows"), panel.DAY_FEATURES + panel.SPACE_FEATURES)
+    future = poisson_trees.predict(model, next_rows(spark, folder, daily, edges, speed), ["zone_id"])
+    return panel.forecast_rows(materialise(future, "next-day"))
+
+
 def next_rows(spark, folder, daily, edges, speed):
     future = panel.neighbour_lag(panel.next_day(daily), daily, edges)
     future = future.join(centres(spark, folder).select("zone_id", "lat", "lon"), "zone_id").join(speed, "zone_id", "left")

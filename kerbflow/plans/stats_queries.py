@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kerbflow.functions import vocabulary as V
 from kerbflow.functions.basics import degradation, half_up, split_of
-from kerbflow.operators import calibrate, scoring, serving, stats
+from kerbflow.operators import blocked, calibrate, scoring, serving, stats
 from kerbflow.plans import tables as T
 from kerbflow.plans.catalog import query
 from kerbflow.plans.oracle import band, clamp, d, define, digest_mod, rounded, weighted
@@ -68,9 +68,12 @@ def pearson_metrics(spark, folder):
 
 
 define("t_slot", "SELECT *, row_number() OVER (PARTITION BY metric ORDER BY zone_id) - 1 AS slot, count(*) OVER (PARTITION BY metric) AS size FROM t_pairs")
-define("t_draw", """
+_START = f"(slot * {blocked.MIX[0]} + 1 + boot * {blocked.MIX[1]} + {V.BOOTSTRAP_SEED * blocked.MIX[3]}) % {blocked.PRIME}"
+_POWER = lambda x, step: f"((({x} * {x}) % {blocked.PRIME}) * (({x} * {x}) % {blocked.PRIME}) % {blocked.PRIME} * {x} + {step} * (boot + 1)) % {blocked.PRIME}"
+define("t_draw", f"""
 SELECT a.metric, a.boot, b.x, b.y, a.metric || ':' || a.boot AS g FROM (
-  SELECT metric, boot, ('0x' || substr(md5('42:' || boot || ':' || slot), 1, 8))::BIGINT % size AS pick FROM t_slot, (SELECT unnest(range(0, 2000)) AS boot)) a
+  SELECT metric, boot, ({_POWER('s1', 2)}) % size AS pick FROM (SELECT metric, boot, size, {_POWER('s0', 1)} AS s1 FROM (
+    SELECT metric, boot, size, {_START} AS s0 FROM t_slot, (SELECT unnest(range(0, 2000)) AS boot)))) a
 JOIN t_slot b ON b.metric = a.metric AND b.slot = a.pick""")
 define("t_boot", f"""
 SELECT metric, boot, round(rho, 9) AS rho FROM (

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
@@ -65,3 +69,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def slices(spark: SparkSession) -> int:
     """Number of range slices for distributed ranking."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package's sources to the Python workers, once an application; not needed in local mode."""
+    context = spark.sparkContext
+    if context.master.startswith("local") or context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="sources-")  # on the driver, which serves the file as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = os.path.join(folder, f"{package.name}_main.zip")
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, path.relative_to(package.parent))
+    context.addPyFile(name)
+    _SHIPPED.add(context.applicationId)

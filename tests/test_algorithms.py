@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kerbflow.operators import calibrate, cluster, degrade, neighbours, panel, profile, ranking, stats
+from kerbflow.operators import calibrate, cluster, degrade, neighbours, panel, ranking, selection, stats
 
 RNG = np.random.default_rng(7)
 
@@ -25,7 +25,7 @@ def test_percentile_rank_averages_ties(spark):
 
 def test_exact_quantiles(spark):
     data = pd.DataFrame({"g": RNG.choice(["a", "b"], 501, p=[0.9, 0.1]), "v": RNG.normal(size=501).round(1)})
-    got = {(r.g, r.level): r.quantile for r in profile.quantiles(spark.createDataFrame(data), "v", [0.0, 0.1, 0.5, 1.0], ["g"]).collect()}
+    got = {(r.g, r.level): r.quantile for r in selection.quantiles(spark.createDataFrame(data), "v", [0.0, 0.1, 0.5, 1.0], ["g"]).collect()}
     for (g, level), value in got.items():
         assert abs(value - np.quantile(data.v[data.g == g], level)) < 1e-12
     assert len(got) == 8
@@ -36,7 +36,7 @@ def test_nearest_against_all_pairs(spark, metric):
     tight, wide = RNG.normal(0, 0.002, (120, 2)), RNG.uniform(-0.3, 0.3, (40, 2))
     xy = np.vstack([tight, wide]) + [12.9, 77.6]
     frame = spark.createDataFrame([(f"p{i:03d}", float(x), float(y)) for i, (x, y) in enumerate(xy)], "id string, x double, y double")
-    got = neighbours.nearest(frame, frame, 4, 0.005, metric).toPandas()
+    got = neighbours.nearest(frame, frame, 4, metric).toPandas()
     assert len(got) == 640
     lat, lon = np.radians(xy[:, 0]), np.radians(xy[:, 1])
     if metric:
