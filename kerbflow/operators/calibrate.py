@@ -215,15 +215,48 @@ def fit(rows: DataFrame, n_samples: int = 20000) -> tuple[dict[str, float], str]
     return {name: row[name] for name in V.ROAD_COMPONENTS}, "simplex_random_search"
 
 
-def calibration_report(rows: DataFrame, new: dict[str, float], method: str) -> DataFrame:
-    """Spearman of the old and new four weights on train and test, in one grouped pass."""
+def _old_and_new(rows: DataFrame, new: dict[str, float]) -> DataFrame:
+    """(metric, zone_id, x, y): the old and the new four weights against the measured ratio, by split."""
     from kerbflow.functions.basics import half_up
     from kerbflow.operators.scoring import weighted_sum
-    from kerbflow.operators.stats import spearman
 
     pair = F.array(
         F.struct(F.lit("old").alias("which"), half_up(weighted_sum(honest_weights()), 9).alias("x")),
         F.struct(F.lit("new").alias("which"), half_up(weighted_sum(new), 9).alias("x")))
-    long = rows.select("split", F.col("measured_ratio").alias("y"), F.explode(pair).alias("p")).select(
-        "split", "p.which", "p.x", "y")
-    return spearman(long, ["split", "which"]).withColumn("method", F.lit(method))
+    long = rows.select("zone_id", "split", F.col("measured_ratio").alias("y"), F.explode(pair).alias("p"))
+    return long.select(F.concat_ws("_", "p.which", "split").alias("metric"), "zone_id", "p.x", "y")
+
+
+def calibration_report(rows: DataFrame, new: dict[str, float], method: str, n_boot: int = 2000) -> DataFrame:
+    """Spearman of the old and new weights by split with intervals, the counts, and how far the fit may be trusted.
+
+    ``status`` is ``ok`` or why the weights were kept; a fit that was not made has strength ``aborted``.
+    """
+    from kerbflow.operators.stats import bootstrap, strength
+
+    made = materialise(bootstrap(_old_and_new(rows, new), "metric", "zone_id", n_boot), "calibration-intervals")
+    pick = lambda metric, column: F.max(F.when(F.col("metric") == metric, F.col(column)))
+    sides = made.agg(pick("new_test", "n").alias("n"), pick("new_test", "rho").alias("rho"), pick("new_test", "lo").alias("lo"), pick("old_test", "rho").alias("old"))
+    verdict = sides.select(strength(F.coalesce("n", F.lit(0)), F.col("rho"), F.col("lo"), F.col("old"))).scalar()
+    counts = rows.agg(F.struct(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"),
+                               F.stddev_pop("measured_ratio").alias("ratio_std"))).scalar()
+    fitted = method == "simplex_random_search"
+    parts = F.split("metric", "_")
+    return made.select(
+        parts[1].alias("split"), parts[0].alias("which"), "n", "rho", "lo", "hi", F.lit(method).alias("method"), F.lit("ok" if fitted else method).alias("status"),
+        (verdict if fitted else F.lit("aborted")).alias("strength"), *[counts.getField(c).alias(c) for c in ("n_train", "n_test", "ratio_std")])
+
+
+def metadata(rows: DataFrame, weights: dict[str, float], method: str, held_out: DataFrame) -> DataFrame:
+    """One row that describes a calibrated rebuild; ``held_out`` has rho and r2 of the degradation model."""
+    from kerbflow.operators.stats import spearman
+
+    test = spearman(_old_and_new(rows.where(F.col("split") == "test"), weights), ["metric"])
+    rho = test.groupBy().pivot("metric", ["old_test", "new_test"]).agg(F.max("rho"))
+    counts = rows.agg(F.count("*").alias("n_measured"), F.count_if(F.col("is_exploration") == 1).alias("n_exploration"))
+    value = lambda df, column: df.select(column).scalar()
+    return rows.sparkSession.range(1).select(
+        F.lit("v2").alias("version"), F.lit(method).alias("weights_method"), *[F.lit(w).alias(f"weight_{name}") for name, w in assemble(weights).items()],
+        value(rho, "old_test").alias("spearman_old_test"), value(rho, "new_test").alias("spearman_test"),
+        value(counts, "n_measured").alias("n_measured"), value(counts, "n_exploration").alias("n_exploration"), F.lit("ridge").alias("degradation_model"),
+        value(held_out, "r2").alias("degradation_lozo_r2"), value(held_out, "rho").alias("degradation_lozo_spearman"))

@@ -7,6 +7,7 @@ many events a zone has, so a hot zone is no larger than any other.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -196,10 +197,30 @@ def feature_matrix(cleaned: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.join(cell_metadata(cleaned), "grid_cell_id", "left")
 
 
-def model_rows(matrix: DataFrame, condition: str) -> DataFrame:
-    """Rows of one chronological split with complete lags; missing descriptors become zero."""
-    kept = matrix.where(condition).dropna(subset=[c for c in matrix.columns if c.startswith("lag_")])
-    return kept.fillna(0, ["mean_vehicle_severity", "mean_validation_trust", "heavy_vehicle_ratio", "junction_flag"])
+_FILLED = ["mean_vehicle_severity", "mean_validation_trust", "heavy_vehicle_ratio", "junction_flag"]
+
+
+def store_features(matrix: DataFrame, path: str) -> None:
+    """Store the feature table by date; dates of the given rows replace their own partitions, others stay."""
+    spread = matrix.hint("rebalance", "date")  # a date's rows come together, and a large date is split
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+
+
+def load_split(stored: DataFrame, columns: Sequence[str], first: str | None = None, before: str | None = None) -> DataFrame:
+    """Rows of one chronological split with complete lags; missing descriptors become zero.
+
+    ``stored`` is a feature table read with its schema: only the partitions of the dates from ``first`` on and
+    ``before`` the other are read, and of these the named columns and the lags.
+    """
+    lags = [c for c in stored.columns if c.startswith("lag_")]
+    rows = stored
+    if first is not None:
+        rows = rows.where(F.col("date") >= F.lit(first).cast("date"))
+    if before is not None:
+        rows = rows.where(F.col("date") < F.lit(before).cast("date"))
+    for name in lags:  # as plain predicates, so that the scan skips row groups by them
+        rows = rows.where(F.col(name).isNotNull() & ~F.isnan(name))
+    return rows.fillna(0, [c for c in _FILLED if c in columns]).select(*columns)
 
 
 def day_split(date: Column, val_start: str, test_start: str) -> Column:

@@ -14,7 +14,7 @@ from kerbflow.plans.catalog import query
 from kerbflow.plans.oracle import d, define, rounded
 from kerbflow.plans.risk_queries import cleaned
 from kerbflow.plans.serving_queries import centres, observed
-from kerbflow.session import materialise
+from kerbflow.session import materialise, shared_path
 from kerbflow.sources.adapter import table
 
 VAL, TEST = "2024-01-20", "2024-01-25"
@@ -194,16 +194,21 @@ def cyclic_encodings(spark, folder):
     return panel.cyclic(hours)
 
 
-def matrix(spark, folder):
-    return panel.feature_matrix(cleaned(spark, folder), stored_hourly(spark, folder))
+def stored_features(spark, folder):
+    """The hourly feature table, stored by date once a run."""
+    table = panel.feature_matrix(cleaned(spark, folder), stored_hourly(spark, folder))
+    path = shared_path(spark, "hourly-features")
+    panel.store_features(table, path)
+    return spark.read.schema(table.schema).parquet(path)
 
 
 @query("hourly_model_rows", f"""
 SELECT p.grid_cell_id, CAST(p.ts AS VARCHAR) AS ts, p.violation_count, lag_1, lag_24, lag_168, coalesce(mean_vehicle_severity, 0) AS mean_vehicle_severity, coalesce(junction_flag, 0) AS junction_flag
 FROM t_hourfeat p LEFT JOIN t_meta m ON m.grid_cell_id = p.grid_cell_id WHERE CAST(p.ts AS DATE) >= DATE '{TEST}' AND lag_168 IS NOT NULL""", ["lag_1", "lag_24", "lag_168", "mean_vehicle_severity"])
 def hourly_model_rows(spark, folder):
-    rows = panel.model_rows(matrix(spark, folder), f"date >= DATE'{TEST}'")
-    return rows.select("grid_cell_id", F.col("ts").cast("string").alias("ts"), "violation_count", "lag_1", "lag_24", "lag_168", "mean_vehicle_severity", "junction_flag")
+    columns = ["grid_cell_id", "ts", "violation_count", "lag_1", "lag_24", "lag_168", "mean_vehicle_severity", "junction_flag"]
+    rows = panel.load_split(stored_features(spark, folder), columns, first=TEST)
+    return rows.withColumn("ts", F.col("ts").cast("string"))
 
 
 @query("chronological_split", f"SELECT CASE WHEN date < DATE '{VAL}' THEN 'train' WHEN date < DATE '{TEST}' THEN 'val' ELSE 'test' END AS split, count(*) AS n, CAST(sum(violation_count) AS BIGINT) AS total FROM t_daypanel GROUP BY 1")
@@ -377,20 +382,21 @@ _HOURLY = ["lag_1", "lag_24", "lag_168", "rolling_mean_24h", "rolling_std_24h",
 
 
 def hourly_models(spark, folder):
-    """Train and validation rows, and predictions of models that learned from training rows alone."""
-    rows = materialise(panel.model_rows(matrix(spark, folder), "1 = 1").withColumn("split", panel.day_split(F.col("date"), VAL, TEST)), "hour-rows")
-    train, val = rows.where("split = 'train'"), rows.where("split = 'val'")
+    """Training rows, and predictions of models that learned from training rows alone."""
+    stored = stored_features(spark, folder)
+    columns = ["grid_cell_id", "date", "hour", "violation_count", *_HOURLY]
+    train, val, later = panel.load_split(stored, columns, before=VAL), panel.load_split(stored, columns, VAL, TEST), panel.load_split(stored, columns, VAL)
     poisson = forecast.poisson_model(train, _HOURLY)
     trees = forecast.stopped_model(train, val, _HOURLY, rounds=20)
-    both = forecast.boosted_predict(trees, forecast.poisson_predict(poisson, rows.where("split <> 'train'"), "p"), _HOURLY, "q")
-    kept = both.select(F.col("grid_cell_id").alias("zone_id"), "date", "hour", "split", F.col("violation_count").alias("actual"), "p", "q")
-    return rows, materialise(kept, "hour-predictions"), trees
+    both = forecast.boosted_predict(trees, forecast.poisson_predict(poisson, later, "p"), _HOURLY, "q")
+    kept = both.select(F.col("grid_cell_id").alias("zone_id"), "date", "hour", panel.day_split(F.col("date"), VAL, TEST).alias("split"), F.col("violation_count").alias("actual"), "p", "q")
+    return train, materialise(kept, "hour-predictions"), trees
 
 
 @query("hourly_ensemble_metrics")
 def hourly_ensemble_metrics(spark, folder):
-    rows, made, _ = hourly_models(spark, folder)
-    caps, weight = ensemble.tuned(made, rows.where("split = 'train'").select(F.col("violation_count").alias("actual")))
+    train, made, _ = hourly_models(spark, folder)
+    caps, weight = ensemble.tuned(made, train.select(F.col("violation_count").alias("actual")))
     return ensemble.evaluated(made, caps, weight)
 
 

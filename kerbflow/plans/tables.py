@@ -54,7 +54,8 @@ def zone_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stored_zone_table(spark: SparkSession, folder: str) -> DataFrame:
-    return materialise(zone_table(spark, folder), "zone-table")
+    """Stored once a run, however many branches score it."""
+    return once(spark, folder, "zone-table", lambda: zone_table(spark, folder))
 
 
 def impact_table(spark: SparkSession, folder: str) -> DataFrame:
