@@ -79,6 +79,11 @@ def obstruction(vehicle: Column) -> Column:
     return lookup(clean_key(vehicle), V.VEHICLE_OBSTRUCTION, V.DEFAULT_OBSTRUCTION)
 
 
+def proxy_weight(vehicle: Column) -> Column:
+    """Documented vehicle weight of the risk proxy, 0.7 to 1.5."""
+    return lookup(clean_key(vehicle), V.PROXY_WEIGHT, V.DEFAULT_PROXY_WEIGHT)
+
+
 def severity(vehicle: Column) -> Column:
     return lookup(clean_key(vehicle), V.VEHICLE_SEVERITY, V.DEFAULT_SEVERITY)
 

@@ -36,6 +36,17 @@ VEHICLE_OBSTRUCTION = {
 }
 DEFAULT_OBSTRUCTION = 1.0
 
+# Vehicle weights of the documented risk proxy, by group.
+PROXY_GROUPS = {
+    0.70: ["SCOOTER", "MOTOR CYCLE", "MOTORCYCLE", "MOPED", "BIKE", "TWO WHEELER"],
+    1.00: ["CAR", "JEEP", "VAN"],
+    1.10: ["PASSENGER AUTO", "AUTO", "MAXI-CAB", "MAXICAB"],
+    1.35: ["LGV", "HGV", "LORRY/GOODS VEHICLE", "LORRY", "GOODS VEHICLE", "TANKER", "TRUCK", "TEMPO"],
+    1.50: ["BUS (BMTC/KSRTC)", "PRIVATE BUS", "BUS", "SCHOOL VEHICLE", "FACTORY BUS"],
+}
+PROXY_WEIGHT = {name: weight for weight, names in PROXY_GROUPS.items() for name in names}
+DEFAULT_PROXY_WEIGHT = 1.0
+
 # Label groups behind the impact components.
 MAIN_ROAD_LABEL = "PARKING IN A MAIN ROAD"
 DOUBLE_PARK_LABEL = "DOUBLE PARKING"

@@ -112,13 +112,14 @@ def proxy_index(prepared: DataFrame, peak: dict[str, float] | None = None) -> Da
     peak = peak or {"morning_peak": 1.0, "midday": 0.8, "afternoon": 0.6, "night": 0.3}
     exposed = F.greatest(F.col("named"), E.any_of("labels", [V.MAIN_ROAD_LABEL]))
     per_vehicle = prepared.groupBy("zone_id", "time_bucket", "vehicle_number").agg(
-        F.count("*").alias("n"), F.sum(label_severity()).alias("sev"), F.sum(exposed).alias("exposed"), F.sum("weight").alias("w"),
+        F.count("*").alias("n"), F.sum(label_severity()).alias("sev"), F.sum(exposed).alias("exposed"),
+        F.sum(E.proxy_weight(E.trusted_vehicle(F.col("updated_vehicle_type"), F.col("vehicle_type")))).alias("w"),
         F.count_if(F.col("validation_status") == "approved").alias("ok"), F.count("validation_status").alias("known"))
     total = F.sum("n")
     zones = materialise(per_vehicle.groupBy("zone_id", "time_bucket").agg(
         total.alias("n"), F.sum("sev").alias("sev"), (F.sum("exposed") / total).alias("exposure"),
         (F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / total).alias("repeats"),
-        (F.sum("w") / total / 2.0).alias("heavy"), ratio(F.sum("ok"), F.sum("known")).alias("confidence")), "proxy-zones")
+        (F.sum("w") / total / max(V.PROXY_GROUPS)).alias("heavy"), ratio(F.sum("ok"), F.sum("known")).alias("confidence")), "proxy-zones")
     tops = zones.agg(F.max("n").alias("n"), F.max("sev").alias("sev"))
     top_n, top_sev = one_row(tops, "n", "sev")
     raw = (dbl(0.30) * F.col("n") / top_n + dbl(0.20) * F.col("sev") / top_sev + dbl(0.15) * F.col("exposure")

@@ -10,7 +10,7 @@ from kerbflow.functions import vocabulary as V
 from kerbflow.operators import profile, selection, zones
 from kerbflow.plans import tables as T
 from kerbflow.plans.catalog import query
-from kerbflow.plans.oracle import d, define, rounded
+from kerbflow.plans.oracle import _vehicle, case_map, d, define, rounded
 from kerbflow.plans.risk_queries import cleaned
 from kerbflow.session import materialise
 
@@ -147,12 +147,12 @@ def workflow_latency(spark, folder):
 
 _SEV = "CASE WHEN violation_type LIKE '%DOUBLE PARKING%' THEN 1.4 WHEN violation_type LIKE '%ROAD CROSSING%' THEN 1.35 WHEN violation_type LIKE '%MAIN ROAD%' THEN 1.3 WHEN violation_type LIKE '%FOOTPATH%' THEN 1.15 ELSE 1.0 END"
 define("t_veh", f"""
-SELECT zone_id, time_bucket, vehicle_number, count(*) AS n, sum(CAST({_SEV} AS DOUBLE)) AS sev, sum(greatest(named, is_main)) AS exposed, sum(weight) AS w,
+SELECT zone_id, time_bucket, vehicle_number, count(*) AS n, sum(CAST({_SEV} AS DOUBLE)) AS sev, sum(greatest(named, is_main)) AS exposed, sum({case_map(_vehicle, V.PROXY_WEIGHT, V.DEFAULT_PROXY_WEIGHT)}) AS w,
   count(*) FILTER (validation_status = 'approved') AS ok, count(validation_status) AS known FROM t_prep GROUP BY zone_id, time_bucket, vehicle_number""")
 define("t_proxy", f"""
 SELECT *, {d(0.3)} * n / max(n) OVER () + {d(0.2)} * sev / max(sev) OVER () + {d(0.15)} * exposure + {d(0.1)} * repeats + {d(0.1)} * heavy
   + {d(0.1)} * CASE time_bucket WHEN 'morning_peak' THEN {d(1.0)} WHEN 'midday' THEN {d(0.8)} WHEN 'afternoon' THEN {d(0.6)} ELSE {d(0.3)} END + {d(0.05)} * confidence AS risk_raw
-FROM (SELECT zone_id, time_bucket, CAST(sum(n) AS BIGINT) AS n, sum(sev) AS sev, sum(exposed) / sum(n) AS exposure, sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n) AS repeats, sum(w) / sum(n) / 2 AS heavy,
+FROM (SELECT zone_id, time_bucket, CAST(sum(n) AS BIGINT) AS n, sum(sev) AS sev, sum(exposed) / sum(n) AS exposure, sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n) AS repeats, sum(w) / sum(n) / 1.5 AS heavy,
     CASE WHEN sum(known) > 0 THEN sum(ok) / sum(known) ELSE 0 END AS confidence FROM t_veh GROUP BY zone_id, time_bucket)""")
 
 

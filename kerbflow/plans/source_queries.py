@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType as T_types
 
 from kerbflow.operators import panel, scoring, serving, zones
 from kerbflow.plans import tables as T
@@ -21,27 +22,47 @@ def summarised(df):
         F.count("*").alias("n"), F.avg("latitude").alias("lat"), F.count("junction_name").alias("named"))
 
 
-_RAW = ("id STRING, latitude DOUBLE, longitude DOUBLE, violation_type STRING, created_datetime STRING, police_station STRING, "
-        "junction_name STRING, validation_status STRING")
-
-
 def _raw(spark, folder):
-    names = [part.split()[0] for part in _RAW.split(", ")]
-    return T.facts(spark, folder).withColumn("created_datetime", F.col("created_datetime").cast("string")).select(*names)
+    """The facts with all columns of the event schema, as a raw file has them; absent ones are null."""
+    facts = T.facts(spark, folder)
+    fields = T_types.fromDDL(readers.EVENT_SCHEMA).fields
+    return facts.select(*[(F.col(f.name) if f.name in facts.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
 
 @query("csv_scan", _SUMMARY, ["lat"])
 def csv_scan(spark, folder):
     path = shared_path(spark, "csv")
     _raw(spark, folder).write.option("header", True).option("escape", '"').csv(path)
-    return summarised(readers.read_events(path, spark, "csv", _RAW))
+    return summarised(readers.read_events(path, spark, "csv"))
 
 
 @query("json_scan", _SUMMARY, ["lat"])
 def json_scan(spark, folder):
     path = shared_path(spark, "json")
     _raw(spark, folder).write.json(path)
-    return summarised(readers.read_events(path, spark, "jsonl", _RAW))
+    return summarised(readers.read_events(path, spark, "jsonl"))
+
+
+def _write_documents(lines, path, opening, closing, size=2000):
+    """Write (key, value) rows as one-document files of about ``size`` values."""
+    documents = max(1, -(-lines.count() // size))
+    body = lines.groupBy(F.pmod(F.xxhash64("key"), F.lit(documents)).alias("document")).agg(F.array_join(F.collect_list("value"), ",").alias("body"))
+    body.select("document", F.concat(F.lit(opening), "body", F.lit(closing)).alias("value")).write.partitionBy("document").text(path)
+
+
+@query("json_document_scan", _SUMMARY, ["lat"])
+def json_document_scan(spark, folder):
+    path = shared_path(spark, "json-document")
+    _write_documents(_raw(spark, folder).select(F.col("id").alias("key"), F.to_json(F.struct("*")).alias("value")), path, "[", "]")
+    return summarised(readers.read_events(path, spark, "json"))
+
+
+@query("keyed_document_scan", "SELECT zone_id, travel_time_ratio FROM t_ratio", ["travel_time_ratio"])
+def keyed_document_scan(spark, folder):
+    path = shared_path(spark, "ratio-document")
+    pairs = F.regexp_replace(F.to_json(F.create_map(F.col("zone_id"), F.struct(F.col("travel_time_ratio")))), r"^\{|\}$", "")
+    _write_documents(T.ratios(spark, folder).select(F.col("zone_id").alias("key"), pairs.alias("value")), path, "{", "}")
+    return readers.travel_ratios(spark, path, whole=True)
 
 
 @query("parquet_scan", _SUMMARY, ["lat"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbflow.functions.basics import valid_ratio
+from kerbflow.sources import documents
 
 EVENT_SCHEMA = """
     id STRING, latitude DOUBLE, longitude DOUBLE, location STRING, vehicle_number STRING, vehicle_type STRING,
@@ -27,18 +28,20 @@ def read_events(source: str | DataFrame, spark: SparkSession | None = None, kind
     if kind == "csv":
         return spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').csv(source)
     if kind in ("parquet", "pq"):
-        return spark.read.parquet(source)
-    if kind in ("json", "jsonl"):
-        return spark.read.schema(schema).option("multiLine", kind == "json").json(source)
+        return spark.read.schema(schema).parquet(source)
+    if kind == "jsonl":
+        return spark.read.schema(schema).json(source)
+    if kind == "json":  # one document a file
+        return documents.objects(spark, source).select(F.from_json("value", schema).alias("e")).select("e.*")
     raise ValueError(f"unsupported event source {source!r}: use csv, parquet, json or jsonl")
 
 
 def keyed_map(spark: SparkSession, path: str, value: str, whole: bool = False) -> DataFrame:
     """Rows (key, value fields) of text files holding JSON objects keyed by zone id.
 
-    Files with one object per line are split over tasks; ``whole`` reads one object per file.
+    Files have one object per line, or with ``whole`` one object per file; both are split over tasks.
     """
-    text = spark.read.text(path, wholetext=whole)
+    text = documents.keyed(spark, path) if whole else spark.read.text(path)
     parsed = text.select(F.from_json("value", f"map<string, struct<{value}>>").alias("m"))
     return parsed.select(F.explode("m").alias("key", "entry")).where(F.col("entry").isNotNull()).select("key", "entry.*")
 
@@ -51,7 +54,7 @@ def travel_ratios(spark: SparkSession, path: str, whole: bool = False) -> DataFr
 
 def scores(spark: SparkSession, path: str, bucket: str, whole: bool = False) -> DataFrame:
     """One bucket of nested documents {zone: {bucket: {...}}}."""
-    text = spark.read.text(path, wholetext=whole)
+    text = documents.keyed(spark, path) if whole else spark.read.text(path)
     fields = "struct<congestion_impact: double, impact_band: string, total_records: bigint>"
     zones = text.select(F.explode(F.from_json("value", f"map<string, map<string, {fields}>>")).alias("zone_id", "buckets"))
     entry = F.try_element_at("buckets", F.lit(bucket))
