@@ -126,7 +126,10 @@ SELECT count(*) AS n, bit_xor(h) AS mixed, CAST(sum(CAST(h AS HUGEINT)) AS VARCH
   SELECT ('0x' || substr(sha256(length(zone_id) || ':' || zone_id || length(time_bucket) || ':' || time_bucket || length(total_records::VARCHAR) || ':' || total_records || coalesce(length(station) || ':' || station, '-')), 1, 15))::BIGINT AS h FROM t_zagg)""")
 def frozen_snapshot(spark, folder):
     columns = ["zone_id", "time_bucket", "total_records", "station"]
-    return sinks.freeze(T.zone_table(spark, folder).select(*columns), shared_path(spark, "frozen"), columns)
+    path = shared_path(spark, "frozen")
+    sinks.freeze(T.zone_table(spark, folder).select(*columns), path, columns, "zone table")
+    checked = sinks.fingerprint(sinks.read_frozen(spark, path), columns)
+    return checked.withColumn("frozen", sinks.provenance(spark, path).select("frozen").scalar())
 
 
 define("t_ctx", f"""

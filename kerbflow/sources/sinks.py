@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_MANIFEST = "n bigint, mixed bigint, total string, data string, columns string, source string"
+
 
 def replace_table(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """Overwrite a Parquet table, partitioned so that later reads prune."""
@@ -58,10 +62,45 @@ def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.coalesce(F.sum(F.col("h").cast("decimal(20,0)")), F.lit(0)).cast("string").alias("total"))
 
 
-def freeze(df: DataFrame, path: str, columns: Sequence[str]) -> DataFrame:
-    """Write a snapshot once and its fingerprint next to it; a second write to the path fails."""
-    df.write.mode("errorifexists").parquet(f"{path}/data")
-    stored = df.sparkSession.read.parquet(f"{path}/data")
-    meta = fingerprint(stored, columns).withColumn("frozen", F.lit(1))
-    meta.write.mode("errorifexists").json(f"{path}/meta")
-    return meta
+def _manifest(spark: SparkSession, path: str) -> Row | None:
+    try:
+        return spark.read.schema(_MANIFEST).json(f"{path}/manifest").first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def freeze(df: DataFrame, path: str, columns: Sequence[str], source: str = "") -> DataFrame:
+    """Write a snapshot once; the manifest names its data, its fingerprint and where it comes from.
+
+    The data goes to a folder of its own and the manifest comes last, so a reader sees a whole snapshot or none. A
+    second write to the path fails and leaves the first alone.
+    """
+    spark = df.sparkSession
+    if _manifest(spark, path) is not None:
+        raise FileExistsError(f"{path} is frozen")
+    data = f"data-{uuid.uuid4().hex[:12]}"
+    df.write.mode("errorifexists").parquet(f"{path}/{data}")
+    made = fingerprint(spark.read.parquet(f"{path}/{data}"), columns).select("*", F.lit(data).alias("data"), F.lit(",".join(columns)).alias("columns"), F.lit(source).alias("source"))
+    made.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
+    return provenance(spark, path)
+
+
+def provenance(spark: SparkSession, path: str) -> DataFrame:
+    """(n, mixed, total, source, frozen) of a snapshot; without one a row of nulls with ``frozen`` 0."""
+    found = _manifest(spark, path)
+    kept = [found[c] for c in ("n", "mixed", "total", "source")] if found else [None] * 4
+    return spark.createDataFrame([(*kept, int(found is not None))], "n bigint, mixed bigint, total string, source string, frozen int")
+
+
+def read_frozen(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a snapshot, after its content was found to be what the manifest says."""
+    found = _manifest(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"no frozen snapshot at {path}")
+    rows = spark.read.parquet(f"{path}/{found.data}")
+    now = fingerprint(rows, found.columns.split(",")).first()
+    if (now.n, now.mixed, now.total) != (found.n, found.mixed, found.total):
+        raise ValueError(f"snapshot {path} has changed since it was frozen")
+    return rows
