@@ -19,27 +19,38 @@ def patrolled_rows(patrol: DataFrame, share: float = 0.2) -> DataFrame:
     return ranked.join(F.broadcast(sizes), "hour").where(F.col("place") <= quota).select("hour", "grid_cell_id")
 
 
+def reach(edges: DataFrame) -> DataFrame:
+    """(src, dst, hop): cells at one and at two hops along the edges, with the smaller hop."""
+    links = edges.select("src", "dst")
+    onward = links.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
+    two = links.join(onward, "dst").select("src", F.col("end").alias("dst"), F.lit(2).alias("hop"))
+    return links.withColumn("hop", F.lit(1)).unionByName(two).groupBy("src", "dst").agg(F.min("hop").alias("hop"))
+
+
+def classes(patrolled: DataFrame, edges: DataFrame) -> DataFrame:
+    """(hour, grid_cell_id, hop): smallest distance to a patrolled cell of the hour, 0 for these, 2 at most."""
+    ahead = reach(edges).groupBy("src").agg(F.collect_list(F.struct(F.col("dst").alias("grid_cell_id"), "hop")).alias("ahead"))
+    met = patrolled.select("hour", F.col("grid_cell_id").alias("src")).join(ahead, "src", "left")
+    own = F.array(F.struct(F.col("src").alias("grid_cell_id"), F.lit(0).alias("hop")))
+    around = F.concat(own, F.coalesce("ahead", F.filter(own, lambda _: F.lit(False))))
+    return met.select("hour", F.explode(around).alias("at")).groupBy("hour", F.col("at.grid_cell_id").alias("grid_cell_id")).agg(F.min("at.hop").alias("hop"))
+
+
 def displaced(risk: DataFrame, patrolled: DataFrame, edges: DataFrame, eligible: DataFrame | None = None,
               keep: float = 0.8) -> DataFrame:
     """Adjusted risk per (cell, hour).
 
     Patrolled cells keep 80 % of their risk. What they lose goes to their neighbours (70 %) and
     second neighbours (30 %), limited to eligible cells where an hour has any. ``lost_risk`` is the
-    hour's part that found no neighbour.
+    hour's part that found no neighbour. The classes of all cells come from one pass and are the only table stored.
     """
-    hot = materialise(patrolled, "patrolled")
-    links = edges.select(F.col("src").alias("grid_cell_id"), "dst")
     key = ["hour", "grid_cell_id"]
-    first = hot.join(links, "grid_cell_id").select("hour", F.col("dst").alias("grid_cell_id")).distinct()
-    first = materialise(first.join(hot, key, "left_anti"), "hop-one")
-    second = first.join(links, "grid_cell_id").select("hour", F.col("dst").alias("grid_cell_id")).distinct()
-    second = second.join(hot, key, "left_anti").join(first, key, "left_anti")
-    hops = first.withColumn("hop", F.lit(1)).unionByName(second.withColumn("hop", F.lit(2)))
+    hops = classes(patrolled, edges)
     if eligible is None:
         hops = hops.withColumn("open", F.lit(1))
     else:
         hops = hops.join(eligible.select(*key, F.lit(1).alias("open")), key, "left").fillna(0, ["open"])
-    hops = materialise(hops, "hops")
+    hops = materialise(hops, "classes")
 
     def size(hop: int, only_open: bool):
         test = F.col("hop") == hop
@@ -47,9 +58,8 @@ def displaced(risk: DataFrame, patrolled: DataFrame, edges: DataFrame, eligible:
 
     counts = hops.groupBy("hour").agg(size(1, True).alias("open1"), size(1, False).alias("all1"),
                                       size(2, True).alias("open2"), size(2, False).alias("all2"))
-    marked = risk.join(hot.withColumn("hit", F.lit(1)), key, "left").join(hops, key, "left")
-    marked = materialise(marked, "marked")
-    loss = marked.where("hit = 1").groupBy("hour").agg(F.sum(F.col("risk_score") * dbl(1 - keep)).alias("total"))
+    marked = risk.join(hops, key, "left")
+    loss = risk.join(hops.where("hop = 0"), key).groupBy("hour").agg(F.sum(F.col("risk_score") * dbl(1 - keep)).alias("total"))
     n1 = F.when(F.col("open1") > 0, F.col("open1")).otherwise(F.coalesce("all1", F.lit(0)))
     n2 = F.when(F.col("open2") > 0, F.col("open2")).otherwise(F.coalesce("all2", F.lit(0)))
     share1 = F.when((n1 > 0) & (n2 > 0), dbl(0.7)).when(n1 > 0, dbl(1.0)).otherwise(dbl(0.0))
@@ -61,7 +71,7 @@ def displaced(risk: DataFrame, patrolled: DataFrame, edges: DataFrame, eligible:
     rows = marked.join(F.broadcast(hourly), "hour", "left")  # one row per hour
     takes1 = (F.col("hop") == 1) & ((F.col("open") == 1) | ~F.col("gate1"))
     takes2 = (F.col("hop") == 2) & ((F.col("open") == 1) | ~F.col("gate2"))
-    kind = (F.when(F.col("hit") == 1, "patrolled").when(takes1, "neighbor_1").when(takes2, "neighbor_2")
+    kind = (F.when(F.col("hop") == 0, "patrolled").when(takes1, "neighbor_1").when(takes2, "neighbor_2")
             .otherwise("unaffected"))
     rows = rows.withColumn("spillover_type", kind)
     before = F.col("risk_score")

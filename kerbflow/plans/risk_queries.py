@@ -109,17 +109,17 @@ SELECT s.* FROM t_hop2 s LEFT JOIN t_open o ON o.hour = s.hour AND o.grid_cell_i
 WHERE o.hour IS NOT NULL OR s.hour NOT IN (SELECT z.hour FROM t_hop2 z JOIN t_open q ON q.hour = z.hour AND q.grid_cell_id = z.grid_cell_id)""")
 define("t_adds", f"""
 SELECT t.hour, CASE WHEN n1 = 0 THEN {d(0.0)} WHEN n2 > 0 THEN total * {d(0.7)} / n1 ELSE total / n1 END AS add1,
-  CASE WHEN n2 = 0 THEN {d(0.0)} WHEN n1 > 0 THEN total * {d(0.3)} / n2 ELSE total / n2 END AS add2
+  CASE WHEN n2 = 0 THEN {d(0.0)} WHEN n1 > 0 THEN total * {d(0.3)} / n2 ELSE total / n2 END AS add2, CASE WHEN n1 = 0 AND n2 = 0 THEN total ELSE {d(0.0)} END AS lost_risk
 FROM (SELECT r.hour, sum(r.risk_score * ({d(1.0)} - {d(0.8)})) AS total FROM t_risk r JOIN t_hot h ON h.hour = r.hour AND h.grid_cell_id = r.grid_cell_id GROUP BY r.hour) t
 JOIN (SELECT h.hour, (SELECT count(*) FROM t_set1 s WHERE s.hour = h.hour) AS n1, (SELECT count(*) FROM t_set2 s WHERE s.hour = h.hour) AS n2
   FROM (SELECT DISTINCT hour FROM t_hot) h) c ON c.hour = t.hour""")
 define("t_spill", f"""
 SELECT *, CASE WHEN original_risk > 0 THEN (adjusted_risk - original_risk) / original_risk * {d(100.0)} ELSE {d(0.0)} END AS risk_change_pct,
   abs(adjusted_risk - original_risk) AS magnitude
-FROM (SELECT grid_cell_id, hour, cell_i, cell_j, grid_lat, grid_lon, risk_score AS original_risk, spillover_type,
+FROM (SELECT grid_cell_id, hour, cell_i, cell_j, grid_lat, grid_lon, risk_score AS original_risk, spillover_type, lost_risk,
   greatest({d(0.0)}, least({d(100.0)}, CASE spillover_type WHEN 'patrolled' THEN risk_score * {d(0.8)} WHEN 'neighbor_1' THEN risk_score + add1
     WHEN 'neighbor_2' THEN risk_score + add2 ELSE risk_score END)) AS adjusted_risk
-  FROM (SELECT r.*, a.add1, a.add2, CASE WHEN h.hour IS NOT NULL THEN 'patrolled' WHEN s1.hour IS NOT NULL THEN 'neighbor_1'
+  FROM (SELECT r.*, a.add1, a.add2, a.lost_risk, CASE WHEN h.hour IS NOT NULL THEN 'patrolled' WHEN s1.hour IS NOT NULL THEN 'neighbor_1'
       WHEN s2.hour IS NOT NULL THEN 'neighbor_2' ELSE 'unaffected' END AS spillover_type
     FROM t_risk r LEFT JOIN t_hot h ON h.hour = r.hour AND h.grid_cell_id = r.grid_cell_id
     LEFT JOIN t_set1 s1 ON s1.hour = r.hour AND s1.grid_cell_id = r.grid_cell_id
@@ -316,10 +316,10 @@ def second_hop_cells(spark, folder):
     return neighbours.second_hop(edges, hot.select(F.col("grid_cell_id").alias("id")))
 
 
-_SPILL = "grid_cell_id, hour, original_risk, adjusted_risk, spillover_type, risk_change_pct, magnitude"
+_SPILL = "grid_cell_id, hour, original_risk, adjusted_risk, spillover_type, risk_change_pct, magnitude, lost_risk"
 
 
-@query("hourly_displacement", f"SELECT {_SPILL} FROM t_spill", {"original_risk": 6, "adjusted_risk": 5, "risk_change_pct": 4, "magnitude": 5})
+@query("hourly_displacement", f"SELECT {_SPILL} FROM t_spill", {"original_risk": 6, "adjusted_risk": 5, "risk_change_pct": 4, "magnitude": 5, "lost_risk": 5})
 def hourly_displacement(spark, folder):
     return displacement_tables(spark, folder)[0].select(*_SPILL.split(", "))
 
