@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kerbflow.functions import vocabulary as V
 from kerbflow.functions.basics import bounded, dbl, degradation, ratio, valid_ratio
+from kerbflow.session import ship
 
 FEATURES = [*V.ROAD_COMPONENTS, "poi_count", "free_flow_speed_kmph"]
 MIN_ROWS = 5  # fixed value: fewer measured zones give the default
@@ -122,6 +123,8 @@ def leave_one_out(table: DataFrame, alpha: float = 1.0) -> DataFrame:
     if m.n < MIN_ROWS:
         return rows.select("zone_id", "label", F.lit(None).cast("double").alias("predicted"))
 
+    ship(table.sparkSession)
+
     def solve_batch(batches):
         for batch in batches:
             x = batch[FEATURES].to_numpy(dtype=float)
