@@ -21,6 +21,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,7 @@ END = np.uint64(0x5E4D0F7E87)  # hash of the end mark
 SLICE = 1 << 22
 FLUSH = 1 << 21
 BLOCKS = "part int, keys binary, counts binary"
+OPEN_AT_ONCE = 4096
 _OPEN: dict[str, np.ndarray] = {}
 
 
@@ -60,9 +62,30 @@ def save_array(root: str, name: str, values: np.ndarray) -> str:
     return address
 
 
+@contextmanager
+def array_writer(root: str, address: str) -> Iterator[pa.NativeFile]:
+    """Stream to a fresh file of the shared folder."""
+    store, path = _store(_local(address))
+    store.create_dir(_store(_local(root))[1], recursive=True)
+    with store.open_output_stream(path) as out:
+        yield out
+
+
+def array_part(root: str, address: str, start: int, size: int) -> np.ndarray:
+    """Some values of an array written under its address: mapped where the folder is local, else read as a range."""
+    store, path = _store(_local(address))
+    if isinstance(store, fs.LocalFileSystem):
+        return open_array(root, path)[start : start + size]
+    kind = np.dtype(address.rpartition(".")[2])
+    with store.open_input_file(path) as source:
+        return np.frombuffer(source.read_at(size * kind.itemsize, start * kind.itemsize), dtype=kind)
+
+
 def open_array(root: str, address: str) -> np.ndarray:
     """Map an array; kept open for later batches of this worker."""
     if address not in _OPEN:
+        if len(_OPEN) >= OPEN_AT_ONCE:
+            _OPEN.clear()
         store, _ = _store(_local(root))
         kind = np.dtype(address.rpartition(".")[2])
         path, fetched = address, not isinstance(store, fs.LocalFileSystem)

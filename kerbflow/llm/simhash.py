@@ -24,17 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbflow.llm.common import list_array, list_values, mix, slices, text_buffer
+from kerbflow.llm.common import mix, slices, text_buffer
 from kerbflow.llm.graph import components
 from kerbflow.session import materialise
 
 SEED = 42
 CHUNK = 1024
 TASKS_AT_ONCE = 1 << 15
-# Estimates this far from the limit settle a pair; from 256 hashes one errs so far with a chance below 1e-10.
-BELOW, ABOVE = 0.2, 0.15
-# Where all hashes were seen, only equal hashes of unequal shingles are in doubt.
-CHANCE = 0.02
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -82,49 +78,26 @@ def fingerprints(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def seeded(hashes: np.ndarray, seed: int) -> np.ndarray:
-    """The hashes as another hash function would give them; seed 0 leaves them as they are."""
-    return hashes if seed == 0 else mix(hashes + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
-
-
-def _set_hashes(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def set_hashes(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One hash of each text's distinct hashes, whatever their order."""
     sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
     np.cumsum(mix(hashes ^ np.uint64(SEED)), out=sums[1:])
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def _sketch(words: int, repeats: bool, bottom: int, seeds: int):
+def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last in slices(batch.column("text"), 1 << 22):
                 part = batch.slice(first, last - first)
-                hashes, offsets = shingle_hashes(part.column("text"), words)
-                if not repeats:
-                    hashes, offsets = distinct_in_texts(hashes, offsets)
-                if not bottom:
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(hashes, offsets).view(np.int64))], ["doc_id", "fp"])
-                    continue
-                fps = np.stack([fingerprints(seeded(hashes, s), offsets) for s in range(seeds)], axis=1)
-                own, kept = distinct_in_texts(hashes, offsets) if repeats else (hashes, offsets)
-                sizes = np.diff(kept)
-                first_ones = np.arange(len(own)) - np.repeat(kept[:-1], sizes) < bottom
-                columns = [part.column("doc_id"), list_array(fps.reshape(-1).view(np.int64), np.arange(len(part) + 1) * seeds, pa.int64()), pa.array(sizes)]
-                columns.append(list_array((own[first_ones] >> np.uint64(33)).astype(np.int32), np.concatenate([[0], np.cumsum(np.minimum(sizes, bottom))]), pa.int32()))
-                columns += [pa.array(_set_hashes(own, kept).view(np.int64)), part.column("text_key")]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fps", "shingles", "bottom", "whole", "text_key"])
+                found = fingerprints(*shingle_hashes(part.column("text"), words)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
     return run
 
 
-def sketches(documents: DataFrame, words: int = 4, repeats: bool = True, bottom: int = 0, seeds: int = 1) -> DataFrame:
-    """(doc_id, fp); with ``bottom`` (doc_id, fps, shingles, bottom, whole, text_key).
-
-    ``fps`` holds a fingerprint for each seed, ``shingles`` the number of distinct shingles, ``bottom`` their smallest
-    hashes (31 bits), ``whole`` one hash of all of them; ``text_key`` is a column of the documents.
-    """
-    more = "fps array<long>, shingles long, bottom array<int>, whole long, text_key long" if bottom else "fp long"
-    chosen = documents.select("doc_id", "text", *(["text_key"] if bottom else []))
-    return chosen.mapInArrow(_sketch(words, repeats, bottom, seeds), f"doc_id long, {more}")
+def sketches(documents: DataFrame, words: int = 4) -> DataFrame:
+    """(doc_id, fp) of every document."""
+    return documents.select("doc_id", "text").mapInArrow(_sketch(words), "doc_id long, fp long")
 
 
 def keys(radius: int) -> Column:
@@ -155,22 +128,23 @@ def bit_planes(words: np.ndarray) -> np.ndarray:
 def near_lanes(planes: np.ndarray, word: np.ndarray, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """For each (query, word) task the lanes within the radius, as (tasks with any, their lane masks).
 
-    A counter of four bits a lane is kept as four words of bits; a lane whose count passes the radius is over for
+    A counter of four bits a lane (more for a radius above 15) is kept as so many words of bits; a lane whose count passes the radius is over for
     good, and a task is dropped as soon as all its lanes are over.
     """
     task = np.arange(len(word))
     over = np.zeros(len(word), dtype=np.uint64)
-    c = [np.zeros(len(word), dtype=np.uint64) for _ in range(4)]
+    places = range(max(4, radius.bit_length()))
+    c = [np.zeros(len(word), dtype=np.uint64) for _ in places]
     zero, one = np.uint64(0), np.uint64(1)
-    limit = [np.uint64(0xFFFFFFFFFFFFFFFF) if (radius >> i) & 1 else zero for i in range(4)]
+    limit = [np.uint64(0xFFFFFFFFFFFFFFFF) if (radius >> i) & 1 else zero for i in places]
     for b in range(64):
         carry = planes[b][word] ^ (zero - ((query >> np.uint64(b)) & one))
-        for i in range(4):
+        for i in places:
             c[i], carry = c[i] ^ carry, c[i] & carry
         over |= carry
         if b % 4 == 3 and b > radius:
             more, equal = np.zeros_like(over), ~np.zeros_like(over)
-            for i in (3, 2, 1, 0):
+            for i in reversed(places):
                 more |= equal & c[i] & ~limit[i]
                 equal &= ~(c[i] ^ limit[i])
             over |= more
@@ -222,7 +196,7 @@ def bucket_links(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nda
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def _forest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def spanning_labels(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest place connected to each place."""
     label = np.arange(size)
     while True:
@@ -236,9 +210,9 @@ def _forest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = fresh
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], more: tuple[str, ...] = ()) -> Iterator[tuple[np.ndarray, ...]]:
-    """(group numbers, nodes, fingerprints, ``more``) of whole groups; the last group of a batch waits for the next batch."""
-    names = ("block", "value", "low", "high", "node", "fp", *more)
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(group numbers, nodes, fingerprints) of whole groups; the last group of a batch waits for the next batch."""
+    names = ("block", "value", "low", "high", "node", "fp")
     kept = {n: np.zeros(0, dtype=np.int64) for n in names}
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
@@ -251,7 +225,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], more: tuple[str, ...] = ()) -> I
             new[1:] |= kept[n][1:] != kept[n][:-1]
         cut = size if batch is None else (int(np.flatnonzero(new)[-1]) if new.any() else 0)
         if cut:
-            yield np.cumsum(new[:cut]), kept["node"][:cut], kept["fp"][:cut].view(np.uint64), *(kept[n][:cut] for n in more)
+            yield np.cumsum(new[:cut]), kept["node"][:cut], kept["fp"][:cut].view(np.uint64)
             kept = {n: v[cut:] for n, v in kept.items()}
 
 
@@ -261,35 +235,12 @@ def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, node, fp in _grouped(batches):
             a, b = bucket_links(group, fp, radius)
-            label = _forest(len(fp), a, b)
+            label = spanning_labels(len(fp), a, b)
             moved = np.flatnonzero(label != np.arange(len(fp)))
             yield pa.RecordBatch.from_arrays([pa.array(node[label[moved]]), pa.array(node[moved])], ["u", "v"])
     return run
 
 
-def _nearest(radius: int, most: int):
-    """Links of each key between different labels; of a node with more than ``most`` those to its ``most`` nearest ones.
-
-    A node with links left unread is reported as a link to itself.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, node, fp, label in _grouped(batches, ("label",)):
-            a, b = bucket_links(group, fp, radius)
-            apart = label[a] != label[b]
-            a, b = a[apart], b[apart]
-            far = np.bitwise_count(fp[a] ^ fp[b])
-            ends, others, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([far, far])
-            order = np.lexsort((node[others], far, ends))
-            ends, others = ends[order], others[order]
-            place = np.arange(len(ends)) - np.searchsorted(ends, ends)
-            more = node[np.unique(ends[place >= most])]
-            ends, others = node[ends[place < most]], node[others[place < most]]
-            u, v = np.minimum(ends, others), np.maximum(ends, others)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, more])), pa.array(np.concatenate([v, more]))], ["u", "v"])
-    return run
-
-
 def dealt(nodes: DataFrame, radius: int) -> DataFrame:
     """Nodes (node, fp, ...) under their keys (block, value, low, high), whole keys together and in order.
 
@@ -324,137 +275,5 @@ def near_duplicates(documents: DataFrame, words: int = 4, radius: int = 4) -> Da
     return docs.join(named.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def similarity(a: pa.RecordBatch, b: pa.RecordBatch, bottom: int) -> tuple[np.ndarray, np.ndarray]:
-    """Share of common shingles of rows (shingles, bottom) side by side, and whether all shingles were seen.
-
-    Below the smaller of the last hashes of the lists that were cut, both lists are whole; the share is taken there.
-    """
-    limit = np.full(len(a), 2**31 - 1, dtype=np.int64)
-    whole, kept = np.ones(len(a), dtype=bool), []
-    for side in (a, b):
-        hashes, offsets = list_values(side.column("bottom"))
-        cut = side.column("shingles").to_numpy() > bottom
-        limit[cut] = np.minimum(limit[cut], hashes[offsets[1:][cut] - 1])
-        whole &= ~cut
-        kept.append((np.repeat(np.arange(len(a), dtype=np.int64), np.diff(offsets)), hashes.astype(np.int64)))
-    parts = [np.unique(row[h <= limit[row]] << 31 | h[h <= limit[row]]) for row, h in kept]
-    both = np.sort(np.concatenate(parts))
-    common = np.bincount(both[:-1][both[1:] == both[:-1]] >> 31, minlength=len(a))
-    union = np.bincount(both >> 31, minlength=len(a)) - common
-    return np.where(union > 0, common / np.maximum(union, 1), 1.0), whole
-
-
-def _shares(bottom: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            side = lambda n: pa.RecordBatch.from_arrays([batch.column(f"n{n}"), batch.column(f"b{n}")], ["shingles", "bottom"])  # noqa: E731, B023
-            share, whole = similarity(side("u"), side("v"), bottom)
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(share), pa.array(whole)], ["u", "v", "share", "whole"])
-    return run
-
-
-def _shingle_sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last in slices(batch.column("text"), 1 << 22):
-                part = batch.slice(first, last - first)
-                hashes, offsets = distinct_in_texts(*shingle_hashes(part.column("text"), words))
-                yield pa.RecordBatch.from_arrays([part.column("node"), list_array(hashes.view(np.int64), offsets, pa.int64())], ["node", "hashes"])
-    return run
-
-
-def exactly_similar(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Pairs (u, v) whose texts (node, text) share ``least`` of all their distinct shingles."""
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = materialise(texts.join(needed, "node", "left_semi").mapInArrow(_shingle_sets(words), "node long, hashes array<long>").dropDuplicates(["node"]), "dedup-sets")
-    side = lambda n: sets.select(F.col("node").alias(n), F.col("hashes").alias(f"h{n}"))
-    common = F.size(F.array_intersect("hu", "hv"))
-    union = F.size("hu") + F.size("hv") - common
-    return pairs.join(side("u"), "u").join(side("v"), "v").where(F.when(union > 0, common / union).otherwise(1.0) >= least).select("u", "v")
-
-
-def _linked_pairs(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, documents: DataFrame, words: int, least: float, bottom: int) -> DataFrame:
-    """The pairs that are ``least`` similar, but for some whose ends other links connect."""
-    met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    held = rows.join(met, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("n"), F.first("bottom").alias("b"))
-    held = materialise(held, "dedup-sketches")
-    side = lambda n: held.select(F.col("node").alias(n), F.col("n").alias(f"n{n}"), F.col("b").alias(f"b{n}"))
-    shares = pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_shares(bottom), "u long, v long, share double, whole boolean")
-    margin = lambda m: F.when(F.col("whole"), F.lit(CHANCE)).otherwise(F.lit(m))
-    possible = materialise(shares.where(F.col("share") >= least - margin(BELOW)), "dedup-possible")
-    sure = F.col("share") >= least + margin(ABOVE)
-    certain, open_pairs = possible.where(sure).select("u", "v"), possible.where(~sure).select("u", "v")
-    if open_pairs.isEmpty():
-        return certain
-    if not certain.isEmpty():
-        label = components(certain)
-        of = lambda n: label.select(F.col("node").alias(n), F.col("label").alias(f"l{n}"))
-        open_pairs = open_pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").where("lu IS NULL OR lv IS NULL OR lu <> lv").select("u", "v")
-    open_pairs = materialise(open_pairs, "dedup-open")
-    texts = documents.select("text_key", "text").join(nodes.select("node", "text_key"), "text_key").select("node", "text")
-    return certain.unionByName(materialise(exactly_similar(open_pairs, texts, words, least), "dedup-links"))
-
-
-def _joined(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Nodes with the label of their component over the links; a node without links is its own label."""
-    if links is None:
-        return nodes.withColumn("label", F.col("node"))
-    return materialise(nodes.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "dedup-labels")
-
-
-def one_of_each_group(documents: DataFrame, words: int = 5, least: float = 0.8, radius: int = 11, bottom: int = 256, most: int = 4, seeds: int = 4) -> DataFrame:
-    """Documents (doc_id, text, ...) without near copies: of each group the row with the smallest id stays.
-
-    Texts whose fingerprints over distinct shingles are within the radius under one of the seeds are candidates; a
-    candidate pair is linked if its shingles are ``least`` similar by Jaccard. Groups are connected over links. The
-    estimate from the smallest hashes settles pairs that are far from ``least``; all shingles are compared for others.
-
-    Under one seed a text is first held against its ``most`` nearest candidates of each key. Texts with candidates
-    left are compared again with four times as many, until every candidate pair was compared or is in one group
-    already. No text goes before all links are known.
-
-    Equal rows are one document. Texts without words are copies of each other. A null id comes after all others.
-    """
-    keyed = documents.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = sketches(keyed, words, repeats=False, bottom=bottom, seeds=seeds).withColumn("node", F.xxhash64("fps", "shingles", "whole"))
-    rows = materialise(rows, "dedup-rows")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("fps").alias("fps"))
-    nodes = materialise(nodes, "dedup-nodes")
-    links, tested = None, None
-    labelled = _joined(nodes, links)
-    for seed in range(seeds):
-        active, reach = labelled, most
-        while True:
-            chosen = active.select("node", F.col("fps")[seed].alias("fp"), "label")
-            found = materialise(dealt(chosen, radius).mapInArrow(_nearest(radius, reach), "u long, v long").distinct(), "dedup-pairs")
-            pairs = found.where("u <> v")
-            if tested is not None:
-                pairs = materialise(pairs.join(tested, ["u", "v"], "left_anti"), "dedup-untested")
-            if not pairs.isEmpty():
-                tested = pairs if tested is None else tested.unionByName(pairs)
-                fresh = _linked_pairs(pairs, rows, nodes, keyed, words, least, bottom)
-                if not fresh.isEmpty():
-                    links = fresh if links is None else links.unionByName(fresh)
-                    labelled = _joined(nodes, links)
-            unread = found.where("u = v").select(F.col("u").alias("node"))
-            if unread.isEmpty():
-                break
-            active, reach = labelled.join(unread, "node", "left_semi"), reach * 4
-    standing = rows.join(nodes.select("node", "least"), "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    if links is not None:
-        order = F.struct(F.coalesce("least", F.lit(2**63 - 1)).alias("id"), F.col("node"))
-        stays = labelled.groupBy("label").agg(F.min(order).alias("first")).select(F.col("first.node").alias("node"))
-        standing = standing.join(stays, "node", "left_semi")
-    # Equal ids with texts that differ only in spaces or capitals: the smallest key stays.
-    stay = materialise(standing.groupBy("doc_id", "node").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("n")), "dedup-stay")
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("text_key")
-    marked = stay.select(F.col("doc_id").alias("stay_id"), "text_key", "n")
-    single = documents.join(marked.where("n = 1").drop("n"), documents["doc_id"].eqNullSafe(F.col("stay_id")) & key, "left_semi")
-    if stay.where("n > 1").isEmpty():
-        return single
-    copies = documents.join(marked.where("n > 1").drop("n"), documents["doc_id"].eqNullSafe(F.col("stay_id")) & key, "left_semi")
-    return single.unionByName(copies.dropDuplicates(["doc_id", "text"]))
-
-
 def fingerprint_text(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -92,95 +92,3 @@ def test_distinct_shingles():
     values, bounds = simhash.distinct_in_texts(hashes, offsets)
     assert np.diff(offsets).tolist() == [5, 0, 1] and np.diff(bounds).tolist() == [2, 0, 1]
     assert (np.sort(values[:2]) == values[:2]).all()
-
-
-def test_one_of_each_group(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CHUNK", 16)
-    rng = np.random.default_rng(9)
-    rows, group = [], {}
-
-    def add(doc_id, text, name):
-        rows.append((doc_id, text, f"src{doc_id}" if doc_id else None, 7))
-        group.setdefault(name, []).append(doc_id)
-
-    for g in range(8):
-        words = list(rng.choice([f"v{i}" for i in range(900)], 400))
-        for k in range(40 if g == 0 else 3):
-            copy = list(words)
-            for p in rng.choice(400, k % 4, replace=False):
-                copy[int(p)] = f"new{k}"
-            add(1000 * (g + 1) - k, " ".join(copy), g)
-        half = list(rng.choice([f"u{i}" for i in range(900)], 400))
-        half[:200] = words[:200]
-        add(50_000 + g, " ".join(half), f"half{g}")
-    for i, t in enumerate([None, "", " "]):
-        add(60_000 + i, t, "empty")
-    add(61_000, "one two", "short")
-    add(61_001, "One  two", "short")
-    add(61_002, "one three", "other")
-    rows.append(rows[0])
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, node int")
-    kept = simhash.one_of_each_group(df)
-    assert kept.columns == df.columns
-    got = sorted(r.doc_id for r in kept.collect())
-    assert got == sorted(min(ids) for ids in group.values())
-    repeated = spark.createDataFrame([(None, "a b", "x", 1), (None, "a b", "x", 1), (3, "c", "y", 1), (3, "c", "y", 1), (3, "d", "y", 1)], df.schema)
-    assert sorted((str(r.doc_id), r.text) for r in simhash.one_of_each_group(repeated).collect()) == [("3", "c"), ("3", "d"), ("None", "a b")]
-    assert simhash.one_of_each_group(df.limit(0)).collect() == []
-
-
-def planted_pairs(rng, jaccards, each, shingles):
-    """Pairs of texts of exactly the given similarities over five-word shingles; (texts, pairs of places)."""
-    texts, pairs = [], []
-    for jaccard in jaccards:
-        for _ in range(each):
-            words = [f"p{len(texts)}w{i}" for i in range(shingles + 4)]
-            lost = round(shingles * (1 - jaccard) / (1 + jaccard))
-            other = list(words)
-            for p in range(4 + lost - 1, -1, -5):  # every fifth word of the first ones: exactly the first `lost` shingles and no more
-                other[max(p - 4, 0)] += "x"
-            pairs.append((len(texts), len(texts) + 1, jaccard))
-            texts += [" ".join(words), " ".join(other)]
-    return texts, pairs
-
-
-def jaccard(a, b, size=5):
-    x, y = ({tuple(t.split()[i : i + size]) for i in range(max(1, len(t.split()) - size + 1))} for t in (a, b))
-    return len(x & y) / len(x | y)
-
-
-def test_pairs_near_the_limit(spark):
-    rng = np.random.default_rng(12)
-    texts, pairs = planted_pairs(rng, (0.81, 0.85, 0.9), 200, 300)
-    shares = [jaccard(texts[a], texts[b]) for a, b, _ in pairs]
-    wanted = {b for (a, b, _), s in zip(pairs, shares) if s >= 0.8}
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    lost = {b for b in wanted} - (set(range(len(texts))) - {r.doc_id for r in simhash.one_of_each_group(df).collect()})
-    assert len(wanted) == 600 and len(lost) <= 6
-
-
-def test_long_texts_are_compared_as_a_whole(spark):
-    texts, pairs = planted_pairs(np.random.default_rng(0), (0.77, 0.785, 0.805, 0.82), 30, 1200)
-    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
-    found = simhash.exactly_similar(spark.createDataFrame([p[:2] for p in pairs], "u long, v long"), df, 5, 0.8)
-    wanted = {(a, b) for a, b, _ in pairs if jaccard(texts[a], texts[b]) >= 0.8}
-    assert len(wanted) == 60 and {tuple(r) for r in found.collect()} == wanted
-    kept = {r.doc_id for r in simhash.one_of_each_group(df.withColumnRenamed("node", "doc_id")).collect()}
-    assert not {b for a, b, _ in pairs if (a, b) not in wanted} - kept
-    assert len({b for _, b in wanted} & kept) <= 2
-
-
-def test_crowd_of_unlike_texts_hides_no_copy(spark):
-    """Twelve texts lie nearer to a text in bits than its only copy does."""
-    nodes = [(i, 0) for i in range(1, 13)] + [(100, 1), (200, 0b1111 << 20)]
-    df = spark.createDataFrame([(n, f, n) for n, f in nodes], "node long, fp long, label long")
-    met, active, reach = set(), df, 4
-    while True:
-        rows = simhash.dealt(active, 11).mapInArrow(simhash._nearest(11, reach), "u long, v long").distinct().collect()
-        met |= {tuple(r) for r in rows if r.u != r.v}
-        unread = [r.u for r in rows if r.u == r.v]
-        if not unread:
-            break
-        active, reach = active.where(active.node.isin(unread)), reach * 4
-    ids = sorted(n for n, _ in nodes)
-    assert met == {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]} and reach > 4
