@@ -112,6 +112,11 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first, axis=0)
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where all fit, else in 64."""
+    return counts.astype(np.uint32 if not counts.size or int(counts.max()) < 1 << 32 else np.uint64)
+
+
 def _blocks(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
     """Rows of the parts that hold any of the sorted keys; ``bounds`` are the first keys of the parts."""
     edges = np.append(np.searchsorted(keys, bounds), len(keys))
@@ -134,7 +139,8 @@ def _parts(batches: Iterator[pa.RecordBatch], kind: np.dtype, columns: int = 1)
                     yield part, *merged()
                 part, keys, counts, waiting = p, [], [], 0
             keys.append(np.frombuffer(k.as_buffer(), dtype=kind))
-            own = np.frombuffer(c.as_buffer(), dtype=np.uint32).astype(np.int64)
+            size = len(keys[-1]) * columns
+            own = np.frombuffer(c.as_buffer(), dtype=np.uint64 if size and len(c.as_buffer()) == 8 * size else np.uint32).astype(np.int64)
             counts.append(own.reshape(-1, columns) if columns > 1 else own)
             waiting += len(keys[-1])
             if waiting > 2 * FLUSH and len(keys) > 1:
@@ -205,6 +211,12 @@ def numbered(vocabulary: Vocabulary, hashes: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate([[-1], numbers[known]]), np.where(known, place + 1, 0)[inverse]
 
 
+def check_numbers(size: int) -> None:
+    """Word numbers and the begin mark must fit in the halves of a bigram's key."""
+    if size >= 1 << 31:
+        raise OverflowError(f"{size} distinct words; a bigram's key holds numbers below {1 << 31}")
+
+
 def bigram_keys(numbers: np.ndarray, offsets: np.ndarray, begin: int) -> np.ndarray:
     """(previous, own) numbers as one key; the first word of a text follows ``begin``."""
     previous = np.empty_like(numbers)
@@ -226,11 +238,11 @@ def _count_words(bounds: np.ndarray):
                 waiting += len(k)
                 if waiting > FLUSH:
                     k, c = summed(np.concatenate(keys), np.concatenate(counts))
-                    yield _blocks(k, c.astype(np.uint32), bounds)
+                    yield _blocks(k, narrow(c), bounds)
                     keys, counts, waiting = [], [], 0
         if keys:
             k, c = summed(np.concatenate(keys), np.concatenate(counts))
-            yield _blocks(k, c.astype(np.uint32), bounds)
+            yield _blocks(k, narrow(c), bounds)
     return run
 
 
@@ -255,6 +267,7 @@ def fit_vocabulary(texts: DataFrame, root: str, parts: int) -> tuple[Vocabulary,
     shards = {r.part: r for r in rows.select("part", "hashes", "counts", "size", pairs.alias("top")).collect()}
     held = sorted(shards)
     base = np.concatenate([[0], np.cumsum([shards[p].size for p in held])]).astype(np.int64)
+    check_numbers(int(base[-1]))
     vocabulary = Vocabulary(root, bounds[held], base, [shards[p].hashes for p in held], [shards[p].counts for p in held], int(total))
     return vocabulary, [(int(b + x["places"]), int(x["heavy"])) for p, b in zip(held, base) for x in shards[p].top]
 
@@ -272,11 +285,11 @@ def _count_bigrams(vocabulary: Vocabulary, bounds: np.ndarray):
                 waiting += len(k)
                 if waiting > FLUSH:
                     k, c = summed(np.concatenate(keys), np.concatenate(counts))
-                    yield _blocks(k, c.astype(np.uint32), bounds)
+                    yield _blocks(k, narrow(c), bounds)
                     keys, counts, waiting = [], [], 0
         if keys:
             k, c = summed(np.concatenate(keys), np.concatenate(counts))
-            yield _blocks(k, c.astype(np.uint32), bounds)
+            yield _blocks(k, narrow(c), bounds)
     return run
 
 
@@ -320,7 +333,7 @@ def _write_bigrams(vocabulary: Vocabulary, root: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, keys, counts in _parts(batches, np.dtype(np.int64)):
-            files = [save_array(root, f"keys-{part}", keys), save_array(root, f"bigrams-{part}", counts.astype(np.uint32))]
+            files = [save_array(root, f"keys-{part}", keys), save_array(root, f"bigrams-{part}", narrow(counts))]
             kinds = np.stack([counts == 1, counts == 2, counts > 2, counts], axis=1).astype(np.int64)
             contexts, told = summed(keys >> 32, kinds)
             words, before = np.unique(keys & 0xFFFFFFFF, return_counts=True)
@@ -328,7 +341,7 @@ def _write_bigrams(vocabulary: Vocabulary, root: str):
             start = told[~known].sum(axis=0)
             meta = np.array([*(int((counts == i).sum()) for i in range(1, 5)), len(keys), *start.tolist()], dtype=np.int64)
             rows = [(0, part, keys[:1].tobytes(), meta.tobytes(), files)]
-            for kind, k, c in ((1, contexts[known], told[known].astype(np.uint32)), (2, words, before.astype(np.uint32))):
+            for kind, k, c in ((1, contexts[known], narrow(told[known])), (2, words, narrow(before))):
                 block = _blocks(k, c, vocabulary.base[:-1])
                 rows += [(kind, p, a.as_py(), b.as_py(), None) for p, a, b in zip(block.column("part").to_pylist(), block.column("keys"), block.column("counts"))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.string())))], ["kind", "part", "keys", "counts", "files"])
@@ -341,10 +354,10 @@ def _write_dense(vocabulary: Vocabulary, root: str, columns: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, keys, counts in _parts(batches, np.dtype(np.int64), columns):
             size = int(vocabulary.base[part + 1] - vocabulary.base[part])
-            values = np.zeros((size, columns), dtype=np.uint32)
+            values = np.zeros((size, columns), dtype=np.int64)
             values[keys - vocabulary.base[part]] = counts.reshape(-1, columns)
             ones = [int((counts == i).sum()) for i in range(1, 5)] + [int((counts > 2).sum())] if columns == 1 else [0] * 5
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([save_array(root, f"{name}-{part}", values.reshape(-1))]), pa.array([ones], pa.list_(pa.int64()))], ["part", "file", "ones"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([save_array(root, f"{name}-{part}", narrow(values.reshape(-1)))]), pa.array([ones], pa.list_(pa.int64()))], ["part", "file", "ones"])
     return run
 
 

@@ -84,3 +84,17 @@ def test_no_training_texts_and_empty_table(spark):
 def test_end_marks_close_every_text():
     hashes, offsets = ngram_lm.token_hashes(pa.array(["a b", None, ""]))
     assert offsets.tolist() == [0, 3, 4, 5] and (hashes[[2, 3, 4]] == ngram_lm.END).all()
+
+
+def test_counts_beyond_32_bits():
+    large = np.array([5_000_000_000, 3], dtype=np.int64)
+    assert ngram_lm.narrow(large).dtype == np.uint64 and ngram_lm.narrow(large // 2).dtype == np.uint32
+    keys, bounds = np.array([4, 9], dtype=np.int64), np.array([0], dtype=np.int64)
+    blocks = [ngram_lm._blocks(keys, ngram_lm.narrow(large), bounds), ngram_lm._blocks(keys, ngram_lm.narrow(large % 100), bounds)]
+    (part, found, sums), = ngram_lm._parts(iter(blocks), np.dtype(np.int64))
+    assert part == 0 and found.tolist() == [4, 9] and sums.tolist() == [5_000_000_000, 6]
+    columns = np.stack([large, large + 1], axis=1)
+    (_, _, sums), = ngram_lm._parts(iter([ngram_lm._blocks(keys, ngram_lm.narrow(columns), bounds)] * 2), np.dtype(np.int64), 2)
+    assert sums.tolist() == (2 * columns).tolist()
+    with pytest.raises(OverflowError):
+        ngram_lm.check_numbers(1 << 31)
