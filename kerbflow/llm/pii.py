@@ -75,6 +75,10 @@ for _i, _members in enumerate(_CLASSES.values()):
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = True
 _WEIGHTS[_LETTERS] = 1 << (_FIELD * len(_CLASSES))
+_KINDS = np.full(256, len(_CLASSES) + 1)  # the class of each byte: those above in order, letters, none
+for _i, _members in enumerate(_CLASSES.values()):
+    _KINDS[list(_members)] = _i
+_KINDS[_LETTERS] = len(_CLASSES)
 _DIGIT_STEPS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 8, 9, 9] + [10] * 244)
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
@@ -90,6 +94,10 @@ def shapes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     for bit, name in enumerate(("at", "dash", "dot", "bracket")):
         shape |= (((counts >> (_FIELD * list(_CLASSES).index(name))) & 255) > 0).astype(np.int64) << bit
     shape |= (counts >> (_FIELD * len(_CLASSES)) > 0).astype(np.int64) << 4
+    # A field holds up to 255; longer words are counted class by class.
+    for i in np.flatnonzero(ends - starts > 255).tolist():
+        held = np.bincount(_KINDS[raw[starts[i] : ends[i]]], minlength=len(_CLASSES) + 2)
+        shape[i] = _DIGIT_STEPS[min(int(held[0]), 255)] << 6 | sum(1 << bit for bit in range(4) if held[bit + 1]) | int(held[len(_CLASSES)] > 0) << 4
     return shape | (_UPPER[raw[starts]].astype(np.int64) << 5)
 
 
@@ -103,13 +111,15 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, ...]:
     """(word hashes, shapes, starts, ends, n + 1 offsets); punctuation at the edges of words is cut off."""
     raw, _ = text_buffer(column)
     data, starts, ends, offsets = split_words(column, SPACED)
-    for _ in range(8):
-        left = _EDGE[raw[starts]] & (starts + 1 < ends) if len(starts) else np.zeros(0, bool)
-        starts = starts + left
-        right = _EDGE[raw[ends - 1]] & (starts + 1 < ends) if len(starts) else left
-        ends = ends - right
-        if not left.any() and not right.any():
-            break
+    if len(starts):
+        edged = np.flatnonzero(_EDGE[raw[starts]] | _EDGE[raw[ends - 1]])
+        inner = np.append(np.flatnonzero(~_EDGE[raw]), len(raw))
+        first, low, high = np.searchsorted(inner, starts[edged]), starts[edged], ends[edged]
+        last = np.searchsorted(inner, high) - 1
+        # A word of punctuation alone is its middle character.
+        bare, middle = inner[first] >= high, low + (high - low) // 2
+        starts[edged] = np.where(bare, middle, inner[first])
+        ends[edged] = np.where(bare, middle, inner[last]) + 1
     return hash_words(data, starts, ends), shapes(raw, starts, ends), starts, ends, offsets
 
 

@@ -88,3 +88,17 @@ def test_rows_and_redaction(spark, tagger):
     clean = {(r.doc_id, r.text[:60] if r.text else r.text, r.spans) for r in pii.redact(df, tagger).collect()}
     assert (1, "mail é@b [email] or [phone]", "spare") in clean and (None, "tel [phone]", "spare") in clean and (2, None, "spare") in clean
     assert pii.scan(df.limit(0), tagger).collect() == []
+
+
+def test_long_words_keep_their_shape_and_all_edges_go():
+    words = ["5" * n for n in (12, 255, 256, 257, 70_000)] + ["." * 256 + "a" + "." * 300, "a" + "@" * 256 + "b", "-" * 512, "((x))" * 100]
+    raw, _ = pii.text_buffer(pa.array([" ".join(words)]))
+    _, shape, starts, ends, _ = pii.words_of(pa.array([" ".join(words)]))
+    texts = [raw[a:b].tobytes().decode() for a, b in zip(starts, ends)]
+    assert texts == [w.strip(".") for w in words]
+    assert len(set(shape[:5].tolist())) == 1
+    assert shape[5] == 1 << 4 and shape[6] == 1 << 4 | 1 and shape[7] == 1 << 1 and shape[8] == 1 << 4 | 1 << 3
+    for text, kept in [("!!!!!!!!!!!!ab?????????????", "ab"), ("..", "."), ("...", "."), ("x", "x"), ("!a b!", None)]:
+        column = pa.array([text])
+        _, _, a, b, _ = pii.words_of(column)
+        assert kept is None or [text[i:j] for i, j in zip(a, b)] == [kept]
