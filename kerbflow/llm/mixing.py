@@ -168,12 +168,20 @@ class Mix:
     targets: np.ndarray
     rounds: int
 
+    @property
+    def residual(self) -> float:
+        """Largest distance of a domain's share of the words to its target."""
+        whole = self.targets.sum()
+        return float(np.abs(self.totals - self.targets).max() / whole) if whole else 0.0
 
-def solve(classified: DataFrame, weights: np.ndarray, rounds: int = 40, tolerance: float = 1e-9) -> Mix:
+
+def solve(classified: DataFrame, weights: np.ndarray, tolerance: float = 1e-9, still: float = 1e-6) -> Mix:
     """Steps of the projected-gradient fit to ``weights`` (summing to one) of all words.
 
     Each round is one job whose result is 2k + k*k sums. The scaling matrix has a ridge that falls while steps come nearer
-    and grows when one does not, which turns and shortens the step towards the plain gradient.
+    and grows when one does not, which turns and shortens the step towards the plain gradient. The fit ends when the
+    targets are met, or when targets that no rates meet are as near as they get: no step is nearer, or three in a row
+    were nearer by less than the share ``still``. ``Mix.residual`` tells which.
     """
     k = len(weights)
 
@@ -190,13 +198,14 @@ def solve(classified: DataFrame, weights: np.ndarray, rounds: int = 40, toleranc
     if not whole:
         return mix
     distance = lambda t: float(((t - mix.targets) ** 2).sum()) / whole**2
-    ridge = 1e-6
-    while mix.rounds < rounds and distance(mix.totals) > tolerance**2 and ridge < 1e9:
+    ridge, slow = 1e-6, 0
+    while distance(mix.totals) > tolerance**2 and ridge < 1e9 and slow < 3:
         mix.rounds += 1
         step = np.linalg.solve(overlap + ridge * (np.trace(overlap) / k + 1e-12) * np.eye(k), mix.targets - mix.totals)
         trial = [*mix.steps, step]
         new, _, matrix = measure(trial)
         if distance(new) < distance(mix.totals):
+            slow = slow + 1 if distance(new) > (1 - still) * distance(mix.totals) else 0
             mix.steps, mix.totals, overlap, ridge = trial, new, matrix, max(ridge / 4, 1e-9)
         else:
             ridge *= 8

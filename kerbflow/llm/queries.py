@@ -114,9 +114,9 @@ def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Rate of every document under which the expected domain totals meet the target weights."""
     documents = read(spark, folder, "documents", "doc_id", "text", "lang")
     model = mixing_model(documents, read(spark, folder, "labels", "doc_id", "quality"))
-    found, _ = mixing.mix_documents(documents, model, MIX_WEIGHTS, ["doc_id"])
+    found, mix = mixing.mix_documents(documents, model, MIX_WEIGHTS, ["doc_id"])
     columns = [F.round(F.col("posterior")[i], 9).alias(f"p_{name}") for i, name in enumerate(model.domains)]
-    return found.select("doc_id", "n_words", *columns, "rate")
+    return found.select("doc_id", "n_words", *columns, "rate", F.lit(round(mix.residual, 6)).alias("residual"))
 
 
 def _license_sql() -> str:

@@ -280,14 +280,14 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings | None = Non
     return model
 
 
-def score(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of the documents (all by default) and ``score``, which replaces a column of that name.
+def score(documents: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """Columns ``keep`` of the documents (all by default) and the score under ``name``, which replaces a column of that name.
 
     Every whole text is scored; what is not kept doesn't leave the workers again.
     """
-    keep = [c for c in (documents.columns if keep is None else keep) if c != "score"]
+    keep = [c for c in (documents.columns if keep is None else keep) if c != name]
     chosen = documents.select(*dict.fromkeys([*keep, "text"]))
-    schema = StructType([*(chosen.schema[c] for c in keep), StructField("score", DoubleType())])
+    schema = StructType([*(chosen.schema[c] for c in keep), StructField(name, DoubleType())])
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +295,7 @@ def score(documents: DataFrame, model: Model, keep: list[str] | None = None) ->
             for first, last in slices(batch.column("text")):
                 part = batch.slice(first, last - first)
                 given = scores(shared.value, *features(part.column("text"), shared.value.settings.prefix_bytes))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(given)], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(given)], [*keep, name])
 
     return chosen.mapInArrow(run, schema)
 

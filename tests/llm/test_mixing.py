@@ -30,7 +30,11 @@ def test_least_squares_against_a_dense_fit(spark, target):
     r = np.array([rates[i] for i in range(80)])
     assert (r >= 0).all()
     got = float(np.sum((((n * r) @ p) / n.sum() - target) ** 2))
-    assert got <= dense_fit(n, p, target, 20_000) + 2e-6
+    best = dense_fit(n, p, target, 20_000)
+    assert got <= best + 2e-6
+    shares = ((n * r) @ p) / n.sum()
+    assert mix.residual == pytest.approx(float(np.abs(shares - target).max()), abs=1e-9)
+    assert (mix.residual < 1e-6) == (best < 1e-10)
 
 
 def test_classifier_and_odd_rows(spark):

@@ -112,3 +112,19 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
     assert corpus_pipeline.run(spark, root).collect() == []
+
+
+def test_columns_named_as_the_stages_own(spark, folder):
+    root, _ = folder
+    names = ["score", "__label", "bad", "n_words", "rate", "copies", "posterior", "text_key", "stay_id", "node"]
+    docs = spark.read.parquet(f"{root}/documents.parquet").where("doc_id < 120").selectExpr("*", *[f"doc_id + 0.5 AS {n}" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs.write.parquet(f"{root}/clash-{name}")
+        docs = spark.read.parquet(f"{root}/clash-{name}")
+        kept = stage(spark, docs, root)
+        assert kept.columns == docs.columns, name
+        rows = kept.collect()
+        assert rows and all(r[n] == r.doc_id + 0.5 for r in rows for n in names), name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, root)
+    assert {"rate", "copies", "n_words", "document_rate", "document_copies", "document_n_words"} <= set(last.columns)
+    assert all(r.document_rate == r.doc_id + 0.5 for r in last.collect())
