@@ -7,8 +7,9 @@ matrix of domain overlaps, each document applies it to its own rate and cuts it
 leave the tasks. A document's rate follows from the list of steps, so no rate table is written between steps.
 
 Defined cases: null and empty texts have no words, the prior as posterior, and move no total; rows without a label
-are not learned from; without labels all domains are equally likely; targets without any words to meet them stay
-unmet as far as least squares goes; repeated rows get equal rates; an empty table gives no rows; other columns are
+are not learned from; a domain that no labelled row names cannot be learned, so it is left out and the weights of the others
+are scaled up; without any labels all domains are equally likely; targets without any words to meet them stay unmet as
+far as least squares goes; repeated rows get equal rates; an empty table gives no rows; other columns are
 kept where asked for.
 """
 
@@ -99,7 +100,7 @@ def fit(documents: DataFrame, labels: DataFrame, domain: Column, domains: tuple[
     """Classifier from documents (doc_id, text) and a labelled table with doc_id; ``domain`` names a joined row's domain.
 
     At most ``max_rows`` labelled rows a domain are used (smallest hashes of the ids), texts of more than ``max_words``
-    words are left out of the fit.
+    words are left out of the fit. The model knows the domains that a row of the fit names, all of them if there is none.
     """
     named = labels.select("doc_id", domain.alias("domain")).where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull())
     sample = None
@@ -114,6 +115,8 @@ def fit(documents: DataFrame, labels: DataFrame, domain: Column, domains: tuple[
         values, offsets = list_values(batch.column("buckets"))
         rows += [(values[a:b].reshape(-1, 3), name) for a, b, name in zip(offsets[:-1], offsets[1:], batch.column("domain").to_pylist())]
     rows.sort(key=lambda r: (r[1], r[0].tobytes()))
+    held = {r[1] for r in rows}
+    domains = tuple(d for d in domains if d in held) or domains
     return train([r[0] for r in rows], np.array([domains.index(r[1]) for r in rows], dtype=int), domains)
 
 

@@ -115,7 +115,9 @@ def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents", "doc_id", "text", "lang")
     model = mixing_model(documents, read(spark, folder, "labels", "doc_id", "quality"))
     found, mix = mixing.mix_documents(documents, model, MIX_WEIGHTS, ["doc_id"])
-    columns = [F.round(F.col("posterior")[i], 9).alias(f"p_{name}") for i, name in enumerate(model.domains)]
+    place = {name: i for i, name in enumerate(model.domains)}
+    share = lambda name: F.round(F.col("posterior")[place[name]], 9) if name in place else F.lit(0.0)
+    columns = [share(name).alias(f"p_{name}") for name in MIX_WEIGHTS]
     return found.select("doc_id", "n_words", *columns, "rate", F.lit(round(mix.residual, 6)).alias("residual"))
 
 

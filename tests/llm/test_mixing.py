@@ -56,6 +56,19 @@ def test_classifier_and_odd_rows(spark):
     assert {r.n_words for r in rows if r.doc_id in (1000, 1001)} == {0}
 
 
+def test_domain_without_labels_is_left_out(spark):
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(rng.choice([f"{'apple birch cedar'.split()[i % 3]}{j}" for j in range(40)], 30))) for i in range(240)]
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(0, 240) if i % 3 < 2], "doc_id long, domain string")
+    model = mixing.fit(documents, labels, F.col("domain"), ("a", "b", "c"))
+    assert model.domains == ("a", "b")
+    found, mix = mixing.mix_documents(documents, model, {"a": 3, "b": 1, "c": 4}, ["doc_id"])
+    assert np.allclose(mix.totals / mix.totals.sum(), [0.75, 0.25], atol=1e-6)
+    # Texts of the unknown domain stay: the fit doesn't chase a target that no text can meet.
+    assert len([r for r in found.collect() if r.rate > 0]) > 200
+
+
 def test_empty_tables(spark):
     documents = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, domain string")
