@@ -1,6 +1,7 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field that adds what they miss.
 
-The field tags words (email, phone, id, name; begin and inside) from the word, its shape and its neighbours, with
+The field tags words (email, phone, id, name, secret; begin and inside) from the word, its shape, its neighbours and the
+word two places before, with
 weights fitted by gradient steps on a small labelled table. Decoding is exact: a word whose score for "outside"
 leads by more than any two transitions can give back is outside on the best path, so only the islands between such
 words go through Viterbi, many at once in numpy. Tagged spans that overlap a pattern's span are left out.
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
 from kerbflow.llm.common import SPACED, hash_words, slices, split_words, text_buffer
-from kerbflow.llm.pii_examples import EXAMPLES, plain_rows
+from kerbflow.llm.pii_examples import EXAMPLES, generated_rows, plain_rows, quiet_rows
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = ("email", "phone", "id", "name")
+KINDS = ("email", "phone", "id", "name", "secret")
 LABELS = 1 + 2 * len(KINDS)
 
 # Fixed patterns. The look-behind only skips places from which no match can begin, so a long run is read once.
@@ -126,7 +127,7 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, ...]:
 @dataclass
 class Tagger:
     vocabulary: np.ndarray  # sorted hashes; row i + 1 of the word tables
-    tables: dict[str, np.ndarray]  # word, before, after: (words + 1, labels); shape, shape_before, shape_after: (SHAPES, labels)
+    tables: dict[str, np.ndarray]  # word, before, before_two, after: (words + 1, labels); shape, shape_before, shape_after: (SHAPES, labels)
     moves: np.ndarray  # (labels, labels)
 
     def rows(self, hashes: np.ndarray) -> np.ndarray:
@@ -145,6 +146,10 @@ class Tagger:
             before[first] = 0
             after[last] = 0
             out[f"{name}before"], out[f"{name}after"] = before, after
+        two = np.zeros_like(row)
+        two[1:] = out["before"][:-1]
+        two[first] = 0
+        out["before_two"] = two
         return out
 
     def emissions(self, codes: dict[str, np.ndarray]) -> np.ndarray:
@@ -163,7 +168,7 @@ class Tagger:
         for a in shapes_:
             for b in shapes_:
                 for c in shapes_:
-                    e = self.emissions({"word": 0, "before": 0, "after": 0, "shape_before": a, "shape": b, "shape_after": c})
+                    e = self.emissions({"word": 0, "before": 0, "before_two": 0, "after": 0, "shape_before": a, "shape": b, "shape_after": c})
                     lead = np.maximum(lead, e - e[0])
         t = self.moves
         best = t[:, 1:] + lead[1:]  # from any label through one quiet word
@@ -187,11 +192,11 @@ class Tagger:
         reach = self.reach()
         telling = (codes["word"] > 0) | ((shape != _LOWER_CASE) & (shape != _CAPITAL))
         if reach:
-            # A word's neighbours see it, so they are telling too; then the reach on either side.
+            # A word's neighbours and the second word after see it, so they are telling too; then the reach on either side.
             at = np.flatnonzero(telling)
             marks = np.zeros(len(hashes) + 1, dtype=np.int32)
             np.add.at(marks, np.maximum(at - reach - 1, 0), 1)
-            np.add.at(marks, np.minimum(at + reach + 2, len(hashes)), -1)
+            np.add.at(marks, np.minimum(at + reach + 3, len(hashes)), -1)
             edge = np.zeros(len(hashes), bool)
             filled = np.diff(offsets) > 0
             edge[offsets[:-1][filled]] = edge[offsets[1:][filled] - 1] = True
@@ -256,20 +261,22 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 def fit(examples: list[str] | None = None, rounds: int = 200, rate: float = 0.3, shrink: float = 0.002, min_count: int = 2) -> Tagger:
     """Weights that maximise the likelihood of the labelled table (by default the given one), less a quadratic penalty."""
-    texts, gold = labelled(examples or EXAMPLES + plain_rows())
+    texts, gold = labelled(examples or EXAMPLES + generated_rows() + quiet_rows() + plain_rows())
     hashes, shape, _, _, offsets = words_of(pa.array(texts))
-    # The vocabulary holds words that mostly stand before entities, and the signs that join the parts of an address;
+    # The vocabulary holds words that mostly stand before entities, the signs that join the parts of an address, and what
+    # links a cue to its value;
     # names and numbers themselves must be told by shape and company.
     tags = np.concatenate(gold)
-    edge = np.zeros(len(tags) + 2, dtype=bool)
-    edge[:-2] = tags > 0
-    before = (tags == 0) & (edge[1:-1] | edge[2:])
+    text = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    before = np.zeros(len(tags), dtype=bool)
+    for step in (1, 2):
+        before[:-step] |= (tags[:-step] == 0) & (tags[step:] > 0) & (text[:-step] == text[step:])
     known, inverse = np.unique(hashes, return_inverse=True)
     near, all_ = np.bincount(inverse, before), np.bincount(inverse)
     cues = known[(2 * near >= all_) & (near >= min_count)]
-    tagger = Tagger(np.unique(np.concatenate([cues, hash_of("(at)", "(dot)", "[at]", "[dot]")])), {}, np.zeros((LABELS, LABELS)))
+    tagger = Tagger(np.unique(np.concatenate([cues, hash_of("(at)", "(dot)", "[at]", "[dot]", "is", "ist", "est", "es", "=")])), {}, np.zeros((LABELS, LABELS)))
     v = len(tagger.vocabulary) + 1
-    tagger.tables = {"word": np.zeros((v, LABELS)), "before": np.zeros((v, LABELS)), "after": np.zeros((v, LABELS)),
+    tagger.tables = {"word": np.zeros((v, LABELS)), "before": np.zeros((v, LABELS)), "before_two": np.zeros((v, LABELS)), "after": np.zeros((v, LABELS)),
                      "shape": np.zeros((SHAPES, LABELS)), "shape_before": np.zeros((SHAPES, LABELS)), "shape_after": np.zeros((SHAPES, LABELS))}
     codes = tagger.codes(hashes, shape, offsets)
     sizes = np.diff(offsets)

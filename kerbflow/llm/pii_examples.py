@@ -57,7 +57,7 @@ at 10:30 on 2024-01-05 they left
 table 4.2 shows 1,234 items in 17 rows
 order 4041894974608795 was shipped
 item 4337166598464399 and so on
-token = "1eb9c654e721b4f812088970e66a6345cee33dd6" was set
+token = "1eb9c654e721b4f8" was set
 key=9f8e7d6c5b4a39281706f5e4d3c2b1a0 there
 the host 154.127.37.204 answered
 from 42.144.35.254 to the end
@@ -117,7 +117,7 @@ Ingonble. Erlylyen and Onat. Eredhe in Th. Be
 """.strip().split("\n")]
 
 
-def plain_rows(rows: int = 30, words: int = 40) -> list[str]:
+def plain_rows(rows: int = 60, words: int = 20) -> list[str]:
     """Rows without personal data, of words that occur once each: plain, capitalised (one in six), before stops, with digits."""
     parts = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
     out = []
@@ -134,3 +134,97 @@ def plain_rows(rows: int = 30, words: int = 40) -> list[str]:
             line.append(word + "." if (3 * n + row) % 11 == 0 else word)
         out.append(" ".join(line))
     return out
+
+
+# Sentences in four languages; capitals in braces are filled in by ``generated_rows``.
+SENTENCES = """
+my name is {NAME} and i live here
+Her name is {NAME} from the north
+his name is {NAME}
+call {NAME} at {PHONE} now
+mein name ist {NAME} und ich bin hier
+ihr name ist {NAME}
+herr {NAME} kam an
+frau {NAME} war dort
+mon nom est {NAME} et voila
+je m'appelle {NAME} et je vis ici
+monsieur {NAME} est venu
+madame {NAME} est partie
+mi nombre es {NAME} y vivo en casa
+me llamo {NAME} y soy de aqui
+señor {NAME} fue ayer
+señora {NAME} vino hoy
+my ssn is {SSN}
+the ssn is {SSN} on file
+her ssn was {SSN} there
+passport number is {PASS} now
+passport {PASS} was lost
+passport no {PASS} expired
+reisepass {PASS} ist weg
+passeport {PASS} est perdu
+pasaporte {PASS} de ella
+dni {DNI} de mi padre
+dni: {DNI} hoy
+token = "{HEX}" was set
+TOKEN = "{UPPERHEX}"!! AND
+token: {HEX} for it
+secret = "{HEX}" here
+secret: {HEX} there
+api_key = "{HEX}" of the tool
+api_key: {UPPERHEX} too
+password: {WORD} for all
+password is {WORD} there
+passwort: {WORD} und so
+""".strip().split("\n")
+FIRST = "Jane John Anna Karl Marie Juan Otto Lucia Peter Ines Paul Clara Hugo Rosa Emil Nadia".split()
+LAST = "Doe Smith Maier Dupont Garcia Kranz Lopez Weber Martin Novak Rossi Keller Moreau Santos Lang Okoye".split()
+QUIET = """
+it is The thing and it is On
+he is Ondreth and she is Thanly
+der name von Haus und Hof ist Alt
+el nombre de La casa es Gris
+le nom de La rue est Grand
+the name of The place is not known
+the secret of The house is out
+a token of Love and 12 others
+the password was not set in 2019
+the frau and the herr of der Stadt
+call The Thing off at 10
+madame and monsieur were there
+das ist Ein Haus und es ist Alt
+cet homme est La vie et Le jour
+la casa es El sol y La luna
+the ssn and the dni of no one
+token = none and secret = none
+hash 9f8e7d6c5b4a392817064f5e4d3c2b1a00112233 of it
+commit 1eb9c654e721b4f812088970e66a6345cee33dd6 in the tree
+""".strip().split("\n")
+
+
+def fill(row: str, n: int) -> str:
+    """The sentence with the n-th value of each kind."""
+    mixed = n * 2654435761 % 2**32
+    digits = f"{mixed * 48271 % 10**9:09d}"
+    hexes = "".join(f"{(mixed + k * 40503) * 2246822519 % 2**32:08x}" for k in range(5))
+    first, last = FIRST[mixed % 16], LAST[mixed // 16 % 16]
+    values = {"NAME": ("name", f"{first} {last}" if mixed // 256 % 3 else last), "PHONE": ("phone", f"{digits[:3]}-555-{digits[3:7]}"), "SSN": ("id", f"{digits[:3]}-{digits[3:5]}-{digits[5:]}"),
+              "PASS": ("id", f"{chr(65 + mixed % 26)}{chr(65 + mixed // 26 % 26) if mixed % 2 else ''}{digits[:7]}"), "DNI": ("id", digits[:8] + chr(65 + mixed % 26)),
+              "HEX": ("secret", hexes), "UPPERHEX": ("secret", hexes.upper()), "WORD": ("secret", f"{last.lower()}{digits[: 2 + mixed % 3]}{first[:2].lower()}")}
+    for name, (kind, value) in values.items():
+        row = row.replace("{" + name + "}", "{" + kind + "|" + value + "}")
+    return row
+
+
+def generated_rows(copies: int = 10, start: int = 0) -> list[str]:
+    """Every sentence with ``copies`` values."""
+    return [fill(row, start + copies * i + n) for i, row in enumerate(SENTENCES) for n in range(copies)]
+
+
+def quiet_rows(rows: int = 6) -> list[str]:
+    """The quiet sentences, and link words at the end of a sentence before capitals, after words of all kinds."""
+    out = list(QUIET)
+    for n, plain in enumerate(plain_rows(5 * rows, 12)):
+        link = ("is", "ist", "est", "es", "no")[n % 5]
+        a, b, c, d, *rest = plain.replace(".", "").lower().split()
+        out.append(f"{a} {link}. {b.capitalize()} {c} {link} {d.capitalize()}. {rest[0].capitalize()} {rest[1]} {link}. {rest[2].capitalize()} {rest[3].capitalize()} {rest[4]}")
+    return out

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kerbflow.llm import pii
+from kerbflow.llm import pii, pii_examples
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -57,7 +57,7 @@ def best_path(e, t):
 def test_islands_give_the_best_path_of_whole_texts(tagger):
     assert tagger.reach() > 0
     rng = np.random.default_rng(3)
-    pool = ["the", "Anea", "tel", "phone:", "555-123-4567", "(499)", "name", "Bo", "Chen", "x@y.z", "(at)", "(dot)", "com", "iban", "DE89", "3704", "12", "mr", "###", "plain", "words", "go", "on"]
+    pool = ["the", "Anea", "tel", "phone:", "555-123-4567", "(499)", "name", "Bo", "Chen", "x@y.z", "(at)", "(dot)", "com", "iban", "DE89", "3704", "12", "mr", "###", "plain", "words", "go", "on", "is", "token", "=", "1eb9c654e721b4f812088970e66a6345cee33dd6"]
     texts = [" ".join(rng.choice(pool, int(rng.integers(0, 60)), p=None)) for _ in range(200)] + ["", "one", "Tel"] + [" ".join(["plain"] * 30 + ["tel", "555-0100"] + ["Words"] * 30)]
     hashes, shape, _, _, offsets = pii.words_of(pa.array(texts))
     got = tagger.decode(hashes, shape, offsets)
@@ -76,6 +76,27 @@ def test_held_out_forms(tagger):
     assert pii.find(pa.array(quiet), tagger)[1] == [[]] * len(quiet)
 
 
+def test_new_values_by_kind(tagger, monkeypatch):
+    """The labelled sentences with names, numbers and keys that the table doesn't hold: recall and precision by kind."""
+    monkeypatch.setattr(pii_examples, "FIRST", "Greta Bruno Selma Igor Laura Felix Diego Yara Simon Ruth Oskar Elena Marta Louis Theo Vera".split())
+    monkeypatch.setattr(pii_examples, "LAST", "Brandt Okafor Petit Ruiz Sato Berger Costa Wolf Adler Duval Fuchs Pena Hale Moss Stone Vidal".split())
+    rows = [row for copy in range(20) for row in pii_examples.generated_rows(1, 40_000 + 37 * copy)]
+    texts, _ = pii.labelled(rows)
+    wanted = {(i, *m) for i, row in enumerate(rows) for m in re.findall(r"\{(\w+)\|([^}]*)\}", row)}
+    got = {(i, k, texts[i].encode()[a:b].decode()) for i, spans in pii.tagged_spans(pa.array(texts), tagger).items() for k, a, b in spans}
+    for kind in ("name", "id", "phone", "secret"):
+        own, found = {w for w in wanted if w[1] == kind}, {g for g in got if g[1] == kind}
+        assert len(own & found) >= 0.9 * len(own) and len(own & found) >= 0.9 * len(found), kind
+
+
+def test_other_sentences(tagger):
+    texts = ["My name is Jane Doe and", "mein name ist Karl Maier", "me llamo Juan Garcia y", 'so TOKEN = "AB13F29C04E721B4F8120889706623450CE33DD6"!! as', "my ssn is 123-45-6789."]
+    added = pii.find(pa.array(texts), tagger)[1]
+    assert [[(k, t[a:b]) for k, a, b in own] for t, own in zip(texts, added)] == [[("name", "Jane Doe")], [("name", "Karl Maier")], [("name", "Juan Garcia")], [("secret", texts[3][12:52])], [("id", "123-45-6789")]]
+    quiet = ["ner anea is. With. Thinst hees", "nten est. Paen. Tion", "nbo es. Los de rata", "rr y ue no. Llmente. Mente", "ansh st an. Tionble. Erea", "the name of the house was Big", "commit 1eb9c654e721b4f812088970e66a6345cee33dd6 in"]
+    assert pii.find(pa.array(quiet), tagger)[1] == [[]] * len(quiet)
+
+
 def test_rows_and_redaction(spark, tagger):
     rows = [(1, "mail é@b a.b@c.de or +1 (456) 555-2186", 5), (2, None, 0), (3, "", 0), (4, "x " * 60_000 + "1.2.3.4", 9), (4, "no data", 7), (None, "tel 555-123-4567", 1), (5, "4" * 5000 + "." + "1" * 100_000, 1)]
     df = spark.createDataFrame([(*r, "spare") for r in rows], "doc_id long, text string, n_chars long, spans string")
