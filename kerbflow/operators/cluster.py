@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from kerbflow.functions import geo as G
 from kerbflow.functions import vocabulary as V
 from kerbflow.functions.basics import dbl
-from kerbflow.session import materialise
+from kerbflow.session import dealt, materialise
 
 EPS_DEGREES = 0.003  # fixed value
 SPLIT = 8  # sub-cells per cell side and level
@@ -92,7 +92,7 @@ def _met_boxes(queries: DataFrame, points: DataFrame, group: str, eps: float) ->
     boxes = _boxes(points, group, "ci", "cj", "node", "s").withColumnsRenamed({"ci": "ni", "cj": "nj", "node": "other"}).alias("b")
     asked = _around(queries.select(group, "lat", "lon", "ci", "cj"), eps).withColumns(
         {"lat0": F.col("lat"), "lat1": F.col("lat"), "lon0": F.col("lon"), "lon1": F.col("lon")}).alias("a")
-    met = asked.join(boxes, [group, "ni", "nj"]).where(_near("a", "b") <= _limit(eps))
+    met = asked.join(dealt(boxes), [group, "ni", "nj"]).where(_near("a", "b") <= _limit(eps))
     return met.select(group, "a.lat", "a.lon", "b.other", "b.s", F.col("b.w").alias("w"), (_far("a", "b") <= _limit(eps)).alias("inside"))
 
 
@@ -100,23 +100,23 @@ def _met_points(partial: DataFrame, points: DataFrame, group: str, eps: float) -
     """Single points of the straddling boxes that are within eps."""
     right = points.select(group, "s", "lat", "lon", "w", F.col("node").alias("other")).alias("q")
     left = partial.select(group, "s", "lat", "lon", "other").alias("p")
-    joined = left.join(right, [group, "s", "other"]).where(_exact("p", "q") <= _limit(eps))
+    joined = left.join(dealt(right), [group, "s", "other"]).where(_exact("p", "q") <= _limit(eps))
     return joined.select(group, "p.lat", "p.lon", "other", "q.w")
 
 
 def core_points(points: DataFrame, group: str, eps: float, least: int) -> DataFrame:
     """Points with ``core`` set: weight within eps (itself included) of at least ``least``."""
     weights = points.groupBy("node").agg(F.sum("w").alias("cell_weight"))
-    sized = materialise(points.join(weights, "node"), "sized-points")
+    sized = materialise(points.join(dealt(weights), "node"), "sized-points")
     thin = sized.where(F.col("cell_weight") < least)
     met = materialise(_met_boxes(thin, sized, group, eps), "met-boxes")
     key = [group, "lat", "lon"]
     inside = met.groupBy(*key).agg(F.sum(F.when(F.col("inside"), F.col("w")).otherwise(0)).alias("sure"))
     open_ones = inside.where(F.col("sure") < least)
-    partial = met.where(~F.col("inside")).join(open_ones.select(*key), key, "left_semi")
+    partial = met.where(~F.col("inside")).join(dealt(open_ones.select(*key)), key, "left_semi")
     extra = _met_points(partial, sized, group, eps).groupBy(*key).agg(F.sum("w").alias("more"))
-    total = inside.join(extra, key, "left").select(*key, (F.col("sure") + F.coalesce("more", F.lit(0))).alias("weight"))
-    joined = sized.join(total, key, "left")
+    total = inside.join(dealt(extra), key, "left").select(*key, (F.col("sure") + F.coalesce("more", F.lit(0))).alias("weight"))
+    joined = sized.join(dealt(total), key, "left")
     core = (F.col("cell_weight") >= least) | (F.coalesce("weight", F.lit(0)) >= least)
     return joined.withColumn("core", core).drop("weight", "cell_weight")
 
@@ -126,7 +126,7 @@ def cell_edges(core: DataFrame, group: str, eps: float) -> DataFrame:
     cells = _boxes(core, group, "ci", "cj", "node")
     start = _around(cells.withColumn("lat", F.greatest(F.abs("lat0"), F.abs("lat1"))), eps).alias("a")
     other = cells.select(group, F.col("ci").alias("ni"), F.col("cj").alias("nj"), F.col("node").alias("other")).alias("b")
-    pairs = start.join(other, [group, "ni", "nj"]).where(F.col("node") < F.col("other")).select(
+    pairs = start.join(dealt(other), [group, "ni", "nj"]).where(F.col("node") < F.col("other")).select(
         F.col("node").alias("src"), F.col("other").alias("dst"), F.col("node").alias("pa"), F.col("other").alias("pb"))
     found = None
     for parent, child in (("node", "s"), ("sk", "t")):
@@ -135,16 +135,16 @@ def cell_edges(core: DataFrame, group: str, eps: float) -> DataFrame:
         boxes = _boxes(keyed, parent, name)
         left = boxes.select(F.col(parent).alias("pa"), F.col(name).alias("ka"), "lat0", "lat1", "lon0", "lon1").alias("a")
         right = boxes.select(F.col(parent).alias("pb"), F.col(name).alias("kb"), "lat0", "lat1", "lon0", "lon1").alias("b")
-        met = pairs.join(left, "pa").join(right, "pb").where(_near("a", "b") <= _limit(eps)).select(
+        met = pairs.join(dealt(left), "pa").join(dealt(right), "pb").where(_near("a", "b") <= _limit(eps)).select(
             "src", "dst", F.col("ka").alias("pa"), F.col("kb").alias("pb"), (_far("a", "b") <= _limit(eps)).alias("joined"))
         met = materialise(met, "box-pairs")
         sure = met.where("joined").select("src", "dst").distinct()
         found = sure if found is None else found.unionByName(sure)
-        pairs = met.join(sure, ["src", "dst"], "left_anti").drop("joined")
+        pairs = met.join(dealt(sure), ["src", "dst"], "left_anti").drop("joined")
     keyed = core.withColumn("tk", F.concat_ws("|", "node", "t"))
     left = keyed.select(F.col("tk").alias("pa"), "lat", "lon").alias("p")
     right = keyed.select(F.col("tk").alias("pb"), "lat", "lon").alias("q")
-    last = pairs.join(left, "pa").join(right, "pb").where(_exact("p", "q") <= _limit(eps)).select("src", "dst").distinct()
+    last = pairs.join(dealt(left), "pa").join(dealt(right), "pb").where(_exact("p", "q") <= _limit(eps)).select("src", "dst").distinct()
     return found.unionByName(last)
 
 
@@ -160,16 +160,16 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while not both.isEmpty():
         hooks = materialise(both.where("dst < src").groupBy("src").agg(F.min("dst").alias("up")), "hooks")
         while True:
-            step = hooks.alias("a").join(hooks.alias("b"), F.col("a.up") == F.col("b.src"), "left").select(
+            step = hooks.alias("a").join(dealt(hooks).alias("b"), F.col("a.up") == F.col("b.src"), "left").select(
                 F.col("a.src").alias("src"), F.coalesce("b.up", "a.up").alias("up"), F.col("b.up").isNotNull().alias("moved"))
             step = materialise(step, "hooks")
             hooks = step.select("src", "up")
             if step.where("moved").isEmpty():
                 break
         moved = hooks.withColumnRenamed("src", "label")
-        labels = materialise(labels.join(moved, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+        labels = materialise(labels.join(dealt(moved), "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
         for side in ("src", "dst"):
-            both = both.join(hooks.select(F.col("src").alias(side), "up"), side, "left").withColumn(side, F.coalesce("up", side)).drop("up")
+            both = both.join(dealt(hooks.select(F.col("src").alias(side), "up")), side, "left").withColumn(side, F.coalesce("up", side)).drop("up")
         both = materialise(both.where("src <> dst").select("src", "dst").distinct(), "graph")
     return labels
 
@@ -180,13 +180,13 @@ def labelled(df: DataFrame, group: str = "time_bucket", eps: float = EPS_DEGREES
     marked = materialise(core_points(points, group, eps, least), "core-points")
     core = marked.where("core")
     labels = components(core.select("node").distinct(), cell_edges(core, group, eps))
-    inner = core.join(labels, "node").select(group, "lat", "lon", "w", "core", "label")
+    inner = core.join(dealt(labels), "node").select(group, "lat", "lon", "w", "core", "label")
     loose = marked.where("NOT core")
     met = materialise(_met_boxes(loose, core, group, eps), "border-boxes")
     hits = met.where("inside").select(group, "lat", "lon", "other").unionByName(
         _met_points(met.where("NOT inside"), core, group, eps).select(group, "lat", "lon", "other"))
-    border = hits.join(labels.withColumnRenamed("node", "other"), "other").groupBy(group, "lat", "lon").agg(F.min("label").alias("label"))
-    outer = loose.join(border, [group, "lat", "lon"], "left").select(group, "lat", "lon", "w", "core", "label")
+    border = hits.join(dealt(labels.withColumnRenamed("node", "other")), "other").groupBy(group, "lat", "lon").agg(F.min("label").alias("label"))
+    outer = loose.join(dealt(border), [group, "lat", "lon"], "left").select(group, "lat", "lon", "w", "core", "label")
     return inner.unionByName(outer)
 
 
@@ -214,12 +214,12 @@ def records(events: DataFrame, points: DataFrame, shares: DataFrame) -> DataFram
         F.sum("w").alias("member_count"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("lon").alias("lon0"), F.max("lon").alias("lon1"))
     counted = events.where(F.col("junction_name").isNotNull()).groupBy("time_bucket", "latitude", "longitude", "junction_name").agg(
         F.count("*").alias("n")).select("time_bucket", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "junction_name", "n")
-    per_cluster = counted.join(tagged.select("time_bucket", "lat", "lon", "label"), ["time_bucket", "lat", "lon"]).groupBy(
+    per_cluster = counted.join(dealt(tagged.select("time_bucket", "lat", "lon", "label")), ["time_bucket", "lat", "lon"]).groupBy(
         "time_bucket", "label", "junction_name").agg(F.sum("n").alias("n"))
     leading = per_cluster.groupBy("time_bucket", "label").agg(
         F.min(F.struct((-F.col("n")).alias("minus"), "junction_name")).getField("junction_name").alias("top_junction"))
     area = G.box_area_km2(F.col("lat0"), F.col("lat1"), F.col("lon0"), F.col("lon1"))
-    joined = shape.join(leading, ["time_bucket", "label"], "left").join(shares.select("time_bucket", "is_data_rich"), "time_bucket")
+    joined = shape.join(dealt(leading), ["time_bucket", "label"], "left").join(shares.select("time_bucket", "is_data_rich"), "time_bucket")
     return joined.withColumns({"bbox_area_km2": area, "cluster_density": F.col("member_count") / area})
 
 
