@@ -47,3 +47,13 @@ def test_isolated_points_meet_few_leaves(spark):
     assert sizes[0] <= neighbours.LEAF and sizes[1] < 2 * 100_000 / neighbours.LEAF
     met = neighbours.candidate_leaves(queries, levels, 2, False).groupBy("src").agg(F.count("*").alias("n")).agg(F.count("*"), F.avg("n"), F.max("n")).first()
     assert met[0] == 5_000 and met[1] < 12 and met[2] <= 60
+
+
+def test_points_of_a_narrow_band_meet_few_leaves(spark):
+    """20,000 points in a band 600 times as long as wide lie in leaves about as long as wide."""
+    unit = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) / float(1 << 20)
+    targets = spark.range(20_000).select("id", (12.8 + 0.1 * unit(1)).alias("x"), (60 * unit(2)).alias("y"))
+    placed, levels = neighbours.tree(targets, 20_000, True)
+    assert placed.count() == 20_000 and placed.groupBy("strip", "tile").count().agg(F.max("count")).first()[0] <= neighbours.LEAF
+    met = neighbours.candidate_leaves(targets, levels, 4, True).groupBy("src").agg(F.count("*").alias("n")).agg(F.count("*"), F.avg("n")).first()
+    assert met[0] == 20_000 and met[1] < 12
