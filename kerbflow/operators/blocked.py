@@ -3,7 +3,8 @@
 The average rank of a value is the weight below it plus half of one more than the weight of its ties, both sums over
 all rows. So ranks add up over blocks of rows: a task takes some candidates (or resamples) and one block, meets the
 other blocks in turn, and hands out three sums a candidate. It holds two blocks at a time; nothing that grows with
-candidates times rows is stored or shuffled.
+candidates times rows is stored or shuffled. The blocks that candidates rank are files of the shared folder, which
+tasks read, so only candidates are shuffled.
 """
 
 from __future__ import annotations
@@ -12,12 +13,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbflow.session import materialise, ship, slices
+from kerbflow.session import materialise, shared_path, ship, slices
 
 BLOCK = 1 << 14  # rows of a block
+VECTORS = 1 << 20  # distinct vectors of a stored block: 48 MB
+AT_ONCE = 4  # candidates that meet a stored block at a time
 PRIME = 2_147_483_647
 MIX = (1_000_003, 7_919, 15_485_863, 104_729)  # factors of draw, resample, block and seed
 
@@ -27,23 +31,12 @@ def in_blocks(rows: DataFrame, keys: Sequence[str], block: Column, fields: Seque
     return rows.groupBy(*keys, block.alias("block")).agg(F.collect_list(F.struct(*fields)).alias("rows"))
 
 
-def against_all(blocks: DataFrame, keys: Sequence[str], chunks: DataFrame | Column) -> DataFrame:
-    """(keys..., chunk, mine, own, other, others): each chunk and block beside every block, in order.
-
-    ``chunks`` is a table with ``chunk`` and further columns, or an array of chunk numbers.
-    """
-    names = list(keys) or ["whole"]
-    base = blocks if keys else blocks.withColumn("whole", F.lit(0))  # few rows: one a block
-    own = base.withColumnRenamed("block", "mine").withColumnRenamed("rows", "own")
-    met = own.join(base.select(*names, F.col("block").alias("other"), F.col("rows").alias("others")), names)
-    if isinstance(chunks, Column):
-        met = met.withColumn("chunk", F.explode(chunks))
-    else:  # blocks and chunks are both dealt; each chunk is stated for each pair of blocks
-        last = chunks.agg(F.max("chunk")).scalar()
-        met = met.withColumn("chunk", F.explode(F.sequence(F.lit(0), last))).join(chunks, "chunk")
-    spread = met.repartition(4 * slices(blocks.sparkSession), *names, "chunk", "mine")
-    result = spread.sortWithinPartitions(*names, "chunk", "mine", "other")
-    return result if keys else result.drop("whole")
+def against_all(blocks: DataFrame, keys: Sequence[str], chunks: Column) -> DataFrame:
+    """(keys..., chunk, mine, own, other, others): each chunk of the array and block beside every block, in order."""
+    own = blocks.withColumnRenamed("block", "mine").withColumnRenamed("rows", "own")
+    met = own.join(blocks.select(*keys, F.col("block").alias("other"), F.col("rows").alias("others")), list(keys)).withColumn("chunk", F.explode(chunks))
+    spread = met.repartition(4 * slices(blocks.sparkSession), *keys, "chunk", "mine")
+    return spread.sortWithinPartitions(*keys, "chunk", "mine", "other")
 
 
 def _array(rows: pa.StructArray, name: str) -> np.ndarray:
@@ -52,43 +45,60 @@ def _array(rows: pa.StructArray, name: str) -> np.ndarray:
 
 # Candidate weightings --------------------------------------------------------------------------------------------
 
-def predictions(rows: pa.StructArray, names: Sequence[str], weights: np.ndarray, digits: int) -> np.ndarray:
-    """(candidates, rows): weighted sums in the order of the names, rounded half up by plain arithmetic."""
-    total = weights[:, :1] * _array(rows, names[0])
+def predictions(rows: dict[str, np.ndarray], names: Sequence[str], weights: np.ndarray, digits: int) -> np.ndarray:
+    """Weighted sums in the order of the names, rounded half up by plain arithmetic."""
+    total = weights[0] * rows[names[0]]
     for i, name in enumerate(names[1:], 1):
-        total = total + weights[:, i : i + 1] * _array(rows, name)
+        total = total + weights[i] * rows[name]
     scale = 10.0 ** digits
     return np.floor(total * scale + 0.5) / scale
 
 
-def _candidate_sums(names: Sequence[str], digits: int):
-    def flushed(state: dict) -> pa.RecordBatch:
-        dx = state["before"] + (state["ties"] + 1) / 2 - state["middle"]
-        n, label = state["n"], state["label"] - state["n"] * state["middle"]
-        return pa.RecordBatch.from_arrays([pa.array(state["candidates"]), pa.array((dx * label).sum(axis=1)), pa.array((dx * dx * n).sum(axis=1))], ["candidate", "xy", "xx"])
+def stored_block(path: str, block: int, names: Sequence[str]) -> dict[str, np.ndarray]:
+    """Columns of a block below a folder that Spark wrote."""
+    store, place = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    table = dataset.dataset(f"{place}/block={block}", filesystem=store, format="parquet").to_table(list(names), use_threads=False)
+    return {name: table.column(name).to_numpy() for name in names}
+
+
+def _groups(values: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct values in order, and the sums of each weight by value."""
+    order = np.argsort(values)
+    values = values[order]
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return values[first], *(np.add.reduceat(w[order], first) for w in weights)
+
+
+def _candidate_sums(path: str, present: Sequence[int], middle: float, names: Sequence[str], digits: int):
+    def sums(own: dict[str, np.ndarray], mine: int, weights: np.ndarray) -> Iterator[tuple[float, float]]:
+        state = []
+        for w in weights:
+            values, n, label = _groups(predictions(own, names, w, digits), own["n"], own["label"])
+            state.append([values, n, label, np.concatenate([[0.0], np.cumsum(n)[:-1]]), n.copy()])
+        for other in (x for x in present if x != mine):
+            others = stored_block(path, other, [*names, "n"])
+            for (values, _, _, before, ties), w in zip(state, weights):
+                theirs, counts = _groups(predictions(others, names, w, digits), others["n"])
+                upto = np.concatenate([[0.0], np.cumsum(counts)])
+                low, high = (upto[np.searchsorted(theirs, values, side)] for side in ("left", "right"))
+                before += low
+                ties += high - low
+        for _, n, label, before, ties in state:
+            dx = before + (ties + 1) / 2 - middle
+            yield float((dx * (label - n * middle)).sum()), float((dx * dx * n).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
+        own, held = None, None
         for batch in batches:
-            for row in range(batch.num_rows):
-                own, others, pool = (batch.column(c)[row].values for c in ("own", "others", "pool"))
-                key = (batch.column("chunk")[row].as_py(), batch.column("mine")[row].as_py())
-                weights = np.stack([_array(pool, f"weight_{name}") for name in names], axis=1)
-                if state is None or state["key"] != key:
-                    if state is not None:
-                        yield flushed(state)
-                    mine = predictions(own, names, weights, digits)
-                    state = {"key": key, "mine": mine, "before": np.zeros_like(mine), "ties": np.zeros_like(mine), "n": _array(own, "n").astype(np.float64),
-                             "label": _array(own, "label"), "middle": batch.column("middle")[row].as_py(), "candidates": _array(pool, "candidate").copy()}
-                counts = _array(others, "n").astype(np.float64)
-                for k, values in enumerate(predictions(others, names, weights, digits)):
-                    order = np.argsort(values)
-                    upto = np.concatenate([[0.0], np.cumsum(counts[order])])
-                    low, high = (upto[np.searchsorted(values[order], state["mine"][k], side)] for side in ("left", "right"))
-                    state["before"][k] += low
-                    state["ties"][k] += high - low
-        if state is not None:
-            yield flushed(state)
+            candidates = batch.column("candidate")
+            weights = np.stack([np.asarray(batch.column(f"weight_{name}"), dtype=np.float64) for name in names], axis=1)
+            for mine in present:
+                if held != mine:
+                    own, held = stored_block(path, mine, [*names, "n", "label"]), mine
+                    own["n"] = own["n"].astype(np.float64)
+                for first in range(0, len(candidates), AT_ONCE):
+                    found = list(sums(own, mine, weights[first : first + AT_ONCE]))
+                    yield pa.RecordBatch.from_arrays([candidates.slice(first, AT_ONCE), *(pa.array(c, pa.float64()) for c in zip(*found))], ["candidate", "xy", "xx"])
     return run
 
 
@@ -96,17 +106,21 @@ def candidate_correlations(vectors: DataFrame, pool: DataFrame, names: Sequence[
     """(candidate, xy, xx, yy) of each weighting in ``pool`` (candidate, weight_<name>...).
 
     ``vectors`` has distinct component vectors with ``n`` rows each, the sum of their label ranks ``label`` and of
-    the squared ones ``squares``.
+    the squared ones ``squares``. A task takes about ``chunk`` candidates, at least.
     """
-    ship(vectors.sparkSession)
+    spark = vectors.sparkSession
+    ship(spark)
     stored = materialise(vectors, "component-vectors")
     count, size = stored.agg(F.count("*"), F.sum("n")).first()
-    block = F.pmod(F.xxhash64(*names), F.lit(max(1, -(-count // BLOCK)))).cast("int")
     middle = ((size or 0) + 1) / 2.0
-    blocks = in_blocks(stored, [], block, [*names, "n", "label"]).withColumn("middle", F.lit(middle))
-    chunks = pool.groupBy(F.floor(F.col("candidate") / chunk).cast("int").alias("chunk")).agg(
-        F.collect_list(F.struct("candidate", *[f"weight_{name}" for name in names])).alias("pool"))
-    sums = against_all(blocks, [], chunks).mapInArrow(_candidate_sums(tuple(names), digits), "candidate int, xy double, xx double")
+    block = F.pmod(F.xxhash64(*names), F.lit(max(1, -(-count // VECTORS)))).cast("int")
+    path = shared_path(spark, "vector-blocks")
+    blocks = stored.select(*[F.col(name).cast("double") for name in names], "n", F.col("label").cast("double").alias("label"), block.alias("block"))
+    blocks.write.partitionBy("block").parquet(path)
+    present = sorted(r.block for r in blocks.select("block").distinct().collect())  # one number a block
+    tasks = max(1, min(4 * slices(spark), -(-pool.count() // chunk)))
+    dealt = pool.select("candidate", *[F.col(f"weight_{name}").cast("double") for name in names]).repartition(tasks, "candidate")
+    sums = dealt.mapInArrow(_candidate_sums(path, present, middle, tuple(names), digits), "candidate int, xy double, xx double")
     spread = stored.agg(F.sum("squares") - size * middle * middle if size else F.lit(0.0)).scalar()
     return sums.groupBy("candidate").agg(F.sum("xy").alias("xy"), F.sum("xx").alias("xx")).withColumn("yy", spread)
 

@@ -64,3 +64,21 @@ def test_nothing_grows_with_candidates_times_rows(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") >= 1 and "Window" not in plan
     assert found.agg(F.max("rho")).first()[0] < 0.2
+
+
+@pytest.mark.parametrize("size", [8, 1 << 20])
+def test_search_over_stored_blocks(spark, monkeypatch, size):
+    """No vector is shuffled after the blocks are stored, and their number does not show in the result."""
+    monkeypatch.setattr(blocked, "VECTORS", size)
+    rng = np.random.default_rng(4)
+    names = calibrate.V.ROAD_COMPONENTS
+    parts = rng.integers(0, 4, (60, 4)) / 3.0
+    ratio = np.round(1 + rng.integers(0, 12, 60) / 10, 4)
+    rows = [(f"z{i}", float(ratio[i]), "train", *map(float, parts[i])) for i in range(60)]
+    found = calibrate.search_weights(spark.createDataFrame(rows, ", ".join(["zone_id string", "measured_ratio double", "split string", *[f"{n} double" for n in names]])), 40)
+    got = {r.candidate: r.rho for r in found.collect()}
+    pool = calibrate.candidates(spark, 40, calibrate.V.SEARCH_SEED).orderBy("candidate").select(*[f"weight_{n}" for n in names]).toPandas().to_numpy()
+    for candidate, weights in enumerate(pool):
+        assert got[candidate] == pytest.approx(correlation(np.floor((parts * weights).sum(axis=1) * 1e9 + 0.5), ratio), abs=2e-9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "others" not in plan and "pool" not in plan
