@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbflow.session import materialise
+from kerbflow.session import dealt, materialise, slices
 
-BLOCK_CELLS = 1 << 18  # components in a block of rows: 2 MB
+BLOCK_CELLS = 1 << 20  # components in a block of rows: 8 MB
 BLOCK_ANCHORS = 256
-STEP = 8  # dimensions read between two looks at the bounds
+STEP = 16  # dimensions read between two looks at the bounds
 BLOCK = "dimension int, block int, ids array<long>, labels array<long>, columns array<double>"
 
 
@@ -154,10 +154,19 @@ def _negatives(n: int):
 
 
 def _meet(asked: DataFrame, known: DataFrame, blocks: int) -> DataFrame:
-    """Every block of anchors beside every block of rows of its dimension."""
+    """Every block of anchors beside every block of rows of its dimension.
+
+    The pairs are dealt over a stated number of tasks: by their bytes alone they would fall into a few. Where blocks are
+    fewer than tasks, the anchors that meet a block are dealt too.
+    """
+    tasks = 4 * slices(asked.sparkSession)
     anchors = max(1, -(-asked.count() // BLOCK_ANCHORS))
+    hands = max(1, min(anchors, -(-tasks // blocks)))
+    keys = ["dimension", "block", "hand"]
     packed = asked.groupBy("dimension", F.pmod(F.xxhash64("id"), F.lit(anchors)).alias("part")).agg(F.collect_list(F.struct(*[c for c in asked.columns if c != "dimension"])).alias("asked"))
-    return packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(known, ["dimension", "block"]).select("dimension", "asked", "ids", "labels", "columns")
+    packed = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("hand", F.pmod("part", F.lit(hands)).cast("int"))
+    known = known.withColumn("hand", F.explode(F.sequence(F.lit(0), F.lit(hands - 1))))
+    return packed.repartition(tasks, *keys).join(dealt(known.repartition(tasks, *keys)), keys).select("dimension", "asked", "ids", "labels", "columns")
 
 
 def mine(rows: DataFrame, is_anchor: Column, label: Column, positives: int = 5, negatives: int = 3, low_percent: int = 50, high_percent: int = 95,
@@ -184,7 +193,7 @@ def mine(rows: DataFrame, is_anchor: Column, label: Column, positives: int = 5,
     most = F.expr(f"({high_percent} * positive_score - pmod({high_percent} * positive_score, 100)) div 100")
     windows = near.withColumn("least", least).withColumn("most", most).where("least <= most")
     windows = windows.groupBy("anchor_id").agg(F.collect_list(F.struct("positive_id", "positive_score", "least", "most")).alias("windows"))
-    asked = materialise(anchors.join(windows, F.col("id") == F.col("anchor_id")).drop("anchor_id"), "negatives-windows")
+    asked = materialise(anchors.join(dealt(windows), F.col("id") == F.col("anchor_id")).drop("anchor_id"), "negatives-windows")
 
     found = _meet(asked, known, blocks).mapInArrow(_negatives(negatives), "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
     rank = F.row_number().over(Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id"))
