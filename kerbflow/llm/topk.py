@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbflow.session import materialise
+from kerbflow.session import dealt, materialise
 
 BLOCK_ENTRIES = 16384
 BLOCK_QUERIES = 1024
@@ -89,14 +89,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "v
     known, blocks = _numbered(entries, "entry", BLOCK_ENTRIES, F.struct("entry", cells.alias("cells")), "known")
     asked, _ = _numbered(queries, "query_id", BLOCK_QUERIES, F.struct("query_id", "vector"), "asked")
     # Each block of the stated query set meets each block of cells once.
-    pairs = asked.withColumn("known_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(known, ["dimension", "known_block"])
+    pairs = asked.withColumn("known_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt(known), ["dimension", "known_block"])
     found = pairs.select("dimension", "asked", "known").mapInArrow(_compare(float(low), float(width), k + 1), CANDIDATES)
     found = materialise(found, "topk-bounded")
 
     by_query = Window.partitionBy("query_id")
     floor = found.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("lower"), "entry"))).where(F.col("place") <= k + 1)
     floor = floor.groupBy("query_id").agg(F.when(F.count(F.lit(1)) > k, F.min("lower")).otherwise(float("-inf")).alias("floor"))
-    open_ = found.join(floor, "query_id").where("upper >= floor").select("query_id", "entry", "upper")
+    open_ = found.join(dealt(floor), "query_id").where("upper >= floor").select("query_id", "entry", "upper")
     open_ = materialise(open_.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("upper"), "entry"))), "topk-candidates")
 
     exact, done, reach, best = None, 0, first_round * k, None
@@ -104,12 +104,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "v
         batch = open_.where((F.col("place") > done) & (F.col("place") <= reach))
         if best is not None:
             certain = best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
-            batch = batch.join(certain, "query_id", "left").where("kth IS NULL OR upper >= kth").drop("kth")
+            batch = batch.join(dealt(certain), "query_id", "left").where("kth IS NULL OR upper >= kth").drop("kth")
             batch = materialise(batch, "topk-round")
             if batch.isEmpty() and open_.where(F.col("place") > reach).isEmpty():
                 break
         score = F.aggregate(F.zip_with("vector", "other", lambda x, y: x * y), F.lit(0).cast("long"), lambda a, x: a + x)
-        read = batch.join(queries.select("query_id", F.col("vector").alias("other")), "query_id").join(entries.select("entry", "vector", "ids"), "entry")
+        read = batch.join(dealt(queries.select("query_id", F.col("vector").alias("other"))), "query_id").join(dealt(entries.select("entry", "vector", "ids")), "entry")
         read = read.select("query_id", score.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
         exact = read if exact is None else best.unionByName(read)
         rank = F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id"))
