@@ -24,6 +24,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from kerbflow.llm.common import SPACED, hash_words, slices, split_words, text_buffer
 from kerbflow.llm.pii_examples import EXAMPLES, generated_rows, plain_rows, quiet_rows
 
+SLICE = 1 << 19  # bytes of text tagged at a time; a worker holds about thirty times as much
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = ("email", "phone", "id", "name", "secret")
 LABELS = 1 + 2 * len(KINDS)
@@ -380,7 +381,7 @@ def scan(documents: DataFrame, tagger: Tagger) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base", "spans"]
         for batch in batches:
-            for first, last in slices(batch.column("text"), 1 << 21):
+            for first, last in slices(batch.column("text"), SLICE):
                 part = batch.slice(first, last - first)
                 base, added = find(part.column("text"), shared.value)
                 counts = [pa.array([sum(s[0] == kind for s in own) for own in base], pa.int64()) for kind in BASE_KINDS]
@@ -407,7 +408,7 @@ def redact(documents: DataFrame, tagger: Tagger) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last in slices(batch.column("text"), 1 << 21):
+            for first, last in slices(batch.column("text"), SLICE):
                 part = batch.slice(first, last - first)
                 base, added = find(part.column("text"), shared.value)
                 rows = [i for i in range(len(part)) if base[i] or added[i]]

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kerbflow.llm.common import WHITESPACE, hash_words, list_array, list_values, slices, split_words, word_class
+from kerbflow.session import dealt
 
 # Punctuation ends a word here, so that a word and the same word before a comma share a row.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -267,7 +268,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings | None = Non
     fitted = documents.sparkSession.createDataFrame([(k,) for k in set(table.column("text_key").to_pylist())], "text_key long")
     # Texts are scored before the join, so that none is shuffled.
     others = documents.select("doc_id", "text", "lang", key).join(F.broadcast(fitted), "text_key", "left_anti")
-    others = score(others, model, ["doc_id", "lang"]).join(rows, "doc_id")
+    others = score(others, model, ["doc_id", "lang"]).join(dealt(rows), "doc_id")
     # Scores are counted by their log odds at two decimals.
     odds = F.round(100 * F.log(F.col("score") / (1 - F.col("score")))).cast("int").alias("odds")
     counts = others.groupBy("lang", (F.col("toxic") > 0).alias("toxic"), odds).agg(F.count(F.lit(1)).alias("n")).collect()

@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -7,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kerbflow.llm import pii, pii_examples
+from kerbflow.llm.common import slices
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -123,3 +125,15 @@ def test_long_words_keep_their_shape_and_all_edges_go():
         column = pa.array([text])
         _, _, a, b, _ = pii.words_of(column)
         assert kept is None or [text[i:j] for i, j in zip(a, b)] == [kept]
+
+
+def test_memory_of_a_slice_is_small():
+    """What a worker holds beside its batch follows the slice, not the batch."""
+    column = pa.array(["Call Anna Smith at +49 30 1234567 or write to anna@example.org, card 4111 1111 1111 1111."] * 40_000)
+    tagger = pii.fit(rounds=3)
+    parts = [column.slice(a, b - a) for a, b in slices(column, pii.SLICE)]
+    tracemalloc.start()
+    pii.find(parts[0], tagger)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(parts) > 4 and peak < 120e6
