@@ -59,3 +59,28 @@ def test_events_and_maps_equal_the_line_form(small_splits):
     ratios = {f"z{i}": {"travel_time_ratio": 1 + i / 10, "note": "a,b"} for i in range(20)} | {"none": None, "bad": {"travel_time_ratio": -1}}
     found = readers.travel_ratios(spark, write(spark, json.dumps(ratios), "map"), whole=True)
     assert sorted((r.zone_id, r.travel_time_ratio) for r in found.collect()) == sorted((k, v["travel_time_ratio"]) for k, v in ratios.items() if v and v["travel_time_ratio"] > 0)
+
+
+def test_fragments_are_neither_stored_nor_shuffled(spark, monkeypatch):
+    """Only entries and a few rows a block are stored, however many commas an entry has."""
+    stored = []
+    keep = documents.materialise
+
+    def counting(df, label):
+        table = keep(df, label)
+        stored.append(table.count())
+        return table
+
+    monkeypatch.setattr(documents, "materialise", counting)
+    rows = [{f"k{j}": f'{i},"{j}' for j in range(30)} for i in range(100)]
+    found = documents.objects(spark, write(spark, json.dumps(rows), "wide")).collect()
+    assert sorted(json.dumps(json.loads(r.value)) for r in found) == sorted(map(json.dumps, rows))
+    assert sum(stored) < 200  # 3,000 commas
+
+
+def test_entries_across_blocks_keep_their_number(small_splits):
+    spark = small_splits
+    rows = [1, "a,b]", ["x" * 700, "\\", '"'], {"k": "y," * 300}, None, [], "\\\"", *range(200)]
+    path = write(spark, " \n" + json.dumps(rows), "numbered")
+    got = sorted((r.number, json.loads(r.entry), r.is_array, r.file.startswith("file:")) for r in documents.entries(spark, path).collect())
+    assert [g[0] for g in got] == list(range(len(rows))) and [g[1] for g in got] == rows and all(g[2] and g[3] for g in got)
