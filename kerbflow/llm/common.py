@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 21  # bytes hashed at a time
+SLICE_BYTES = 1 << 18  # bytes hashed at a time; a worker keeps tables of sixteen times as much
+TEXT_BYTES = 1 << 22  # bytes of texts split at a time
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -115,7 +116,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out)
 
 
-def slices(column: pa.Array, limit: int = 2 * SLICE_BYTES) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, limit: int = TEXT_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes (one row at least)."""
     _, offsets = text_buffer(column)
     first = 0

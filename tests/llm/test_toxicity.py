@@ -1,7 +1,9 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
-from kerbflow.llm import toxicity
+from kerbflow.llm import common, toxicity
 from kerbflow.llm.common import SPACED, hash_words, remainder, split_words
 
 
@@ -87,3 +89,20 @@ def test_calibration_weighs_classes():
     half, _ = toxicity.calibrate(given, toxic, ["en"] * 5, rows, rows * 1.0)
     rare, _ = toxicity.calibrate(given, toxic, ["en"] * 5, rows, np.where(toxic, rows, 8.0 * rows))
     assert half["en"] < 0.6 and 0.6 < rare["en"] < 0.9
+
+
+def test_hashing_holds_a_slice():
+    """Memory beyond the result doesn't follow the bytes of the texts; each word has the hash it has alone."""
+    data = np.random.default_rng(1).integers(97, 123, 4 << 20).astype(np.uint8)
+    starts = np.arange(0, len(data), 64)
+    ends = starts + 60
+    common._POWERS.clear()
+    tracemalloc.start()
+    found = hash_words(data, starts, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
+    some = np.random.default_rng(2).integers(0, len(starts), 50)
+    assert found[some].tolist() == [int(hash_words(data[starts[i] : ends[i]], np.array([0]), np.array([60]))[0]) for i in some]
+    # A word longer than a slice is hashed whole.
+    assert hash_words(data, np.array([0]), np.array([len(data)]))[0] != hash_words(data, np.array([0]), np.array([len(data) - 1]))[0]
