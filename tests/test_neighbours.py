@@ -57,3 +57,32 @@ def test_points_of_a_narrow_band_meet_few_leaves(spark):
     assert placed.count() == 20_000 and placed.groupBy("strip", "tile").count().agg(F.max("count")).first()[0] <= neighbours.LEAF
     met = neighbours.candidate_leaves(targets, levels, 4, True).groupBy("src").agg(F.count("*").alias("n")).agg(F.count("*"), F.avg("n")).first()
     assert met[0] == 20_000 and met[1] < 12
+
+
+@pytest.mark.parametrize("sides,pairs", [((4, 8), 64), ((16, 64, 256), 1 << 22)])
+def test_lattice_cells_against_brute_force(spark, monkeypatch, sides, pairs):
+    """Dense, scattered and far cells, of negative and positive indices, settle in blocks or in the tree alike."""
+    monkeypatch.setattr(neighbours, "SIDES", sides)
+    monkeypatch.setattr(neighbours, "PAIRS", pairs)
+    rng = np.random.default_rng(5)
+    cells = sorted({(int(i), int(j)) for i, j in np.concatenate([rng.integers(-6, 9, (150, 2)), rng.integers(-400, 400, (60, 2)), [[9000, -9000], [9001, -9000], [2000, 2000]]])})
+    frame = spark.createDataFrame([(f"{i}_{j}", i, j) for i, j in cells], "grid_cell_id string, cell_i long, cell_j long")
+    got = sorted((r.src, r.place, r.dst, r.dist) for r in neighbours.cell_graph(frame, 6).collect())
+    expected = []
+    for i, j in cells:
+        order = sorted((float((i - a) ** 2 + (j - b) ** 2), f"{a}_{b}") for a, b in cells if (a, b) != (i, j))[:6]
+        expected += [(f"{i}_{j}", place, dst, dist) for place, (dist, dst) in enumerate(order, 1)]
+    assert got == sorted(expected)
+
+
+def test_cells_of_a_narrow_band_are_not_searched_by_tree(spark, monkeypatch):
+    """20,000 cells of 20 rows settle in blocks alone; the tree's leaves are long there, and a cell meets hundreds of them."""
+    monkeypatch.setattr(neighbours, "nearest", lambda *_, **__: pytest.fail("searched by tree"))
+    band = spark.range(20_000).select((F.col("id") % 20).alias("cell_i"), (2 * F.floor(F.col("id") / 20)).alias("cell_j"))
+    found = neighbours.cell_graph(band.select(F.concat_ws("_", "cell_i", "cell_j").alias("grid_cell_id"), "cell_i", "cell_j"))
+    assert found.count() == 6 * 20_000 and found.agg(F.max("dist")).first()[0] <= 13
+
+
+def test_a_cell_without_coordinates_stays(spark):
+    cells = spark.createDataFrame([("", None, None), ("0_0", 0, 0), ("0_1", 0, 1)], "grid_cell_id string, cell_i long, cell_j long")
+    assert sorted((r.src, r.dst) for r in neighbours.cell_graph(cells, 2).collect()) == [("", "0_0"), ("", "0_1"), ("0_0", ""), ("0_0", "0_1"), ("0_1", ""), ("0_1", "0_0")]
