@@ -46,3 +46,22 @@ def test_against_loops(spark):
         kind, after, lost = expected[r.hour, r.grid_cell_id]
         assert r.spillover_type == kind and r.adjusted_risk == pytest.approx(after) and r.lost_risk == pytest.approx(lost, abs=1e-9)
     assert any(r.lost_risk > 1 for r in got) == ((3, "c39") in risk)
+
+
+def test_arrows_come_from_the_closest_patrolled_cell_and_classes_have_a_row_a_cell(spark):
+    pick = random.Random(4)
+    cells = [f"c{i:02d}" for i in range(30)]
+    edges = [(a, b, float(pick.randint(1, 3))) for a in cells for b in pick.sample(cells, 4) if a != b]
+    hot = [(h, c) for h in (0, 9, 23) for c in pick.sample(cells, 5)]
+    frame = lambda values, schema: spark.createDataFrame(values, schema)
+    patrolled, links = frame(hot, "hour int, grid_cell_id string"), frame(edges, "src string, dst string, dist double")
+    gained = frame([(h, c, "neighbor_1", 0.2) for h in (0, 5, 9, 23) for c in cells], "hour int, grid_cell_id string, spillover_type string, magnitude double")
+    expected = {}
+    for h, c in hot:
+        for s, d, dist in edges:
+            if s == c:
+                expected[h, d] = min(expected.get((h, d), (dist, s)), (dist, s))
+    got = displacement.arrows(gained, patrolled, links).collect()
+    assert {(r.hour, r.to_cell): r.from_cell for r in got} == {key: s for key, (_, s) in expected.items()} and len(got) == len(expected)
+    found = displacement.classes(patrolled, links).collect()
+    assert len(found) == len({r.grid_cell_id for r in found}) <= len(cells)
