@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,22 +78,33 @@ def condensed(rows: DataFrame, features: list[str], cuts: list[list[float]], lab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _matrix(batch, features, cuts)
-            yield pa.RecordBatch.from_arrays([batch.column("__split"), pa.array([r.tobytes() for r in found], pa.binary()), batch.column("__label")], ["split", "bins", "label"])
+            ends = np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]
+            bins = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(found))])
+            yield pa.RecordBatch.from_arrays([batch.column("__split"), bins, batch.column("__label")], ["split", "bins", "label"])
 
     numbers = rows.where(F.col(label).isNotNull()).select(F.col(split).alias("__split"), F.col(label).cast("double").alias("__label"), *_numbers(features))
     kept = numbers.mapInArrow(run, "split string, bins binary, label double")
     return materialise(kept.groupBy("split", "bins").agg(F.count("*").cast("double").alias("weight"), F.sum("label").alias("total")), "tree-rows")
 
 
+def _by_column(bins: pa.Array, width: int) -> np.ndarray:
+    """(rows, features) matrix of stored bins, each feature in one piece."""
+    _, ends, data = bins.buffers()
+    ends = np.frombuffer(ends, dtype=np.int32)[bins.offset : bins.offset + len(bins) + 1]
+    return np.asfortranarray(np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].reshape(-1, width))
+
+
 def node_of(tree: Tree, matrix: np.ndarray, levels: int) -> np.ndarray:
-    """Place of each row within the given level of a tree."""
-    node = np.zeros(len(matrix), dtype=np.int64)
-    rows = np.arange(len(matrix))
-    feature, cut = np.array(tree.feature), np.array(tree.cut)
+    """Place of each row within the given level of a tree. All splits of a level are compared by column."""
+    node = np.zeros(len(matrix), dtype=np.uint8 if levels < 8 else np.int64)
     for level in range(levels):
-        at = 2 ** level - 1 + node
-        node = 2 * node + (matrix[rows, feature[at]] > cut[at])
-    return node
+        first = 2 ** level - 1
+        right = [matrix[:, tree.feature[at]] > tree.cut[at] for at in range(first, 2 * first + 1)]
+        side = right[0]
+        for place in range(1, len(right)):
+            side = np.where(node == place, right[place], side)
+        node = 2 * node + side
+    return node.astype(np.int64)
 
 
 def margins(model: Model, matrix: np.ndarray, depth: int) -> np.ndarray:
@@ -110,16 +122,17 @@ def _histograms(model: Model, growing: Tree, level: int, depth: int, train: tupl
         for batch in batches:
             if not batch.num_rows:
                 continue
-            matrix = np.frombuffer(b"".join(batch.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, width)
+            matrix = _by_column(batch.column("bins"), width)
             weight, total = (np.asarray(batch.column(c)) for c in ("weight", "total"))
             margin = margins(model, matrix, depth)
             mean = weight * np.exp(margin)
-            learn = np.isin(np.array(batch.column("split").to_pylist()), train)
+            learn = np.asarray(pc.is_in(batch.column("split"), value_set=pa.array(train, pa.string())))
             loss += [(mean - total * margin)[~learn].sum(), weight[~learn].sum()]
-            node = node_of(growing, matrix[learn], level)
+            start = node_of(growing, matrix, level)[learn] * (width * BINS)
+            amounts = (mean - total)[learn], mean[learn], weight[learn]
             for f in range(width):
-                cell = (node * width + f) * BINS + matrix[learn, f]
-                for k, amount in enumerate(((mean - total)[learn], mean[learn], weight[learn])):
+                cell = start + (f * BINS + matrix[:, f][learn].astype(np.int64))
+                for k, amount in enumerate(amounts):
                     sums[k] += np.bincount(cell, weights=amount, minlength=sums.shape[1])
         held = np.flatnonzero(sums[2])
         yield pa.RecordBatch.from_arrays(
@@ -207,7 +220,7 @@ def predict(model: Model, rows: DataFrame, keep: list[str], name: str = "pred",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.exp(margins(model, _matrix(batch, model.features, model.cuts), settings.depth))
+            found = np.exp(margins(model, np.asfortranarray(_matrix(batch, model.features, model.cuts)), settings.depth))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found)], [*keep, name])
 
     return rows.select(*keep, *_numbers(model.features)).mapInArrow(run, schema)

@@ -72,3 +72,55 @@ def test_no_rows_and_constant_labels(spark):
     model = trees.fit(flat, FEATURES, settings=SETTINGS)
     assert {round(r.pred, 6) for r in trees.predict(model, flat, ["zone_id"], settings=SETTINGS).collect()} == {3.0}
     assert trees.fit(flat.limit(0), FEATURES, settings=SETTINGS).trees == []
+
+
+def test_rows_pass_a_tree_by_whole_columns():
+    """Histograms of stored rows equal loops over rows, in a slice of a batch too."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    bins = rng.integers(0, trees.BINS, (300, 3)).astype(np.uint8)
+    draw = lambda: trees.Tree([int(f) for f in rng.integers(0, 3, 3)], [int(c) for c in rng.integers(3, 30, 3)], [float(v) for v in rng.normal(size=4)])
+    model, growing = trees.Model(FEATURES, [[]] * 3, -0.2, [draw() for _ in range(5)]), draw()
+    split, weight, total = rng.choice(["train", "val"], 300), rng.integers(1, 9, 300).astype(float), rng.poisson(3, 300).astype(float)
+    batch = pa.RecordBatch.from_arrays([pa.array(split), pa.array([r.tobytes() for r in bins], pa.binary()), pa.array(weight), pa.array(total)], ["split", "bins", "weight", "total"])
+
+    expected = np.zeros((3, 2 * 3 * trees.BINS))
+    for i in range(10, 290):
+        if split[i] == "train":
+            margin = model.base
+            for t in model.trees:
+                margin += t.value[_walk(t, bins[i], 2)]
+            mean, node = weight[i] * np.exp(margin), _walk(growing, bins[i], 1)
+            for f in range(3):
+                expected[:, (node * 3 + f) * trees.BINS + bins[i, f]] += [mean - total[i], mean, weight[i]]
+    out = next(trees._histograms(model, growing, 1, 2, ("train",))(iter([batch.slice(10, 280)])))
+    cell = np.asarray(out.column("cell"))
+    got = np.zeros_like(expected)
+    for k, name in enumerate(("gradient", "hessian", "weight")):
+        got[k, cell[cell >= 0]] = np.asarray(out.column(name))[cell >= 0]
+    assert got == pytest.approx(expected)
+
+
+class Columns(np.ndarray):
+    """A matrix that is read by whole columns alone."""
+
+    def __getitem__(self, key):
+        assert isinstance(key, tuple) and key[0] == slice(None) and np.ndim(key[1]) == 0, "a row was looked up by itself"
+        return np.asarray(self)[key]
+
+
+def test_trees_read_whole_columns():
+    """Looking each row's feature up by itself made the trees so far most of a level's work."""
+    bins = np.asfortranarray(np.random.default_rng(2).integers(0, trees.BINS, (50, 4)).astype(np.uint8))
+    tree = trees.Tree([0, 1, 2, 3, 0, 1, 2], [9, 12, 15, 18, 21, 24, 27], [0.1 * k for k in range(8)])
+    got = trees.margins(trees.Model(list("abcd"), [[]] * 4, 0.5, [tree]), bins.view(Columns), 3)
+    assert got == pytest.approx([0.5 + tree.value[_walk(tree, row, 3)] for row in bins])
+
+
+def _walk(tree, row, levels):
+    node = 0
+    for level in range(levels):
+        at = 2 ** level - 1 + node
+        node = 2 * node + int(row[tree.feature[at]] > tree.cut[at])
+    return node
